@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from assayer.llm.langid import op5_language_id
+from assayer.llm.ngram_join import op3_ngram_jaccard_join
 from assayer.llm.packing import op9_best_fit_packing
 from assayer.llm.quality import op8_quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op3_ngram_jaccard_join,
         op5_language_id,
         op8_quality_rules,
         op9_best_fit_packing,
