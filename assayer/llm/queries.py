@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from assayer.llm.itq import op7_embedding_near_dedup
 from assayer.llm.langid import op5_language_id
 from assayer.llm.ngram_join import op3_ngram_jaccard_join
 from assayer.llm.packing import op9_best_fit_packing
@@ -16,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op3_ngram_jaccard_join,
         op5_language_id,
+        op7_embedding_near_dedup,
         op8_quality_rules,
         op9_best_fit_packing,
     )
