@@ -11,12 +11,14 @@ from assayer.llm.langid import op5_language_id
 from assayer.llm.ngram_join import op3_ngram_jaccard_join
 from assayer.llm.packing import op9_best_fit_packing
 from assayer.llm.quality import op8_quality_rules
+from assayer.llm.sentencepiece_codec import op1_sentencepiece
 from assayer.llm.urlfilter import op10_url_filters
 from assayer.llm.wrappers import op6_html_extraction
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_sentencepiece,
         op3_ngram_jaccard_join,
         op5_language_id,
         op6_html_extraction,
