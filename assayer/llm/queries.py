@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from assayer.llm.itq import op7_embedding_near_dedup
 from assayer.llm.langid import op5_language_id
+from assayer.llm.masked_lm import op2_masked_lm
 from assayer.llm.ngram_join import op3_ngram_jaccard_join
 from assayer.llm.packing import op9_best_fit_packing
 from assayer.llm.quality import op8_quality_rules
 from assayer.llm.sentencepiece_codec import op1_sentencepiece
+from assayer.llm.transcripts import op4_chat_formatting
 from assayer.llm.urlfilter import op10_url_filters
 from assayer.llm.wrappers import op6_html_extraction
 
@@ -19,7 +21,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_sentencepiece,
+        op2_masked_lm,
         op3_ngram_jaccard_join,
+        op4_chat_formatting,
         op5_language_id,
         op6_html_extraction,
         op7_embedding_near_dedup,
