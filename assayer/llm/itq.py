@@ -44,13 +44,12 @@ _ITERATIONS = 30
 
 
 class Quantiser:
-    """Rotations (dim x bits each) and the centre; ``width``: bits of a table's string."""
+    """Rotations (dim x bits each); ``width``: bits of a table's string. Axes are those of the directions
+    about the origin, not about their mean: the angles that the cosine measures stay, even if all vectors are alike."""
 
     def __init__(self, sample: np.ndarray, vectors: int, cosine: float = COSINE, seed: int = 7):
         x = sample.astype(np.float64)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
-        self.centre = x.mean(0)
-        x = x - self.centre
         self.bits = min(BITS, x.shape[1])
         _, axes = np.linalg.eigh(x.T @ x)
         axes = axes[:, ::-1][:, : self.bits]
@@ -73,7 +72,7 @@ class Quantiser:
 
     def encode(self, x: np.ndarray) -> np.ndarray:
         """Codes (rows x codes) of vectors, as 64-bit integers."""
-        x = x / np.linalg.norm(x, axis=1, keepdims=True) - self.centre
+        x = x / np.linalg.norm(x, axis=1, keepdims=True)
         place = np.uint64(1) << np.arange(self.bits, dtype=np.uint64)
         return np.stack([((x @ m >= 0) * place).sum(1, dtype=np.uint64) for m in self.maps], 1).view(np.int64)
 
