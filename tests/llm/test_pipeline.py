@@ -11,7 +11,7 @@ def test_stages(spark, tmp_path):
     junk = [(" ".join(f"{w}%%%" for w in text("etaoinshr").split()), "aa") for _ in range(10)] + [("short", "aa"), (None, None)]
     rows = [(i, t, lang, "s", 0) for i, (t, lang) in enumerate(clean + near + junk)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(0, 120, 2)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert [k for k, _ in P.STAGES] == ["quality rules", "language ID", "n-gram Jaccard join", "best-fit packing"]
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     left = []
