@@ -13,7 +13,6 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parents[2])
@@ -75,23 +74,80 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-class WordHashes(dict):
-    """Word (bytes) -> 64-bit hash, remembered up to ``limit`` words."""
-
-    limit = 300_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_HASHES = WordHashes()
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+_BLOCK = 1 << 19
+_RNG = np.random.default_rng(20240917)
+_BYTE = _RNG.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = 0x5DEECE66D5A7B1F3
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, np.uint64(base))
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+_POW = [_powers(_BASE, _BLOCK + 1), _powers(pow(_BASE, -1, 1 << 64), _BLOCK + 1)]
+
+
+def _block_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of a block starts, and its hash: a polynomial of its bytes, by differences of running sums."""
+    buf = np.frombuffer(data, np.uint8)
+    if len(buf) >= len(_POW[0]):
+        _POW[:] = [_powers(_BASE, len(buf) + 1), _powers(pow(_BASE, -1, 1 << 64), len(buf) + 1)]
+    edge = np.ones(len(buf) + 2, bool)
+    edge[1:-1] = _SPACE[buf]
+    at = np.flatnonzero(edge[1:] != edge[:-1])
+    starts, ends = at[::2], at[1::2]
+    sums = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum(_BYTE[buf] * _POW[0][: len(buf)], out=sums[1:])
+    h = (sums[ends] - sums[starts]) * _POW[1][starts]
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    return starts, h ^ (h >> np.uint64(29))
+
+
+def word_hashes(texts: list[str | None], lower: bool = False) -> list[np.ndarray]:
+    """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` of each text; ``lower``: after A-Z became a-z."""
+    out: list[np.ndarray] = []
+    held: list[bytes] = []
+    size = 0
+
+    def flush() -> None:
+        if not held:
+            return
+        starts, h = _block_hashes(b"\n".join(held))
+        ends = np.cumsum([len(x) + 1 for x in held])
+        out.extend(np.split(h, np.searchsorted(starts, ends)[:-1]))
+        held.clear()
+
+    for text in texts:
+        data = utf8(text)
+        if lower:
+            data = data.lower()
+        if size + len(data) > _BLOCK:
+            flush()
+            size = 0
+        if len(data) > _BLOCK:
+            out.append(_long(data))
+            continue
+        held.append(data)
+        size += len(data) + 1
+    flush()
+    return out
+
+
+def _long(data: bytes) -> np.ndarray:
+    """Hashes of the words of a long text, in blocks that end at white space."""
+    parts, at = [], 0
+    while at < len(data):
+        end = min(at + _BLOCK, len(data))
+        while end < len(data) and not _SPACE[data[end]]:
+            end += 1
+        parts.append(_block_hashes(data[at:end])[1])
+        at = end
+    return np.concatenate(parts)
 
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)

@@ -5,12 +5,14 @@ documents first, then by the logarithm of their document frequency, then by hash
 Jaccard t or more share at least l tokens among their first ``size - ceil(t size) + l`` tokens, so each
 document may choose its own l: it takes the one of least estimated cost (lengths of the lists that its
 prefix reads, plus candidates expected to share l tokens times the size of a verification), and a pair
-needs min(l, l') shared prefix tokens before it is verified.
+needs min(l, l') shared prefix tokens before it is verified. Once the pair's sizes are known, only tokens
+within the shorter prefixes that its own overlap asks for count.
 
-Groups of copies never expand into all pairs. Exact copies are one vertex. Then each document is
-compared with the most typical document of its lists, and components with one another in the same way;
-the last step takes every pair that shares enough prefix tokens across two components, so no link
-between different components is lost, and links inside one can't change it.
+Groups of copies never expand into rows of pairs. Exact copies are one vertex. Then each document is
+compared with the most typical document of its lists. Many documents around one of these are a cluster:
+its members in different components are compared in blocks, by products of token matrices, which give no
+more rows than they have members. Every other pair that shares enough prefix tokens across two components
+is verified, so no link between different components is lost, and links inside one can't change it.
 
 Edge cases: texts that are null or have no word have no tokens and link with nothing; a text of fewer
 words than n is one token; repeated rows are copies; rows that repeat a doc_id with other texts are
@@ -29,13 +31,16 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm._common import Store, mix, partitions, prepare, table, utf8, windows, word_hashes
+from assayer.llm._common import Store, mix, partitions, prepare, table, windows, word_hashes
 from assayer.llm.components import components
 
 #: Tokens in at most so many documents are ordered by hash alone.
 LIGHT = 48
 #: Most frequent tokens that are broadcast; beyond it the least frequent of them count as light.
 HEAVY_TOKENS = 2_000_000
+#: Documents that gather around one typical document before they are compared in blocks, and a block's size.
+CLUSTER = 48
+BLOCK = 384
 #: Largest number of shared prefix tokens that is asked for.
 MOST_SHARED = 6
 #: Bits of a token that count its documents. Any order of tokens is right; collisions only cost time.
@@ -43,21 +48,31 @@ _BITS = 48
 _BUCKET_BITS = 10
 _CHUNK = 2_000_000
 _FILTER_BITS = 22
+#: Most ids of documents to drop that are broadcast; more are joined by shuffle.
+BROADCAST_IDS = 500_000
+#: Leading bits of a token that index a bitmap of tokens in two documents or more. Its size is fixed; the fuller it is, the fewer prefix tokens it spares.
+_SEEN_BITS = 27
 SHORT = np.uint64(0x5851F42D4C957F2D)
 
 
-def tokens(text: str | None, n: int) -> np.ndarray:
-    """Sorted distinct hashes of the lower-cased (A-Z) word n-grams; a shorter text is one token."""
-    words = utf8(text).lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = word_hashes(words)
-    if len(h) < n:
-        out = np.full(1, SHORT ^ np.uint64(len(h)), np.uint64)
-        for x in h:
-            out = mix(out, np.full(1, x, np.uint64))
-        return out
-    return np.unique(windows(h, n))
+def tokens(texts: list[str | None], n: int) -> list[np.ndarray]:
+    """Of each text the sorted distinct hashes of its lower-cased (A-Z) word n-grams; a shorter text is one token."""
+    return [_grams(h, n) for h in word_hashes(texts, lower=True)]
+
+
+def _grams(h: np.ndarray, n: int) -> np.ndarray:
+    if len(h) >= n:
+        g = windows(h, n)
+        g.sort()
+        new = np.ones(len(g), bool)
+        np.not_equal(g[1:], g[:-1], out=new[1:])
+        return g[new]
+    if not len(h):
+        return h
+    out = np.full(1, SHORT ^ np.uint64(len(h)), np.uint64)
+    for x in h:
+        out = mix(out, np.full(1, x, np.uint64))
+    return out
 
 
 # -- document frequencies ---------------------------------------------------------------------------
@@ -93,9 +108,9 @@ def _fingerprints(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, size = [], 0
         for b in batches:
-            for text in b.column(0).to_pylist():
-                sets.append(tokens(text, n))
-                size += len(sets[-1])
+            for h in tokens(b.column(0).to_pylist(), n):
+                sets.append(h)
+                size += len(h)
                 if size >= _CHUNK:
                     yield from flush(sets)
                     sets, size = [], 0
@@ -106,7 +121,7 @@ def _fingerprints(n: int):
 
 
 def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a task's buckets: tokens in more than LIGHT documents, and at -1 and -2 sums over the others."""
+    """Of a task's buckets: tokens in more than LIGHT documents, at -1 and -2 sums over the others, and at -3 - bucket its part of the bitmap."""
     blobs: dict[int, list[bytes]] = {}
     for b in batches:
         for bucket, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -121,15 +136,18 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first += int(df[light].sum())
         second += int((df[light] ** 2).sum())
         full = (values[~light] + (np.uint64(bucket) << np.uint64(_BITS - _BUCKET_BITS))).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(df[~light])], names=["token", "df"])
-    yield pa.RecordBatch.from_arrays([pa.array([-1, -2], pa.int64()), pa.array([first, second], pa.int64())], names=["token", "df"])
+        bits = np.zeros(1 << (_SEEN_BITS - _BUCKET_BITS), bool)
+        bits[values[df > 1] >> np.uint64(_BITS - _SEEN_BITS)] = True
+        yield pa.RecordBatch.from_arrays([pa.array([*full.tolist(), -3 - bucket], pa.int64()), pa.array([*df[~light].tolist(), 0], pa.int64()), pa.array([None] * len(full) + [np.packbits(bits).tobytes()], pa.binary())], names=["token", "df", "bits"])
+    yield pa.RecordBatch.from_arrays([pa.array([-1, -2], pa.int64()), pa.array([first, second], pa.int64()), pa.array([None, None], pa.binary())], names=["token", "df", "bits"])
 
 
 class Frequencies:
     """Of frequent tokens, sorted by token; ``light``: how many other documents hold a light token, on average over its places."""
 
-    def __init__(self, found: np.ndarray, df: np.ndarray, light: float, docs: int):
+    def __init__(self, found: np.ndarray, df: np.ndarray, light: float, docs: int, seen: np.ndarray):
         order = np.argsort(found)
+        self.seen = seen
         self.tokens, self.df, self.light, self.docs = found[order].astype(np.uint64), df[order].astype(np.float32), light, max(docs, 1)
 
     def of(self, h: np.ndarray) -> np.ndarray:
@@ -141,10 +159,16 @@ class Frequencies:
         return np.where(self.tokens[at] == h >> np.uint64(64 - _BITS), self.df[at], np.float32(0))
 
 
+    def again(self, h: np.ndarray) -> np.ndarray:
+        """Which tokens may be in another document too."""
+        at = h >> np.uint64(64 - _SEEN_BITS)
+        return self.seen[at >> np.uint64(3)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
+
+
 def frequencies(docs: DataFrame, n: int, store: Store) -> Frequencies:
     spark = docs.sparkSession
-    found = store.keep(docs.select("text").mapInArrow(_fingerprints(n), "bucket int, blob binary").repartition(partitions(spark), "bucket").mapInArrow(_frequent, "token long, df long"))
-    sums = {r[0]: r[1] for r in found.where("token < 0").groupBy("token").agg(F.sum("df")).collect()}
+    found = store.keep(docs.select("text").mapInArrow(_fingerprints(n), "bucket int, blob binary").repartition(partitions(spark), "bucket").mapInArrow(_frequent, "token long, df long, bits binary"))
+    sums = {r[0]: r[1] for r in found.where("token IN (-1, -2)").groupBy("token").agg(F.sum("df")).collect()}
     heavy = found.where("token >= 0")
     total, cut = 0, LIGHT
     for r in heavy.groupBy(F.floor(F.log2("df")).alias("k")).count().orderBy(F.desc("k")).collect():  # a row for each power of two
@@ -152,9 +176,13 @@ def frequencies(docs: DataFrame, n: int, store: Store) -> Frequencies:
         if total > HEAVY_TOKENS:
             cut = 2 ** (r["k"] + 1) - 1
             break
-    got = heavy.where(F.col("df") > cut).toArrow()
-    store.drop(found)
-    return Frequencies(got["token"].to_numpy(), got["df"].to_numpy(), sums.get(-2, 0) / max(sums.get(-1, 0), 1) - 1, docs.count())
+    got = heavy.where(F.col("df") > cut).select("token", "df").toArrow()
+    seen = np.zeros(1 << (_SEEN_BITS - 3), np.uint8)
+    part = len(seen) >> _BUCKET_BITS
+    for r in found.where("token < -2").select("token", "bits").toLocalIterator():  # one row a bucket
+        k = -3 - r["token"]
+        seen[k * part : (k + 1) * part] = np.frombuffer(r["bits"], np.uint8)
+    return Frequencies(got["token"].to_numpy(), got["df"].to_numpy(), sums.get(-2, 0) / max(sums.get(-1, 0), 1) - 1, docs.count(), seen)
 
 
 # -- prefixes ---------------------------------------------------------------------------------------
@@ -165,11 +193,12 @@ def linkable(size: int, percent: int) -> bool:
     return 100 * size >= percent * (size + 1)
 
 
-def prefix(h: np.ndarray, percent: int, freq: Frequencies) -> tuple[int, np.ndarray]:
-    """The number of shared tokens that the document asks for, and its prefix."""
+def prefix(h: np.ndarray, percent: int, freq: Frequencies) -> tuple[int, int, np.ndarray, np.ndarray]:
+    """How many tokens are known to be this document's alone, the number of shared tokens that it asks for, its prefix without lone tokens, and their places in the global order."""
     size = len(h)
-    if not linkable(size, percent):
-        return 1, h[:0]
+    alone = size - int(np.count_nonzero(freq.again(h)))
+    if 100 * (size - alone) < percent * size or not linkable(size, percent):  # it can link with no other set
+        return alone, 1, h[:0], np.zeros(0, np.int32)
     need = -(-percent * size // 100)
     df = freq.of(h)
     rank = np.where(df > 0, 1 + np.floor(2 * np.log2(np.maximum(df, 1))), 0)
@@ -186,21 +215,24 @@ def prefix(h: np.ndarray, percent: int, freq: Frequencies) -> tuple[int, np.ndar
         cost = lists + size * min(lists / shared, freq.docs * min(term, 1.0))
         if cost < least:
             best, least = shared, cost
-    return best, h[order[: min(size, size - need + best)]]
+    own = h[order[: min(size, size - need + best)]]
+    at = np.flatnonzero(freq.again(own))
+    return alone, best, own[at], at.astype(np.int32)
 
 
 def _prefixes(n: int, percent: int, freq: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            size, key, asked, own = [], [], [], []
-            for text in b.column(1).to_pylist():
-                h = tokens(text, n)
-                shared, p = prefix(h, percent, freq.value) if len(h) else (1, h)
+            size, key, lone, asked, own, places = [], [], [], [], [], []
+            for h in tokens(b.column(1).to_pylist(), n):
+                alone, shared, p, at = prefix(h, percent, freq.value)
+                lone.append(alone)
                 size.append(len(h))
                 key.append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
                 asked.append(shared)
-                own.append(p.astype(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(key, pa.binary()), pa.array(asked, pa.int32()), pa.array(own, pa.list_(pa.int64()))], names=["doc_id", "size", "key", "asked", "prefix"])
+                own.append(p.view(np.int64))
+                places.append(at)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(key, pa.binary()), pa.array(lone, pa.int64()), pa.array(asked, pa.int32()), pa.array(own, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))], names=["doc_id", "size", "key", "alone", "asked", "prefix", "places"])
 
     return run
 
@@ -221,7 +253,7 @@ def _sets(n: int, bits: Broadcast):
         wanted = np.unpackbits(bits.value).astype(bool)
         for b in batches:
             b = b.filter(pa.array(wanted[b.column(1).to_numpy(zero_copy_only=False)]))
-            h = [tokens(x, n) for x in b.column(2).to_pylist()]
+            h = tokens(b.column(2).to_pylist(), n)
             if len(h):
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in h], pa.binary()), pa.array([x.tobytes() for x in h], pa.binary())], names=["v", "key", "tokens"])
 
@@ -246,6 +278,16 @@ def _verified(percent: int):
     return run
 
 
+def sets_of(ids: DataFrame, docs: DataFrame, reps: DataFrame, n: int, store: Store) -> DataFrame:
+    """(v, tokens) of the vertices ``ids`` (v), a written table. Only their texts become sets."""
+    bits = docs.sparkSession.sparkContext.broadcast(_bitmap(ids))
+    texts = docs.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(1 << _FILTER_BITS)).cast("int").alias("b"), "text").where("doc_id IS NOT NULL")
+    wanted = store.keep(reps.select("v", "key").join(ids, "v", "left_semi"))
+    sets = store.keep(texts.mapInArrow(_sets(n, bits), "v long, key binary, tokens binary").join(wanted, ["v", "key"], "left_semi").dropDuplicates(["v", "key"]).select("v", "tokens"))
+    store.drop(wanted)
+    return sets
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of the pairs (x, y) those whose sets reach the threshold."""
     one = sets.select(F.col("v").alias("x"), F.col("tokens").alias("s"))
@@ -253,28 +295,98 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("x", "y").join(one, "x").join(two, "y").select("x", "y", "s", "t").mapInArrow(_verified(percent), "x long, y long")
 
 
+def _block_links(percent: int):
+    """Rows sorted by (g, i, j): g, i, j, side, v, c, tokens. For each block pair, components (x, y) that its links join, in linear number."""
+
+    def linked(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(rows).combine_chunks()
+        side, c = t["side"].to_numpy(), t["c"].to_numpy()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t["tokens"]]
+        sizes = np.array([len(x) for x in sets])
+        _, col, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(sets)), sizes)
+        row, col = row[often[col] > 1], col[often[col] > 1]
+        order = np.argsort(col, kind="stable")
+        row, col = row[order], np.cumsum(np.diff(col[order], prepend=-1) > 0) - 1
+        i, j = t["i"][0].as_py(), t["j"][0].as_py()
+        a, b = np.flatnonzero(side == i), np.flatnonzero(side == j)
+        both = np.zeros((len(a), len(b)), np.float32)
+        for start in range(0, int(col[-1]) + 1 if len(col) else 0, 4096):
+            s, e = np.searchsorted(col, (start, start + 4096))
+            part = np.zeros((len(sets), 4096), np.float32)
+            part[row[s:e], col[s:e] - start] = 1
+            both += part[a] @ part[b].T
+        link = 100 * both >= percent * (sizes[a][:, None] + sizes[b][None] - both)
+        names, at = np.unique(c, return_inverse=True)
+        best = np.arange(len(names))
+        while True:  # the smallest component that each reaches
+            new = best.copy()
+            np.minimum.at(new, at[a], np.where(link, best[at[b]][None], len(names)).min(1, initial=len(names)))
+            np.minimum.at(new, at[b], np.where(link, best[at[a]][:, None], len(names)).min(0, initial=len(names)))
+            new = new[new]
+            if (new == best).all():
+                break
+            best = new
+        moved = np.flatnonzero(best != np.arange(len(names)))
+        if len(moved):
+            yield pa.RecordBatch.from_arrays([pa.array(names[moved]), pa.array(names[best[moved]])], names=["x", "y"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(k).to_numpy() for k in range(3)], 1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), batch.num_rows]
+            for s, e in zip(cuts, cuts[1:], strict=False):
+                key = tuple(keys[s].tolist())
+                if last is not None and key != last:
+                    yield from linked(held)
+                    held = []
+                held.append(batch.slice(s, e - s))
+                last = key
+        if held:
+            yield from linked(held)
+
+    return run
+
+
+def within_clusters(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (x, y) between components (c) of each cluster (g) of documents (v), block by block."""
+    spark = members.sparkSession
+    sizes = members.groupBy("g").agg(F.count("*").alias("m"))
+    rows = members.join(sizes, "g").withColumn("blocks", F.ceil(F.col("m") / BLOCK)).withColumn("side", F.pmod(F.xxhash64("v"), F.col("blocks")))
+    rows = rows.select("g", "v", "c", "side", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("o"))
+    rows = rows.select("g", F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j"), "side", "v", "c").join(sets, "v").select("g", "i", "j", "side", "v", "c", "tokens")
+    return rows.repartition(partitions(spark), "g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(_block_links(percent), "x long, y long")
+
+
 # -- the join ---------------------------------------------------------------------------------------
 
 
-def _fits(a: str, b: str, percent: int) -> F.Column:
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+def _met(a: str, b: str, percent: int) -> F.Column:
+    """Whether two documents' sizes and lone tokens allow a link, and a shared token may be one of the first that they share, given the overlap that a pair of their sizes needs."""
+    x, y, both = F.col(f"{a}.size"), F.col(f"{b}.size"), F.least(f"{a}.asked", f"{b}.asked")
+    u, v = F.col(f"{a}.alone"), F.col(f"{b}.alone")
+    need = F.ceil(percent * (x + y) / (100 + percent))
+    return (100 * F.least(x - u, y - v) >= percent * F.greatest(x + v, y + u)) & (F.col(f"{a}.place") < x - need + both) & (F.col(f"{b}.place") < y - need + both)
 
 
-def _star(posts: DataFrame, percent: int, group: str) -> DataFrame:
-    """A pair (x, y) for each group of vertices: y is the most typical vertex of the lists that x is in, x the group's own most typical one there."""
-    tip = posts.groupBy("token").agg(F.max(F.struct("typical", "v", "size", group)).alias("t"))
-    own = posts.groupBy("token", group).agg(F.max(F.struct("typical", "v", "size")).alias("o"))
-    met = own.join(tip, "token").where(F.col(group) != F.col(f"t.{group}")).where(_fits("o.size", "t.size", percent))
-    return met.groupBy(group, F.col("o.v").alias("x"), F.col("t.v").alias("y")).agg(F.count("*").alias("k")).groupBy(group).agg(F.max(F.struct("k", "x", "y")).alias("b")).select("b.x", "b.y")
+def _star(posts: DataFrame, percent: int) -> DataFrame:
+    """(x, y) for each vertex x that shares two tokens or more with the most typical vertex of their lists: y is the one with which it shares most."""
+    tip = posts.groupBy("token").agg(F.max(F.struct("typical", "v", "size", "alone", "asked", "place")).alias("t"))
+    met = posts.alias("o").join(tip, "token").where((F.col("o.v") != F.col("t.v")) & _met("o", "t", percent))
+    return met.groupBy(F.col("o.v").alias("x"), F.col("t.v").alias("y")).agg(F.count("*").alias("k")).where("k > 1").groupBy("x").agg(F.max(F.struct("k", "y")).alias("b")).select("x", "b.y")
 
 
 def _across(posts: DataFrame, percent: int) -> DataFrame:
-    """Every pair of vertices of two components with enough shared prefix tokens. In a list, the largest component's members meet only the others."""
+    """Every pair of vertices of two components with enough shared prefix tokens, but for those of one cluster (g). In a list, the largest component's members meet only the others."""
     parts = posts.groupBy("token", "c").agg(F.count("*").alias("k"))
     lists = parts.groupBy("token").agg(F.max(F.struct("k", "c")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("token", F.col("m.c").alias("main"))
-    own = posts.join(lists, "token").select("token", "v", "size", "asked", "c", (F.col("c") != F.col("main")).alias("rest"))
+    own = posts.join(lists, "token").select("token", "v", "size", "alone", "asked", "place", "c", "g", (F.col("c") != F.col("main")).alias("rest"))
     a, b = own.where("rest").alias("a"), own.alias("b")
-    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.c") != F.col("b.c")) & (~F.col("b.rest") | (F.col("a.v") < F.col("b.v"))) & _fits("a.size", "b.size", percent))
+    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.c") != F.col("b.c")) & F.coalesce(F.col("a.g") != F.col("b.g"), F.lit(True)) & (~F.col("b.rest") | (F.col("a.v") < F.col("b.v"))) & _met("a", "b", percent))
     return (
         pairs.groupBy(F.least("a.v", "b.v").alias("x"), F.greatest("a.v", "b.v").alias("y"))
         .agg(F.count("*").alias("k"), F.min(F.least("a.asked", "b.asked")).alias("asked"))
@@ -293,51 +405,56 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     store = Store(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     freq = spark.sparkContext.broadcast(frequencies(docs, n, store))
-    rows = store.keep(docs.mapInArrow(_prefixes(n, percent, freq), "doc_id long, size long, key binary, asked int, prefix array<long>"))
+    rows = store.keep(docs.mapInArrow(_prefixes(n, percent, freq), "doc_id long, size long, key binary, alone long, asked int, prefix array<long>, places array<int>"))
     known = rows.where("doc_id IS NOT NULL AND key IS NOT NULL")
-    reps = store.keep(known.groupBy("key").agg(F.min("doc_id").alias("v"), F.first("size").alias("size"), F.first("asked").alias("asked"), F.first("prefix").alias("prefix")))
+    reps = store.keep(known.groupBy("key").agg(F.min("doc_id").alias("v"), F.first("size").alias("size"), F.first("alone").alias("alone"), F.first("asked").alias("asked"), F.first("prefix").alias("prefix"), F.first("places").alias("places")))
 
-    posts = reps.select("v", "size", "asked", F.explode("prefix").alias("token"))
+    posts = reps.select("v", "size", "alone", "asked", F.explode(F.arrays_zip("prefix", "places")).alias("p")).select("v", "size", "alone", "asked", F.col("p.prefix").alias("token"), F.col("p.places").alias("place"))
     lists = posts.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
     shared = store.keep(posts.join(lists, "token"))
-    typical = shared.groupBy("v").agg(F.sum("n").alias("typical"), F.count("*").alias("own"), F.min("asked").alias("least"))
-    least = typical.agg(F.min("least")).first()[0] or 1
-    posts = store.keep(shared.join(typical.where(F.col("own") >= least).select("v", "typical"), "v").select("token", "v", "size", "asked", "typical"))
-
-    bits = spark.sparkContext.broadcast(_bitmap(posts.select("v")))
-    involved = posts.select("v").distinct()
-    texts = docs.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(1 << _FILTER_BITS)).cast("int").alias("b"), "text").where("doc_id IS NOT NULL")
-    sets = texts.mapInArrow(_sets(n, bits), "v long, key binary, tokens binary")
-    sets = store.keep(sets.join(reps.select("v", "key"), ["v", "key"], "left_semi").join(involved, "v", "left_semi").dropDuplicates(["v", "key"]).select("v", "tokens"))
+    posts = store.keep(shared.join(shared.groupBy("v").agg(F.sum("n").alias("typical")), "v").select("token", "v", "size", "alone", "asked", "place", "typical"))
+    store.drop(shared)
 
     repeated = known.groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").select("doc_id")
     classes = known.join(repeated, "doc_id", "left_semi").select("doc_id", "key").distinct().join(reps.select("key", "v"), "key")
     links = store.keep(classes.select(F.col("doc_id").alias("x"), F.col("v").alias("y")))
-    links = links.unionByName(store.keep(verified(store.keep(_star(posts.withColumn("g", F.col("v")), percent, "g")), sets, percent)))
+    star = store.keep(_star(posts, percent))
+    ids = store.keep(star.select(F.explode(F.array("x", "y")).alias("v")).distinct())
+    sets = sets_of(ids, docs, reps, n, store)
+    links = links.unionByName(store.keep(verified(star, sets, percent)))
+    label = components(links, store)
+
+    large = star.groupBy("y").agg(F.count("*").alias("m")).where(F.col("m") >= CLUSTER).select(F.col("y").alias("g"))
+    cluster = store.keep(star.join(large, F.col("y") == F.col("g")).select(F.col("x").alias("v"), "g").join(large.select(F.col("g").alias("v")), "v", "left_anti").unionByName(large.select(F.col("g").alias("v"), "g")))
+    own = store.keep(posts.join(label, "v", "left").withColumn("c", F.coalesce("c", "v")).join(cluster, "v", "left"))
+    members = cluster.join(label, "v", "left").select("v", "g", F.coalesce("c", "v").alias("c"))
+    mixed = members.groupBy("g").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("g")
+    inner = store.keep(within_clusters(members.join(mixed, "g", "left_semi"), sets, percent))
+    store.drop(ids, sets)
+
+    pairs = store.keep(_across(own, percent))
+    ids = store.keep(pairs.select(F.explode(F.array("x", "y")).alias("v")).distinct())
+    sets = sets_of(ids, docs, reps, n, store)
+    links = links.unionByName(inner).unionByName(store.keep(verified(pairs, sets, percent)))
     label = components(links, store)
-    for last in (False, True):
-        own = posts.join(label, "v", "left").withColumn("c", F.coalesce("c", "v"))
-        own = store.keep(own)
-        pairs = store.keep(_across(own, percent) if last else _star(own, percent, "c"))
-        links = links.unionByName(store.keep(verified(pairs, sets, percent)))
-        label = components(links, store)
-        store.drop(own, pairs)
-
-    store.drop(posts, shared, sets)
+    store.drop(own, pairs, ids, sets, cluster)
+    store.drop(posts)
     named = store.keep(reps.select("key", "v").join(label, "v", "left").select("key", F.coalesce("c", "v").alias("c")))
     return rows.select("doc_id", F.col("size").alias("n_shingles"), "key").join(named, "key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id")).alias("component_id"))
 
 
 def keep_one_of_each_group(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The documents whose doc_id is their component's smallest, with all their columns; of rows that repeat a doc_id, one. A null doc_id stays."""
-    found = Store(docs.sparkSession).keep(jaccard_components(docs, n, percent))
+    found = Store(docs.sparkSession).keep(jaccard_components(docs, n, percent).select("doc_id", "component_id"))
     gone = found.where("component_id <> doc_id").select("doc_id").distinct()
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
     again = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti")
     if again.isEmpty():
-        return kept.select(docs.columns)
-    twice = kept.join(again, "doc_id", "left_semi").withColumn("_least", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return kept.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(twice.orderBy("_least").dropDuplicates(["doc_id"]).select(docs.columns))
+        return kept
+    one = kept.join(again, "doc_id", "left_semi").select(docs.columns).groupBy(F.col("doc_id").alias("k")).agg(F.min_by(F.struct(docs.columns), F.xxhash64(F.coalesce("text", F.lit("")))).alias("r")).select("r.*")
+    return kept.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(one)
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
