@@ -60,9 +60,9 @@ def comparisons(runs: DataFrame, metric: str, baseline: str, confidence: float =
     d = pairs(runs, metric, baseline).groupBy("arm").agg(F.count("*").alias("n_pairs"), F.avg("difference").alias("m"), F.coalesce(F.stddev_samp("difference"), F.lit(0.0)).alias("sd"), *lists)
     error = F.col("sd") / F.sqrt("n_pairs")
     one, flat = F.col("n_pairs") == 1, error == 0
-    half = student_t.critical(F.col("n_pairs") - 1, confidence) * error
+    d = d.withColumn("half", student_t.critical(F.col("n_pairs") - 1, confidence) * error)
     p = F.when(one, NAN).when(flat, F.when(F.col("m") != 0, 0.0).otherwise(1.0)).otherwise(student_t.two_sided_p(F.col("m") / F.when(flat, 1.0).otherwise(error), F.col("n_pairs") - 1))
-    bound = lambda sign: F.when(one, NAN).when(flat, F.col("m")).otherwise(F.col("m") + sign * half)
+    bound = lambda sign: F.when(one, NAN).when(flat, F.col("m")).otherwise(F.col("m") + sign * F.col("half"))
     return d.select(
         "arm",
         F.lit(baseline).alias("baseline"),

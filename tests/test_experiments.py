@@ -80,6 +80,11 @@ def test_student_t_tables(spark):
         assert abs(r["p"] - 0.05) < 1e-6 and abs(r["c"] - r["t"]) < 1e-6
 
 
+def test_critical_values_of_many_degrees_of_freedom(spark):
+    df = spark.createDataFrame([(k,) for k in (199, 200, 201, 1000, 5001)], "df long").withColumn("c", student_t.critical(F.col("df"), 0.99))
+    assert all(abs(r[0] - 0.01) < 1e-8 for r in df.select(student_t.two_sided_p(F.col("c"), F.col("df"))).collect())
+
+
 def test_nan_never_passes(spark):
     df = spark.createDataFrame([(float("nan"),)], "x double")
     assert df.select(E.passes(F.lit(">"), F.col("x"), F.lit(0.0))).first()[0] is False
