@@ -33,21 +33,65 @@ _SCHEMA = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa
 BROADCAST_ROWS = 100_000
 
 
+#: Marks that end words; none of them begins a contraction or a special token.
+MARKS = b".,!?%*#$&;:)|"
+
+
 class WordIds(dict):
     """Word -> its ids as little-endian bytes. White space always separates tokens of this vocabulary
-    (its pattern never matches any), so a text's ids are those of its words, one after another."""
+    (its pattern never matches any), so a text's ids are those of its words, one after another. Words of
+    letters, with marks at the end, take their letters' ids from a second cache: case and marks do not
+    change them, and one call encodes many, as every such token ends in a piece that closes a word. For
+    ASCII letters the model alone does, since normalisation and byte mapping leave them as they are."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 450_000):
         from tokenizers import Tokenizer
-
-        self.path, self.limit, self.tokenizer = path, limit, Tokenizer.from_file(path)
+        from tokenizers.pre_tokenizers import WhitespaceSplit
+
+        self.limit, self.tokenizer = limit, Tokenizer.from_file(path)
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = WhitespaceSplit()
+        self.stems: dict[bytes, bytes] = {}
+        self.marks: dict[bytes, bytes] = {b"": b""}
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.closes = np.zeros(max(vocab.values()) + 1, bool)
+        self.closes[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+
+    def encode(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def add_stems(self, new: list[bytes], tokenizer) -> None:
+        for at in range(0, len(new), 256):
+            part = new[at : at + 256]
+            ids = np.array(tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.closes[ids]) + 1)).tolist()
+            if len(ends) == len(part):
+                buf = ids.tobytes()
+                self.stems.update(zip(part, map(buf.__getitem__, map(slice, [0, *ends], ends)), strict=False))
+            else:
+                self.stems.update(zip(part, self.encode([w.decode() for w in part]), strict=True))
 
     def add(self, words: set[bytes]) -> None:
         if len(self) + len(words) > self.limit:
             self.clear()
+        if len(self.stems) > self.limit:
+            self.stems.clear()
         new = [w for w in words if w not in self]
-        for word, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-            self[word] = np.array(e.ids, "<u4").tobytes()
+        stems = [w.lower().rstrip(MARKS) for w in new]
+        letters = [w for w in set(stems).difference(self.stems) if w.decode().isalpha()]
+        self.add_stems([w for w in letters if w.isascii()], self.bare)
+        self.add_stems([w for w in letters if not w.isascii()], self.tokenizer)
+        other = []
+        for word, stem in zip(new, stems, strict=True):
+            ids = self.stems.get(stem)
+            if ids is None:
+                other.append(word)
+                continue
+            mark = word[len(stem) :]
+            if mark not in self.marks:
+                self.marks[mark] = self.encode([mark.decode()])[0]
+            self[word] = ids + self.marks[mark]
+        self.update(zip(other, self.encode([w.decode() for w in other]), strict=True))
 
 
 _IDS: dict[str, WordIds] = {}
@@ -65,7 +109,7 @@ def encoded(texts: list[str | None], ids: WordIds) -> Iterator[bytes]:
     at = 0
     while at < len(texts):
         block, size = [], 0
-        while at < len(texts) and (not block or size < 4 << 20):
+        while at < len(texts) and (not block or size < 1 << 20):
             block.append(utf8(texts[at]).split())
             size += len(texts[at] or "")
             at += 1
