@@ -352,10 +352,9 @@ def _block_links(percent: int):
     return run
 
 
-def within_clusters(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (x, y) between components (c) of each cluster (g) of documents (v), block by block."""
+def within_clusters(members: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (x, y) between components (c) of documents (v) of a cluster (g), block by block. ``sizes``: a written table (g, m)."""
     spark = members.sparkSession
-    sizes = members.groupBy("g").agg(F.count("*").alias("m"))
     rows = members.join(sizes, "g").withColumn("blocks", F.ceil(F.col("m") / BLOCK)).withColumn("side", F.pmod(F.xxhash64("v"), F.col("blocks")))
     rows = rows.select("g", "v", "c", "side", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("o"))
     rows = rows.select("g", F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j"), "side", "v", "c").join(sets, "v").select("g", "i", "j", "side", "v", "c", "tokens")
@@ -428,8 +427,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     cluster = store.keep(star.join(large, F.col("y") == F.col("g")).select(F.col("x").alias("v"), "g").join(large.select(F.col("g").alias("v")), "v", "left_anti").unionByName(large.select(F.col("g").alias("v"), "g")))
     own = store.keep(posts.join(label, "v", "left").withColumn("c", F.coalesce("c", "v")).join(cluster, "v", "left"))
     members = cluster.join(label, "v", "left").select("v", "g", F.coalesce("c", "v").alias("c"))
-    mixed = members.groupBy("g").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("g")
-    inner = store.keep(within_clusters(members.join(mixed, "g", "left_semi"), sets, percent))
+    sizes = store.keep(members.groupBy("g").agg(F.count("*").alias("m"), F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("g", "m"))
+    inner = store.keep(within_clusters(members, sizes, sets, percent))
     store.drop(ids, sets)
 
     pairs = store.keep(_across(own, percent))
@@ -437,7 +436,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     sets = sets_of(ids, docs, reps, n, store)
     links = links.unionByName(inner).unionByName(store.keep(verified(pairs, sets, percent)))
     label = components(links, store)
-    store.drop(own, pairs, ids, sets, cluster)
+    store.drop(own, pairs, ids, sets, cluster, sizes)
     store.drop(posts)
     named = store.keep(reps.select("key", "v").join(label, "v", "left").select("key", F.coalesce("c", "v").alias("c")))
     return rows.select("doc_id", F.col("size").alias("n_shingles"), "key").join(named, "key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id")).alias("component_id"))

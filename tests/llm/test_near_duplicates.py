@@ -84,6 +84,8 @@ def test_light_order_does_not_matter(documents, monkeypatch):
     """With every repeated token frequent, and with many matches asked for, the links are the same."""
     texts = corpus(9)
     monkeypatch.setattr(J, "LIGHT", 1)
+    monkeypatch.setattr(J, "CLUSTER", 2)
+    monkeypatch.setattr(J, "BLOCK", 3)
     got = {r["doc_id"]: r["component_id"] for r in J.jaccard_components(documents(texts), 3, 90).collect()}
     assert got == brute(list(enumerate(texts)), 3, 90)[0]
 
