@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -54,9 +53,9 @@ class Codec:
         self.coded = {p: np.array([i], "<i4").tobytes() for p, (i, _) in self.pieces.items() if len(p) == 1 or self.split(p)}
         found: dict[str, set[int]] = {}
         for p in self.coded:
-            found.setdefault(p[-3:], set()).add(len(p))
-        #: By the last three characters, the lengths of pieces that end so, longest first.
-        self.lengths = {k: tuple(sorted(v | {1, 2}, reverse=True)) for k, v in found.items()}
+            found.setdefault(p[-4:], set()).add(len(p))
+        #: By the last four characters, the lengths of pieces that end so, longest first.
+        self.lengths = {k: tuple(sorted(v | {1, 2, 3}, reverse=True)) for k, v in found.items()}
         self.bytes = {int(p.piece[1:-1], 16): i for i, p in enumerate(model.pieces) if p.type == BYTE}
         self.unknown = next(i for i, p in enumerate(model.pieces) if p.type == UNKNOWN)
         surface = {NORMAL: lambda p: p.piece.replace(MARK, " ").encode(), BYTE: lambda p: bytes([int(p.piece[1:-1], 16)]), UNKNOWN: lambda p: " ⁇ ".encode()}
@@ -130,10 +129,12 @@ class Codec:
         last, path, before = [""], [b""], ""
         coded, lengths, pairs = self.coded, self.lengths, self.pairs
         for word in words:
-            shared = len(commonprefix((before, word)))
+            shared, most = 0, min(len(before), len(word))
+            while shared < most and before[shared] == word[shared]:
+                shared += 1
             del last[shared + 1 :], path[shared + 1 :]
             for i in range(shared + 1, len(word) + 1):
-                for n in lengths.get(word[max(0, i - 3) : i], (2, 1)):
+                for n in lengths.get(word[i - 4 if i > 4 else 0 : i], (3, 2, 1)):
                     start = i - n
                     if start < 0:
                         continue
