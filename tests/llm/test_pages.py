@@ -42,6 +42,32 @@ def test_constant_texts_of_a_host_go(spark):
     assert wrappers.extract_articles(pages.limit(0)).count() == 0
 
 
+def host_texts(pages):
+    w = None
+    for html in pages:
+        page = wrappers.of_page(wrappers.parse(html))
+        w = page if w is None else wrappers.merged(w, page)
+    part = wrappers.part_of(wrappers.load(w.dump()))
+    return [wrappers.extract(html, part) for html in pages]
+
+
+def test_constant_texts_go_by_aligned_node():
+    bodies = [(f"alpha {i} " * 9, f"head {i}", f"beta {i} " * 9) for i in range(6)]
+    page = "<div class=wrap><p>%s</p><h2>%s</h2><p>%s</p><div class=ad>buy</div><p>All rights reserved</p></div>"
+    assert host_texts([page % b for b in bodies]) == ["\n".join(x.strip() for x in b) for b in bodies]
+    # a constant text of an element does not take along the blocks inside it
+    page = "<div class=wrap><div class=by>Written by <p>%s</p></div><h2>%s</h2><p>%s</p></div>"
+    assert host_texts([page % b for b in bodies]) == ["\n".join(x.strip() for x in b) for b in bodies]
+
+
+def test_blocks_of_a_few_copies_stay():
+    page = "<div class=wrap><p>%s</p>%s</div>"
+    copies = [page % ("same " * 20, "<h2>k</h2><blockquote>only here</blockquote>")] * 5
+    texts = host_texts(copies + [page % (f"other {i} " * 20, "") for i in range(9)])
+    assert all(x.endswith("k\nonly here") for x in texts[:5])
+    assert all(host_texts(copies))  # one distinct page has no constant texts
+
+
 RULED = [
     ("http://a.example.com/en/700?x", "example.com/en/7", "allow"),
     ("https://EXAMPLE.com/en/6", "com/en/", "block"),
