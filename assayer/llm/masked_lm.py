@@ -4,8 +4,8 @@ A network of a window predicts every word from the two words on either side of i
 words, a hidden layer, a softmax over classes of words, and within a class the words' corpus shares. The
 score of a document is the sum of the logarithms of these conditional probabilities.
 
-Counts cover all documents, and so does training: each document gives one position in ``EVERY``, masked in
-turn. Tasks train on their own documents from a common start, and their parameters are averaged with
+Counts cover all documents, and so does training: every position of every document is a target once, in
+one of the rounds. Tasks train on their own documents from a common start, and their parameters are averaged with
 weights of how often each was trained; the second round goes on from there with the other half of the
 documents. Sums of parameters are reduced by chunk and stream through the reducers.
 
@@ -29,10 +29,11 @@ WORDS = 1 << 15
 CLASSES = 64
 SIDE = 2
 EMBEDDING, HIDDEN = 12, 32
-#: One position in so many of a document is a training target.
-EVERY = 4
+#: Each document is trained on in one of so many rounds.
 ROUNDS = 2
 BATCH = 4096
+#: Positions that are gathered before they are trained on, however many a batch of documents has.
+HELD = 1 << 18
 RATE = 1.0
 #: Rows of the embeddings that are reduced together.
 CHUNK = 1024
@@ -147,9 +148,10 @@ def _train(start: Network, turn: int):
         for b in batches:
             for ids in bucket_ids(b.column(0).to_pylist()):
                 if len(ids) and int(ids[0] + len(ids)) % ROUNDS == turn:
-                    at = np.arange(int(ids[-1]) % EVERY, len(ids), EVERY)
-                    held.append((ids[at], contexts(ids, at)))
-                    size += len(at)
+                    held.append((ids, contexts(ids)))
+                    size += len(ids)
+                if size >= HELD:
+                    step()
             if size >= BATCH:
                 step()
         if size:

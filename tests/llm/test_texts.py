@@ -3,6 +3,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from assayer.llm import langid, masked_lm, packing, quality, sentencepiece_codec, transcripts
@@ -165,6 +166,16 @@ def test_model_beats_counts_and_prefers_order(documents):
     assert masked_lm.pseudo_likelihood(docs.limit(0)).count() == 0
 
 
+def test_every_position_is_a_training_target(monkeypatch):
+    texts = [" ".join(f"w{i}x{k}" for k in range(i % 9)) for i in range(40)] + ["one two three " * 50, None]
+    seen = []
+    monkeypatch.setattr(masked_lm.Network, "train", lambda self, ids, context, rate: seen.append(ids.copy()))
+    net = masked_lm.Network(np.ones(masked_lm.WORDS))
+    for turn in range(masked_lm.ROUNDS):
+        list(masked_lm._train(net, turn)(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])])))
+    assert sorted(np.concatenate(seen)) == sorted(np.concatenate(masked_lm.bucket_ids(texts)))
+
+
 def test_score_in_blocks_is_the_score_of_the_whole(monkeypatch):
     rng = np.random.default_rng(8)
     ids = rng.integers(0, masked_lm.WORDS, 300).astype(np.int32)
