@@ -1,7 +1,8 @@
 """Pseudo-likelihood of documents under a masked language model.
 
 A network of a window predicts every word from the two words on either side of it: embeddings of hashed
-words, a hidden layer, a softmax over classes of words, and within a class the words' corpus shares. The
+words, a hidden layer, a softmax over classes of words, and within each class a softmax over its words,
+which starts from their corpus shares. The
 score of a document is the sum of the logarithms of these conditional probabilities.
 
 Counts cover all documents, and so does training: every position of every document is a target once, in
@@ -37,6 +38,8 @@ HELD = 1 << 18
 RATE = 1.0
 #: Rows of the embeddings that are reduced together.
 CHUNK = 1024
+#: Numbers of chunks from here on are those of the words' softmax.
+OUTPUT = 1 << 20
 RESULT = "doc_id long, n_words long, log_likelihood double, per_word double"
 
 
@@ -53,7 +56,11 @@ def contexts(ids: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
 
 
 class Network:
-    """Parameters and what follows from the corpus counts: a class for each word and its share of the class."""
+    """Parameters and what follows from the corpus counts: a class for each word and its place among the words by class.
+
+    ``v`` and ``c`` are the softmax over classes; ``u`` and ``a`` those over the words of each class, a row
+    for each word by its place.
+    """
 
     def __init__(self, counts: np.ndarray, seed: int = 11):
         rng = np.random.default_rng(seed)
@@ -63,44 +70,82 @@ class Network:
         self.classes = np.empty(WORDS, np.int64)
         self.classes[order] = np.minimum((mass / smooth.sum() * CLASSES).astype(np.int64), CLASSES - 1)
         total = np.bincount(self.classes, smooth, CLASSES)
-        self.share = np.log(smooth / total[self.classes]).astype(np.float32)
+        # classes are cut from the words by count, so the words of a class lie side by side
+        self.place = np.empty(WORDS, np.int64)
+        self.place[order] = np.arange(WORDS)
+        self.first = np.searchsorted(self.classes[order], np.arange(CLASSES + 1))
         self.e = (rng.standard_normal((WORDS + 1, EMBEDDING)) * 0.3).astype(np.float32)
         self.w = (rng.standard_normal((2 * SIDE * EMBEDDING, HIDDEN)) * 0.2).astype(np.float32)
         self.b = np.zeros(HIDDEN, np.float32)
         self.v = np.zeros((HIDDEN, CLASSES), np.float32)
         self.c = np.log(np.maximum(total, 1) / smooth.sum()).astype(np.float32)
+        self.u = np.zeros((WORDS, HIDDEN), np.float32)
+        self.a = np.log(smooth / total[self.classes])[order].astype(np.float32)
 
     def copy(self) -> Network:
         new = object.__new__(Network)
-        new.__dict__ = {k: (v.copy() if k in "ewbvc" else v) for k, v in self.__dict__.items()}
+        new.__dict__ = {k: (v.copy() if k in "ewbvcua" else v) for k, v in self.__dict__.items()}
         return new
 
     def hidden(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         x = self.e[context].reshape(len(context), -1)
         return x, np.tanh(x @ self.w + self.b)
 
+    def by_class(self, classes: np.ndarray) -> Iterator[tuple[np.ndarray, slice]]:
+        """Positions of each class that occurs and has more than one word, and the class's words by place."""
+        order = np.argsort(classes, kind="stable")
+        edges = np.searchsorted(classes[order], np.arange(CLASSES + 1))
+        for k in np.flatnonzero(np.diff(edges)):
+            if self.first[k + 1] - self.first[k] > 1:
+                yield order[edges[k] : edges[k + 1]], slice(self.first[k], self.first[k + 1])
+
     def log_probabilities(self, ids: np.ndarray, context: np.ndarray) -> np.ndarray:
         """log P(word | its context) at each position."""
-        z = self.hidden(context)[1] @ self.v
+        h = self.hidden(context)[1]
+        z = h @ self.v
         z += self.c
         classes = self.classes[ids]
         own = z[np.arange(len(ids)), classes]
         top = z.max(1)
         z -= top[:, None]
         np.exp(z, out=z)
-        return own - top - np.log(z.sum(1)) + self.share[ids]
+        found = own - top - np.log(z.sum(1))
+        for at, words in self.by_class(classes):
+            z = h[at] @ self.u[words].T
+            z += self.a[words]
+            own = z[np.arange(len(at)), self.place[ids[at]] - words.start]
+            top = z.max(1)
+            z -= top[:, None]
+            np.exp(z, out=z)
+            found[at] += own - top - np.log(z.sum(1))
+        return found
 
     def train(self, ids: np.ndarray, context: np.ndarray, rate: float) -> None:
-        """One step of gradient descent on the cross-entropy of the classes."""
+        """One step of gradient descent on the cross-entropy of the classes and of the words within them."""
         n = len(ids)
         x, h = self.hidden(context)
         z = h @ self.v + self.c
         z -= z.max(1, keepdims=True)
         np.exp(z, out=z)
         z /= z.sum(1, keepdims=True)
-        z[np.arange(n), self.classes[ids]] -= 1
+        classes = self.classes[ids]
+        z[np.arange(n), classes] -= 1
         z /= n
-        d = (z @ self.v.T) * (1 - h * h)
+        d = z @ self.v.T
+        for at, words in self.by_class(classes):
+            u, own = self.u[words], h[at]
+            y = own @ u.T
+            y += self.a[words]
+            y -= y.max(1, keepdims=True)
+            np.exp(y, out=y)
+            y /= y.sum(1, keepdims=True)
+            y[np.arange(len(at)), self.place[ids[at]] - words.start] -= 1
+            d[at] += (y @ u) / np.float32(n)
+            # the mean over the class's own positions, so that a class learns as fast as the softmax over classes
+            step = np.float32(rate / max(len(at), n / CLASSES))
+            u -= step * (y.T @ own)
+            self.a[words] -= step * y.sum(0)
+        d *= 1 - h * h
         g = (d @ self.w.T).reshape(-1, EMBEDDING)
         self.v -= rate * (h.T @ z)
         self.c -= rate * z.sum(0)
@@ -163,6 +208,9 @@ def _train(start: Network, turn: int):
             n = seen[k : k + CHUNK]
             if n.any():
                 out.append((k // CHUNK, (net.e[k : k + CHUNK] * n[:, None]).tobytes(), n.tobytes()))
+        for k in range(0, WORDS, CHUNK):
+            rows = np.column_stack([net.u[k : k + CHUNK], net.a[k : k + CHUNK]]) * np.float32(steps)
+            out.append((OUTPUT + k // CHUNK, rows.tobytes(), np.full(1, steps, np.float32).tobytes()))
         rest = np.concatenate([x.ravel() for x in (net.w, net.b, net.v, net.c)])
         out.append((-1, (rest * np.float32(steps)).tobytes(), np.full(1, steps, np.float32).tobytes()))
         for i in range(0, len(out), 16):
@@ -200,6 +248,10 @@ def fit(docs: DataFrame) -> Network:
                 for x in (net.w, net.b, net.v, net.c):
                     x[...] = (s[at : at + x.size] / n[0]).reshape(x.shape)
                     at += x.size
+            elif chunk >= OUTPUT:
+                k = (chunk - OUTPUT) * CHUNK
+                rows = s.reshape(-1, HIDDEN + 1) / n[0]
+                net.u[k : k + CHUNK], net.a[k : k + CHUNK] = rows[:, :-1], rows[:, -1]
             else:
                 rows = net.e[chunk * CHUNK : (chunk + 1) * CHUNK]
                 rows[n > 0] = s.reshape(-1, EMBEDDING)[n > 0] / n[n > 0][:, None]

@@ -176,6 +176,36 @@ def test_every_position_is_a_training_target(monkeypatch):
     assert sorted(np.concatenate(seen)) == sorted(np.concatenate(masked_lm.bucket_ids(texts)))
 
 
+def test_context_tells_words_of_a_class_apart():
+    rng = np.random.default_rng(5)
+    net = masked_lm.Network(np.ones(masked_lm.WORDS))
+    x, y = (int(w) for w in np.flatnonzero(net.classes == 40)[:2])
+    around = rng.integers(0, masked_lm.WORDS, (2, 2 * masked_lm.SIDE)).astype(np.int32)
+    which = rng.integers(0, 2, 1024)
+    for _ in range(60):
+        net.train(np.array([x, y], np.int32)[which], around[which], 1.0)
+    p = [net.log_probabilities(np.array([x, y], np.int32), around[[k, k]]) for k in (0, 1)]
+    assert p[0][0] > p[0][1] + 1 and p[1][1] > p[1][0] + 1
+    every = np.arange(masked_lm.WORDS, dtype=np.int32)
+    assert abs(np.exp(net.log_probabilities(every, np.repeat(around[:1], masked_lm.WORDS, 0)).astype(float)).sum() - 1) < 1e-3
+
+
+def test_step_follows_the_gradient():
+    rng = np.random.default_rng(6)
+    net = masked_lm.Network(rng.integers(1, 50, masked_lm.WORDS).astype(float))
+    ids, context = rng.integers(0, masked_lm.WORDS, 2048).astype(np.int32), rng.integers(0, masked_lm.WORDS, (2048, 2 * masked_lm.SIDE)).astype(np.int32)
+    net.u[:] = rng.standard_normal(net.u.shape) * 0.3
+    loss = lambda n: -float(n.log_probabilities(ids, context).sum(dtype=float))
+    new = net.copy()
+    new.train(ids, context, 1e-3)
+    for name in ("w", "b"):
+        step = getattr(new, name).astype(float) - getattr(net, name)
+        one = net.copy()
+        scale = 0.05 / np.abs(step).max()
+        getattr(one, name)[...] += step * scale
+        assert abs((loss(one) - loss(net)) / len(ids) / (-(step**2).sum() / 1e-3 * scale) - 1) < 0.3
+
+
 def test_score_in_blocks_is_the_score_of_the_whole(monkeypatch):
     rng = np.random.default_rng(8)
     ids = rng.integers(0, masked_lm.WORDS, 300).astype(np.int32)
