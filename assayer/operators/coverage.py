@@ -94,10 +94,14 @@ def coverage_matrix(uses: DataFrame) -> DataFrame:
     return uses.groupBy("method", "dataset").agg(F.countDistinct("src").alias("n_sources"))
 
 
-def coverage_gaps(uses: DataFrame) -> DataFrame:
-    """Cells of the matrix of methods and datasets that no source covers. The matrix is the result's frame: two short lists."""
+def coverage_gaps(uses: DataFrame, counts: Column | None = None) -> DataFrame:
+    """Cells of the matrix of methods and datasets that no source covers. The matrix is the result's frame: two short lists.
+
+    ``counts``: which uses cover their cell; all of them if left out. Methods and datasets are those of all uses.
+    """
     methods, datasets = uses.select("method").distinct(), uses.select("dataset").distinct()
-    return methods.crossJoin(datasets).join(uses.select("method", "dataset").distinct(), ["method", "dataset"], "left_anti")
+    covered = uses if counts is None else uses.where(counts)
+    return methods.crossJoin(datasets).join(covered.select("method", "dataset").distinct(), ["method", "dataset"], "left_anti")
 
 
 def screening_counts(sources: DataFrame) -> DataFrame:

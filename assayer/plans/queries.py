@@ -313,9 +313,7 @@ def coverage_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH u AS ({_USES}) SELECT m.method, d.dataset FROM (SELECT DISTINCT method FROM u) m, (SELECT DISTINCT dataset FROM u) d WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.method = m.method AND u.dataset = d.dataset AND u.src % 500 = 0)")
 def coverage_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    uses = _uses(spark, sf_dir)
-    every = uses.select("method", "dataset").distinct()
-    return every.select("method").distinct().crossJoin(F.broadcast(every.select("dataset").distinct())).join(uses.where(F.col("src") % 500 == 0).select("method", "dataset").distinct(), ["method", "dataset"], "left_anti")
+    return coverage.coverage_gaps(_uses(spark, sf_dir), F.col("src") % 500 == 0)
 
 
 @query("SELECT p_partkey AS key, 'Part ' || p_partkey AS title FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 48)")

@@ -59,3 +59,19 @@ def test_quotes_in_dossiers(spark):
     q = spark.createDataFrame([("a", "b c"), ("a", "c b"), ("z", "b")], "raw string, quote string")
     d = spark.createDataFrame([("a", "a b c d")], "raw string, text string")
     assert sorted((r["raw"], r["quote"], r["found"]) for r in C.quotes_in_dossiers(q, d).collect()) == [("a", "b c", True), ("a", "c b", False), ("z", "b", False)]
+
+
+def test_coverage_gaps(spark, db, monkeypatch):
+    from pyspark.sql import functions as F
+
+    given = [(1, "a", "x"), (2, "a", "y"), (2, "a", "y"), (3, "b", "z"), (4, "c", "x")]
+    uses = spark.createDataFrame(given, "src long, method string, dataset string")
+    sql = "WITH u(src, method, dataset) AS (VALUES " + ", ".join(map(str, given)) + ") SELECT m.method, d.dataset FROM (SELECT DISTINCT method FROM u) m, (SELECT DISTINCT dataset FROM u) d WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.method = m.method AND u.dataset = d.dataset%s)"
+    gaps = rows(C.coverage_gaps(uses).toPandas())
+    assert len(gaps) == 5 and gaps == rows(db.execute(sql % "").df())
+    fewer = rows(C.coverage_gaps(uses, F.col("src") % 2 == 0).toPandas())
+    assert len(fewer) == 7 and fewer == rows(db.execute(sql % " AND u.src % 2 = 0").df())
+    # the query is the operator's
+    monkeypatch.setattr(C, "coverage_gaps", lambda *_: "called")
+    monkeypatch.setattr(Q, "_uses", lambda *_: None)
+    assert Q.QUERIES["coverage_gaps"](spark, DIR) == "called"
