@@ -19,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm._common import prepare, table, windows, word_hashes
+from assayer.llm._common import Store, prepare, table, windows, word_hashes
 
 #: Buckets of the hashed n-grams.
 BUCKETS = 1 << 15
-#: Trusted documents that the target is fitted on: those labelled quality 1 with the smallest hashes of their ids. Raw counts cover all documents.
-TRUSTED = 50_000
+#: Trusted ids up to which they are broadcast; more are joined by a shuffle. Both counts cover all documents either way.
+BROADCAST_IDS = 1_000_000
 #: Least mean log-likelihood ratio of a kept document.
 THRESHOLD = -0.2
 SYMBOLS = "#*$%&|<>"
@@ -49,40 +49,36 @@ def grams(text: str) -> Iterator[np.ndarray]:
         yield np.concatenate(parts) >> np.uint32(32 - BUCKETS.bit_length() + 1)
 
 
-def _count(trusted: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target, seen = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64), False
-        for b in batches:
-            ids = b.column(0).to_pylist()
-            for doc_id, text in zip(ids, b.column(1).to_pylist(), strict=True):
-                good = False
-                if doc_id is not None and len(trusted):
-                    at = int(np.searchsorted(trusted, doc_id))
-                    good = at < len(trusted) and trusted[at] == doc_id
-                for g in grams(text or ""):
-                    n = np.bincount(g, minlength=BUCKETS) if len(g) > 4096 else None
-                    for counts in (raw, target) if good else (raw,):
-                        if n is None:
-                            np.add.at(counts, g, 1)
-                        else:
-                            counts += n
-            seen = True
-        if seen:
-            at = np.flatnonzero(raw)
-            for i in range(0, len(at), 8192):
-                k = at[i : i + 8192]
-                yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(raw[k]), pa.array(target[k])], names=["bucket", "raw", "target"])
-
-    return run
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    raw, target, seen = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64), False
+    for b in batches:
+        for good, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for g in grams(text or ""):
+                n = np.bincount(g, minlength=BUCKETS) if len(g) > 4096 else None
+                for counts in (raw, target) if good else (raw,):
+                    if n is None:
+                        np.add.at(counts, g, 1)
+                    else:
+                        counts += n
+        seen = True
+    if seen:
+        at = np.flatnonzero(raw)
+        for i in range(0, len(at), 8192):
+            k = at[i : i + 8192]
+            yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(raw[k]), pa.array(target[k])], names=["bucket", "raw", "target"])
 
 
 def log_ratios(docs: DataFrame, trusted_ids: DataFrame) -> np.ndarray:
     """log p_trusted - log p_raw of each bucket. ``trusted_ids``: doc_id of trusted documents."""
     prepare(docs.sparkSession)
-    ids = [r[0] for r in trusted_ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRUSTED).collect()]
+    ids = Store(docs.sparkSession).keep(trusted_ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct().withColumn("good", F.lit(True)))
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
     counts = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        .mapInArrow(_count(np.sort(np.array(ids, np.int64))), "bucket int, raw long, target long")
+        .join(ids, "doc_id", "left")
+        .select("good", "text")
+        .mapInArrow(_count, "bucket int, raw long, target long")
         .groupBy("bucket")
         .agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
         .collect()

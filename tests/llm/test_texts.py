@@ -220,6 +220,18 @@ def test_score_in_blocks_is_the_score_of_the_whole(monkeypatch):
     assert abs(np.exp(net.log_probabilities(every, np.repeat(context, masked_lm.WORDS, 0)).astype(float)).sum() - 1) < 1e-3
 
 
+def test_all_trusted_documents_count(spark, documents, monkeypatch):
+    from pyspark.sql import functions as F
+
+    ids = spark.range(60_000).select(F.col("id").alias("doc_id"))
+    last = [r[0] for r in ids.orderBy(F.xxhash64("doc_id").desc()).limit(5).collect()]
+    docs = documents(["abc abd " * 9] * 5 + ["xyz xyw " * 9] * 5, ids=[*last, *range(70_000, 70_005)])
+    few = quality.log_ratios(docs, ids.where(F.col("doc_id").isin(last)))
+    assert few.any() and (quality.log_ratios(docs, ids) == few).all()
+    monkeypatch.setattr(quality, "BROADCAST_IDS", 10, raising=False)
+    assert (quality.log_ratios(docs, ids) == few).all()
+
+
 # -- chats --------------------------------------------------------------------------------------
 
 
