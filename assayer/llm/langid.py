@@ -5,11 +5,14 @@ divided by the geometric mean of their own numbers: a blended-spectrum presence
 a Nyström map, x -> k(x, landmarks) K^(-1/2); a kernel ridge regression per language, one against the
 rest, is fitted on the mapped training texts. A batch of texts is scored by two matrix products.
 
-The fit takes at most ``TRAINING`` labelled rows, those with the smallest hashes of their ids within
-each language, and whole texts; prediction covers all rows.
+The fit takes at most ``TRAINING`` labelled rows (one of each language, if there are more languages),
+those with the smallest hashes of their ids within each language, and whole texts; prediction covers
+all rows.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0; so is every text if no row is
-labelled; repeated rows are scored each; an empty table gives an empty result; lang, source, doc_id and
+labelled; texts of any length are read whole, in blocks; of languages with equal scores the first by
+name is predicted; of rows that repeat an id and a language the smallest text is learned from; repeated
+rows are scored each; an empty table gives an empty result; lang, source, doc_id and
 other columns are never inputs of a prediction.
 """
 
@@ -20,15 +23,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from assayer.llm._common import prepare, table
+from assayer.llm._common import in_arrow, prepare, table
 
 UNDETERMINED = "und"
-#: Most labelled rows of a fit, over all languages.
+#: Most labelled rows of a fit, over all languages, and landmarks; with more languages than that, one of each.
 TRAINING = 2400
 LANDMARKS = 192
+#: Parts that a language's rows are ranked in.
+SALTS = 64
 RIDGE = 1e-4
 #: Buckets of 1-, 2- and 3-grams.
 SIZES = (1 << 10, 1 << 12, 1 << 13)
@@ -64,7 +69,7 @@ def unit(p: np.ndarray) -> np.ndarray:
 
 def has_letter(text: str | None) -> bool:
     """Whether the text has any Unicode letter."""
-    return text is not None and (text[:200].lower() != text[:200].upper() or any(map(str.isalpha, text)))
+    return text is not None and any(map(str.isalpha, text))
 
 
 @dataclass
@@ -97,7 +102,7 @@ def fit(texts: list[str], langs: list[str]) -> Model:
     y = np.array([[a == b for b in names] for a in langs], np.float64)
     x = unit(np.concatenate([presence(texts[i : i + 256]) for i in range(0, len(texts), 256)]))
     own = [np.flatnonzero(y[:, j]) for j in range(len(names))]
-    chosen = [own[j][i] for i in range(max(map(len, own))) for j in range(len(names)) if i < len(own[j])][:LANDMARKS]
+    chosen = [own[j][i] for i in range(max(map(len, own))) for j in range(len(names)) if i < len(own[j])][: max(LANDMARKS, len(names))]
     marks = x[chosen]
     k = (marks @ marks.T).astype(np.float64)
     values, vectors = np.linalg.eigh(k)
@@ -114,12 +119,15 @@ def train(labelled: DataFrame) -> Model:
     """Fits on labelled rows (doc_id, text, lang): the same number of each language, by hash of the id."""
     rows = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL")
     ids = rows.select("lang", "doc_id").distinct()
-    names = [r[0] for r in ids.select("lang").distinct().orderBy("lang").limit(TRAINING // 4).collect()]
-    if not names:
+    n = ids.select("lang").distinct().count()
+    if not n:
         return fit([], [])
-    each = TRAINING // len(names)
-    found = [r for name in names for r in ids.where(F.col("lang") == name).orderBy(F.xxhash64("doc_id"), "doc_id").limit(each).collect()]
-    picked = F.broadcast(rows.sparkSession.createDataFrame(found, "lang string, doc_id long"))  # at most TRAINING rows
+    each = max(1, TRAINING // n)
+    least = ids.withColumn("h", F.xxhash64("doc_id")).withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(SALTS)))
+    for key in (("lang", "salt"), ("lang",)):  # a language may hold most rows: first within its salts, then of what is left
+        least = least.withColumn("r", F.row_number().over(Window.partitionBy(*key).orderBy("h", "doc_id"))).where(F.col("r") <= each)
+    found = least.select("lang", "doc_id").collect()  # at most TRAINING rows, or one for each language
+    picked = F.broadcast(rows.sparkSession.createDataFrame(found, "lang string, doc_id long"))
     got = rows.join(picked, ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min("text").alias("text")).orderBy("lang", "doc_id").collect()
     usable = [r for r in got if has_letter(r["text"])]
     return fit([r["text"] for r in usable], [r["lang"] for r in usable])
@@ -151,14 +159,14 @@ def language_id(docs: DataFrame) -> DataFrame:
     """Fits on the documents that are not held out and predicts all: doc_id, held_out, lang_pred, score."""
     prepare(docs.sparkSession)
     model = train(docs.where(~held_out()))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(_predict(model), RESULT)
+    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text")), _predict(model), RESULT)
 
 
 def keep_known_languages(docs: DataFrame) -> DataFrame:
     """The documents in one of the learned languages, with all their columns: neither ``und`` nor below MIN_SCORE."""
     prepare(docs.sparkSession)
     model = train(docs.where(~held_out()))
-    return docs.mapInArrow(_keep(model, docs.columns.index("text")), docs.schema)
+    return in_arrow(docs, _keep(model, docs.columns.index("text")), docs.schema)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
