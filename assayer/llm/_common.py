@@ -6,9 +6,12 @@ caches between tasks; ``prepare`` puts the library's folder on the workers' path
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -30,16 +33,45 @@ def prepare(spark: SparkSession) -> None:
     for name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS", "MKL_NUM_THREADS"):
         env.setdefault(name, "1")
     env.setdefault("TOKENIZERS_PARALLELISM", "false")
+    env.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")
+    env.setdefault("MALLOC_ARENA_MAX", "2")
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def release() -> None:
+    """Gives memory that this worker no longer uses back to the system; workers live on and allocators keep it else."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def in_arrow(df: DataFrame, run: Callable[[Batches], Batches], schema: str) -> DataFrame:
+    """``df.mapInArrow`` with a worker that gives its memory back when a task ends."""
+
+    def task(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(task, schema)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which all executors share. Unset (tests): a local one."""
+    """A new folder under spark.checkpoint.dir, which all executors share. Unset: an error, but for a local master, whose
+    executors are in the driver's process; it takes a folder for temporary files."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir is not set: it names the folder that the driver and all executors share")
         top = os.path.join(tempfile.gettempdir(), "assayer-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/assayer-{uuid.uuid4().hex}"
 
 
@@ -171,6 +203,24 @@ def windows(h: np.ndarray, n: int) -> np.ndarray:
     return out ^ (out >> np.uint64(31))
 
 
+def packed(values: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted values as differences of four bytes (eight where one is too large), and the counts over 1."""
+    d = np.diff(values, prepend=np.uint64(0))
+    more = np.flatnonzero(counts > 1).astype(np.uint32)
+    wide = bool(len(d) and d.max() >> np.uint64(32))
+    return np.array([wide, len(d), len(more)], np.uint32).tobytes() + d.astype(np.uint64 if wide else np.uint32).tobytes() + more.tobytes() + counts[more].astype(np.uint32).tobytes()
+
+
+def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    wide, n, m = (int(x) for x in np.frombuffer(blob, np.uint32, 3))
+    kind = np.dtype(np.uint64 if wide else np.uint32)
+    at = 12 + n * kind.itemsize
+    values = np.cumsum(np.frombuffer(blob, kind, n, 12), dtype=np.uint64)
+    counts = np.ones(n, np.int64)
+    counts[np.frombuffer(blob, np.uint32, m, at)] = np.frombuffer(blob, np.uint32, m, at + 4 * m)
+    return values, counts
+
+
 def utf8(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "replace")
 

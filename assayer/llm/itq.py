@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm._common import Store, partitions, prepare, table
+from assayer.llm._common import Store, in_arrow, partitions, prepare, table
 from assayer.llm.components import components
 
 COSINE = 0.95
@@ -197,7 +197,7 @@ def _links(reps: DataFrame, dim: int, cosine: float, store: Store) -> tuple[Data
     spark = reps.sparkSession
     sample = reps.orderBy(F.xxhash64("v"), "v").limit(SAMPLE).select("embedding").toArrow()["embedding"].combine_chunks()
     quantiser = Quantiser(_matrix(sample, dim), reps.count(), cosine)
-    codes = store.keep(reps.select("v", "embedding").mapInArrow(_encode(quantiser, dim), "v long, codes array<long>"))
+    codes = store.keep(in_arrow(reps.select("v", "embedding"), _encode(quantiser, dim), "v long, codes array<long>"))
     per = quantiser.bits // quantiser.width
     strings = [
         F.struct(F.lit(c * per + k).alias("t"), F.shiftrightunsigned(F.col("codes")[c], k * quantiser.width).bitwiseAND(F.lit((1 << quantiser.width) - 1)).alias("s"))
@@ -209,7 +209,7 @@ def _links(reps: DataFrame, dim: int, cosine: float, store: Store) -> tuple[Data
     def rerank(pairs: DataFrame) -> DataFrame:
         one = reps.select(F.col("v").alias("x"), F.col("embedding").alias("a"))
         two = reps.select(F.col("v").alias("y"), F.col("embedding").alias("b"))
-        return pairs.select("x", "y").join(one, "x").join(two, "y").select("x", "y", "a", "b").mapInArrow(_rerank(dim, cosine), "x long, y long")
+        return in_arrow(pairs.select("x", "y").join(one, "x").join(two, "y").select("x", "y", "a", "b"), _rerank(dim, cosine), "x long, y long")
 
     leaders = posts.groupBy("t", "s").agg(F.min(F.struct("v", "codes")).alias("l"), F.count("*").alias("k")).where("k > 1").select("t", "s", F.col("l.v").alias("y"), F.col("l.codes").alias("codes"))
     p, q = posts.alias("p"), leaders.alias("q")
@@ -235,7 +235,7 @@ def _links(reps: DataFrame, dim: int, cosine: float, store: Store) -> tuple[Data
     members = named.select("v", "c").join(sizes, "c").withColumn("blocks", F.ceil(F.col("m") / BLOCK)).withColumn("side", F.pmod(F.xxhash64("v"), F.col("blocks")))
     blocks = members.select("c", "v", "side", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("o")).select("c", "v", "side", F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j"))
     blocks = blocks.join(reps.select("v", "copies", "embedding"), "v").select("c", "i", "j", "side", "v", "copies", "embedding")
-    inner = blocks.repartition(partitions(spark), "c", "i", "j").sortWithinPartitions("c", "i", "j").mapInArrow(_block_links(dim, cosine), "v long, n long")
+    inner = in_arrow(blocks.repartition(partitions(spark), "c", "i", "j").sortWithinPartitions("c", "i", "j"), _block_links(dim, cosine), "v long, n long")
     copies = reps.select("v", "copies")
     outer = second.join(copies.withColumnRenamed("v", "y"), "y").select(F.col("x").alias("v"), F.col("copies").alias("n")).unionByName(second.join(copies.withColumnRenamed("v", "x"), "x").select(F.col("y").alias("v"), F.col("copies").alias("n")))
     return first.unionByName(second), store.keep(inner.unionByName(outer).groupBy("v").agg(F.sum("n").alias("n")))

@@ -31,7 +31,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm._common import Store, mix, partitions, prepare, table, windows, word_hashes
+from assayer.llm._common import Store, in_arrow, mix, packed, partitions, prepare, table, unpacked, windows, word_hashes
 from assayer.llm.components import components
 
 #: Tokens in at most so many documents are ordered by hash alone.
@@ -45,8 +45,10 @@ BLOCK = 384
 MOST_SHARED = 6
 #: Bits of a token that count its documents. Any order of tokens is right; collisions only cost time.
 _BITS = 48
-_BUCKET_BITS = 10
-_CHUNK = 2_000_000
+#: A bucket of tokens is counted at once: leading bits so that it has about _BUCKET_TOKENS tokens, by Spark's estimate of the input's size.
+_BUCKET_BITS, _MOST_BUCKET_BITS, _BUCKET_TOKENS = 10, 20, 1 << 22
+#: Tokens that a task counts together before they are dealt to buckets.
+_CHUNK = 1 << 20
 _FILTER_BITS = 22
 #: Most ids of documents to drop that are broadcast; more are joined by shuffle.
 BROADCAST_IDS = 500_000
@@ -78,32 +80,28 @@ def _grams(h: np.ndarray, n: int) -> np.ndarray:
 # -- document frequencies ---------------------------------------------------------------------------
 
 
-def packed(values: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted values as differences of four bytes (eight where one is too large), and the counts over 1."""
-    d = np.diff(values, prepend=np.uint64(0))
-    more = np.flatnonzero(counts > 1).astype(np.uint32)
-    wide = bool(len(d) and d.max() >> np.uint64(32))
-    return np.array([wide, len(d), len(more)], np.uint32).tobytes() + d.astype(np.uint64 if wide else np.uint32).tobytes() + more.tobytes() + counts[more].astype(np.uint32).tobytes()
+def bucket_bits(docs: DataFrame) -> int:
+    """Any number gives the same counts."""
+    tokens = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // 4
+    return min(max(_BUCKET_BITS, (tokens // _BUCKET_TOKENS).bit_length()), _MOST_BUCKET_BITS)
 
 
-def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    wide, n, m = (int(x) for x in np.frombuffer(blob, np.uint32, 3))
-    kind = np.dtype(np.uint64 if wide else np.uint32)
-    at = 12 + n * kind.itemsize
-    values = np.cumsum(np.frombuffer(blob, kind, n, 12), dtype=np.uint64)
-    counts = np.ones(n, np.int64)
-    counts[np.frombuffer(blob, np.uint32, m, at)] = np.frombuffer(blob, np.uint32, m, at + 4 * m)
-    return values, counts
-
-
-def _fingerprints(n: int):
+def _fingerprints(n: int, bits: int):
     def flush(sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        values, counts = np.unique(np.concatenate(sets) >> np.uint64(64 - _BITS), return_counts=True)
-        low = np.uint64(_BITS - _BUCKET_BITS)
-        cuts = np.searchsorted(values, np.arange(1 << _BUCKET_BITS, dtype=np.uint64) << low).tolist() + [len(values)]
-        rows = [(b, packed(values[i:j] - (np.uint64(b) << low), counts[i:j])) for b, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)) if i < j]
-        for i in range(0, len(rows), 256):
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows[i : i + 256]], pa.int32()), pa.array([r[1] for r in rows[i : i + 256]], pa.binary())], names=["bucket", "blob"])
+        values = np.concatenate(sets)
+        sets.clear()
+        values >>= np.uint64(64 - _BITS)
+        values.sort()
+        first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+        counts = np.diff(first, append=len(values))
+        values = values[first]
+        low = np.uint64(_BITS - bits)
+        own, at = np.unique(values >> low, return_index=True)
+        cuts = [*at.tolist(), len(values)]
+        for i in range(0, len(own), 256):
+            part = own[i : i + 256]
+            blobs = [packed(values[cuts[k] : cuts[k + 1]] - (own[k] << low), counts[cuts[k] : cuts[k + 1]]) for k in range(i, i + len(part))]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, size = [], 0
@@ -120,26 +118,45 @@ def _fingerprints(n: int):
     return run
 
 
-def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a task's buckets: tokens in more than LIGHT documents, at -1 and -2 sums over the others, and at -3 - bucket its part of the bitmap."""
-    blobs: dict[int, list[bytes]] = {}
-    for b in batches:
-        for bucket, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            blobs.setdefault(bucket, []).append(blob)
-    first = second = 0
-    while blobs:
-        bucket, own = blobs.popitem()
-        parts = [unpacked(x) for x in own]
-        values, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        df = np.bincount(at, np.concatenate([p[1] for p in parts])).astype(np.int64)
-        light = df <= LIGHT
-        first += int(df[light].sum())
-        second += int((df[light] ** 2).sum())
-        full = (values[~light] + (np.uint64(bucket) << np.uint64(_BITS - _BUCKET_BITS))).astype(np.int64)
-        bits = np.zeros(1 << (_SEEN_BITS - _BUCKET_BITS), bool)
-        bits[values[df > 1] >> np.uint64(_BITS - _SEEN_BITS)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([*full.tolist(), -3 - bucket], pa.int64()), pa.array([*df[~light].tolist(), 0], pa.int64()), pa.array([None] * len(full) + [np.packbits(bits).tobytes()], pa.binary())], names=["token", "df", "bits"])
-    yield pa.RecordBatch.from_arrays([pa.array([-1, -2], pa.int64()), pa.array([first, second], pa.int64()), pa.array([None, None], pa.binary())], names=["token", "df", "bits"])
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    values, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return values, np.bincount(at, np.concatenate([p[1] for p in parts])).astype(np.int64)
+
+
+def _frequent(bits: int):
+    """Rows sorted by bucket. Tokens in more than LIGHT documents, at -1 and -2 sums over the others, and at -3 - k the k-th part of the bitmap."""
+    seen_bits = max(_SEEN_BITS - bits, 3)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = [0, 0]
+
+        def flush(bucket: int, parts: list) -> pa.RecordBatch:
+            values, df = _summed(parts)
+            light = df <= LIGHT
+            sums[0] += int(df[light].sum())
+            sums[1] += int((df[light] ** 2).sum())
+            full = (values[~light] + (np.uint64(bucket) << np.uint64(_BITS - bits))).astype(np.int64)
+            seen = np.zeros(1 << seen_bits, bool)
+            seen[values[df > 1] >> np.uint64(_BITS - bits - seen_bits)] = True
+            return pa.RecordBatch.from_arrays([pa.array([*full.tolist(), -3 - bucket], pa.int64()), pa.array([*df[~light].tolist(), 0], pa.int64()), pa.array([None] * len(full) + [np.packbits(seen).tobytes()], pa.binary())], names=["token", "df", "bits"])
+
+        last, parts, size, distinct = -1, [], 0, 0
+        for b in batches:
+            for bucket, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if bucket != last and parts:
+                    yield flush(last, parts)
+                    parts, size, distinct = [], 0, 0
+                last = bucket
+                parts.append(unpacked(blob.as_buffer()))
+                size += len(parts[-1][0])
+                if size > 2 * distinct + _CHUNK:  # blobs of a bucket are summed as they come
+                    parts = [_summed(parts)]
+                    size = distinct = len(parts[0][0])
+        if parts:
+            yield flush(last, parts)
+        yield pa.RecordBatch.from_arrays([pa.array([-1, -2], pa.int64()), pa.array(sums, pa.int64()), pa.array([None, None], pa.binary())], names=["token", "df", "bits"])
+
+    return run
 
 
 class Frequencies:
@@ -167,7 +184,9 @@ class Frequencies:
 
 def frequencies(docs: DataFrame, n: int, store: Store) -> Frequencies:
     spark = docs.sparkSession
-    found = store.keep(docs.select("text").mapInArrow(_fingerprints(n), "bucket int, blob binary").repartition(partitions(spark), "bucket").mapInArrow(_frequent, "token long, df long, bits binary"))
+    bits = bucket_bits(docs)
+    blobs = in_arrow(docs.select("text"), _fingerprints(n, bits), "bucket int, blob binary").repartition(partitions(spark), "bucket").sortWithinPartitions("bucket")
+    found = store.keep(in_arrow(blobs, _frequent(bits), "token long, df long, bits binary"))
     sums = {r[0]: r[1] for r in found.where("token IN (-1, -2)").groupBy("token").agg(F.sum("df")).collect()}
     heavy = found.where("token >= 0")
     total, cut = 0, LIGHT
@@ -178,7 +197,7 @@ def frequencies(docs: DataFrame, n: int, store: Store) -> Frequencies:
             break
     got = heavy.where(F.col("df") > cut).select("token", "df").toArrow()
     seen = np.zeros(1 << (_SEEN_BITS - 3), np.uint8)
-    part = len(seen) >> _BUCKET_BITS
+    part = max(len(seen) >> bits, 1)
     for r in found.where("token < -2").select("token", "bits").toLocalIterator():  # one row a bucket
         k = -3 - r["token"]
         seen[k * part : (k + 1) * part] = np.frombuffer(r["bits"], np.uint8)
@@ -283,7 +302,7 @@ def sets_of(ids: DataFrame, docs: DataFrame, reps: DataFrame, n: int, store: Sto
     bits = docs.sparkSession.sparkContext.broadcast(_bitmap(ids))
     texts = docs.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(1 << _FILTER_BITS)).cast("int").alias("b"), "text").where("doc_id IS NOT NULL")
     wanted = store.keep(reps.select("v", "key").join(ids, "v", "left_semi"))
-    sets = store.keep(texts.mapInArrow(_sets(n, bits), "v long, key binary, tokens binary").join(wanted, ["v", "key"], "left_semi").dropDuplicates(["v", "key"]).select("v", "tokens"))
+    sets = store.keep(in_arrow(texts, _sets(n, bits), "v long, key binary, tokens binary").join(wanted, ["v", "key"], "left_semi").dropDuplicates(["v", "key"]).select("v", "tokens"))
     store.drop(wanted)
     return sets
 
@@ -292,7 +311,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of the pairs (x, y) those whose sets reach the threshold."""
     one = sets.select(F.col("v").alias("x"), F.col("tokens").alias("s"))
     two = sets.select(F.col("v").alias("y"), F.col("tokens").alias("t"))
-    return pairs.select("x", "y").join(one, "x").join(two, "y").select("x", "y", "s", "t").mapInArrow(_verified(percent), "x long, y long")
+    return in_arrow(pairs.select("x", "y").join(one, "x").join(two, "y").select("x", "y", "s", "t"), _verified(percent), "x long, y long")
 
 
 def _block_links(percent: int):
@@ -358,7 +377,7 @@ def within_clusters(members: DataFrame, sizes: DataFrame, sets: DataFrame, perce
     rows = members.join(sizes, "g").withColumn("blocks", F.ceil(F.col("m") / BLOCK)).withColumn("side", F.pmod(F.xxhash64("v"), F.col("blocks")))
     rows = rows.select("g", "v", "c", "side", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("o"))
     rows = rows.select("g", F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j"), "side", "v", "c").join(sets, "v").select("g", "i", "j", "side", "v", "c", "tokens")
-    return rows.repartition(partitions(spark), "g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(_block_links(percent), "x long, y long")
+    return in_arrow(rows.repartition(partitions(spark), "g", "i", "j").sortWithinPartitions("g", "i", "j"), _block_links(percent), "x long, y long")
 
 
 # -- the join ---------------------------------------------------------------------------------------
@@ -404,7 +423,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     store = Store(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     freq = spark.sparkContext.broadcast(frequencies(docs, n, store))
-    rows = store.keep(docs.mapInArrow(_prefixes(n, percent, freq), "doc_id long, size long, key binary, alone long, asked int, prefix array<long>, places array<int>"))
+    rows = store.keep(in_arrow(docs, _prefixes(n, percent, freq), "doc_id long, size long, key binary, alone long, asked int, prefix array<long>, places array<int>"))
     known = rows.where("doc_id IS NOT NULL AND key IS NOT NULL")
     reps = store.keep(known.groupBy("key").agg(F.min("doc_id").alias("v"), F.first("size").alias("size"), F.first("alone").alias("alone"), F.first("asked").alias("asked"), F.first("prefix").alias("prefix"), F.first("places").alias("places")))
 

@@ -5,23 +5,27 @@ so histogram and plan are small whatever the corpus. Best-fit decreasing runs on
 a group of ``bins`` sequences with the same room takes the next length at once. Each placement is one
 plan row; documents then take their slot by joining on their rank within their length.
 
+Workers hold at most ``CACHE_BYTES`` of words besides a block's own, and empty that when a task ends.
+
 Edge cases: a null text is an empty one (one end token); repeated rows are packed once each; ties in a
-length are ranked by doc_id, piece and checksum; an empty table gives an empty result; other columns of
-the input are ignored, whatever their names.
+length are ranked by doc_id, piece and checksum; texts of any length are read whole, in
+words, and cut only into pieces; an empty table gives an empty result; other columns of the input are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from assayer.llm._common import Store, partitions, prepare, table, utf8
+from assayer.llm._common import Store, in_arrow, partitions, prepare, table, utf8
 
 CAPACITY = 4096
 #: Id that closes every document.
@@ -35,63 +39,97 @@ BROADCAST_ROWS = 100_000
 
 #: Marks that end words; none of them begins a contraction or a special token.
 MARKS = b".,!?%*#$&;:)|"
+#: Bytes that a worker's cache of words may take, and what an entry takes besides its word and ids.
+CACHE_BYTES, ENTRY_BYTES = 80 << 20, 176
+
+
+def plain_letters(word: str) -> bool:
+    """Whether a word is nothing but letters after the vocabulary's normalisation. (U+0130 is not: its lower case is two characters.)"""
+    return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
 
 
-class WordIds(dict):
+class WordIds:
     """Word -> its ids as little-endian bytes. White space always separates tokens of this vocabulary
     (its pattern never matches any), so a text's ids are those of its words, one after another. Words of
-    letters, with marks at the end, take their letters' ids from a second cache: case and marks do not
+    letters, with marks at the end, take the ids of their letters in lower case: case and marks do not
     change them, and one call encodes many, as every such token ends in a piece that closes a word. For
-    ASCII letters the model alone does, since normalisation and byte mapping leave them as they are."""
+    ASCII letters the model alone does, since normalisation and byte mapping leave them as they are.
 
-    def __init__(self, path: str, limit: int = 450_000):
+    Words are held in two generations of at most half of ``limit`` bytes each: when the newer one is full
+    it becomes the older, and a word of the older one that comes again moves back. A block's own words are
+    held beyond that."""
+
+    def __init__(self, path: str, limit: int = CACHE_BYTES):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.limit, self.tokenizer = limit, Tokenizer.from_file(path)
         self.bare = Tokenizer(self.tokenizer.model)
         self.bare.pre_tokenizer = WhitespaceSplit()
-        self.stems: dict[bytes, bytes] = {}
+        self.ids: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.size = 0
         self.marks: dict[bytes, bytes] = {b"": b""}
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.closes = np.zeros(max(vocab.values()) + 1, bool)
         self.closes[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
 
-    def encode(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+
+    def hold(self, words: Collection[bytes], ids: list[bytes]) -> None:
+        self.ids.update(zip(words, ids, strict=True))
+        self.size += len(words) * ENTRY_BYTES + sum(map(len, words)) + sum(map(len, ids))
 
-    def add_stems(self, new: list[bytes], tokenizer) -> None:
+    def add_letters(self, new: list[bytes], tokenizer) -> None:
         for at in range(0, len(new), 256):
             part = new[at : at + 256]
             ids = np.array(tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
             ends = (4 * (np.flatnonzero(self.closes[ids]) + 1)).tolist()
             if len(ends) == len(part):
                 buf = ids.tobytes()
-                self.stems.update(zip(part, map(buf.__getitem__, map(slice, [0, *ends], ends)), strict=False))
+                self.hold(part, list(map(buf.__getitem__, map(slice, [0, *ends], ends))))
             else:
-                self.stems.update(zip(part, self.encode([w.decode() for w in part]), strict=True))
+                self.hold(part, self.encode(part))
 
     def add(self, words: set[bytes]) -> None:
-        if len(self) + len(words) > self.limit:
-            self.clear()
-        if len(self.stems) > self.limit:
-            self.stems.clear()
-        new = [w for w in words if w not in self]
+        if self.size > self.limit // 2:
+            self.old, self.ids, self.size = self.ids, {}, 0
+        new = self.missing(words)
         stems = [w.lower().rstrip(MARKS) for w in new]
-        letters = [w for w in set(stems).difference(self.stems) if w.decode().isalpha()]
-        self.add_stems([w for w in letters if w.isascii()], self.bare)
-        self.add_stems([w for w in letters if not w.isascii()], self.tokenizer)
-        other = []
+        distinct = set(stems)
+        letters = {w for w in distinct if w.isalpha()}
+        wide = {w for w in distinct.difference(letters) if not w.isascii() and plain_letters(w.decode())}
+        self.add_letters(list(self.missing(letters)), self.bare)
+        self.add_letters(list(self.missing(wide)), self.tokenizer)
+        letters |= wide
+        known, ids, other = [], [], []
         for word, stem in zip(new, stems, strict=True):
-            ids = self.stems.get(stem)
-            if ids is None:
+            if stem not in letters:
                 other.append(word)
-                continue
-            mark = word[len(stem) :]
-            if mark not in self.marks:
-                self.marks[mark] = self.encode([mark.decode()])[0]
-            self[word] = ids + self.marks[mark]
-        self.update(zip(other, self.encode([w.decode() for w in other]), strict=True))
+            elif word != stem:
+                mark = word[len(stem) :]
+                end = self.marks.get(mark)
+                if end is None:
+                    if len(self.marks) > 10_000 or len(mark) > 64:
+                        other.append(word)
+                        continue
+                    end = self.marks[mark] = self.encode([mark])[0]
+                known.append(word)
+                ids.append(self.ids[stem] + end)
+        self.hold(known, ids)
+        self.hold(other, self.encode(other))
+
+    def missing(self, words: set[bytes]) -> set[bytes]:
+        """The words that neither generation holds; those of the older one move back."""
+        left, old = words.difference(self.ids), self.old
+        again = [w for w in left if w in old] if old else []
+        self.hold(again, list(map(old.__getitem__, again)))
+        return left.difference(again)
+
+    def forget(self) -> None:
+        """Empties both generations."""
+        self.ids, self.old, self.size = {}, {}, 0
 
 
 _IDS: dict[str, WordIds] = {}
@@ -114,23 +152,27 @@ def encoded(texts: list[str | None], ids: WordIds) -> Iterator[bytes]:
             size += len(texts[at] or "")
             at += 1
         words = set().union(*block)
-        if not words <= ids.keys():
-            ids.add(words)
+        ids.add(words)
+        del words
+        get = ids.ids.__getitem__
         for own in block:
-            yield b"".join(map(ids.__getitem__, own)) + end
+            yield b"".join(map(get, own)) + end
 
 
 def _pieces(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = word_ids(path)
-        for b in batches:
-            out: list[list] = [[], [], [], [], []]
-            for doc_id, buf in zip(b.column(0).to_pylist(), encoded(b.column(1).to_pylist(), ids), strict=True):
-                for piece, at in enumerate(range(0, len(buf), 4 * capacity)):
-                    part = buf[at : at + 4 * capacity]
-                    for c, v in zip(out, (doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
-                        c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _SCHEMA, strict=True)], schema=_SCHEMA)
+        try:
+            for b in batches:
+                out: list[list] = [[], [], [], [], []]
+                for doc_id, buf in zip(b.column(0).to_pylist(), encoded(b.column(1).to_pylist(), ids), strict=True):
+                    for piece, at in enumerate(range(0, len(buf), 4 * capacity)):
+                        part = buf[at : at + 4 * capacity]
+                        for c, v in zip(out, (doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
+                            c.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _SCHEMA, strict=True)], schema=_SCHEMA)
+        finally:
+            ids.forget()
 
     return run
 
@@ -138,7 +180,7 @@ def _pieces(path: str, capacity: int):
 def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """Pieces of every document: doc_id, piece, start, length, ids_crc32."""
     prepare(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_pieces(path, capacity), PIECES)
+    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), _pieces(path, capacity), PIECES)
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:

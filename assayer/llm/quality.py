@@ -5,7 +5,8 @@ over trusted ones (labelled quality 1). A document's score is the mean over its
 log p_trusted - log p_raw; it is kept if no base rule fails and the score reaches ``THRESHOLD``.
 
 Edge cases: a null or empty text has no words, so the base rule on word counts fails it; a text without
-n-grams scores 0; repeated rows are judged each; without trusted documents every score is 0, and only
+n-grams scores 0; texts of any length are read whole, in blocks; a score equal to the threshold is kept;
+repeated rows are judged each; without trusted documents every score is 0, and only
 base rules decide; an empty table gives an empty result; other columns are never read, but
 ``keep_good_documents`` passes them on, whatever their names.
 """
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm._common import Store, prepare, table, windows, word_hashes
+from assayer.llm._common import Store, in_arrow, prepare, table, windows, word_hashes
 
 #: Buckets of the hashed n-grams.
 BUCKETS = 1 << 15
@@ -74,15 +75,9 @@ def log_ratios(docs: DataFrame, trusted_ids: DataFrame) -> np.ndarray:
     ids = Store(docs.sparkSession).keep(trusted_ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct().withColumn("good", F.lit(True)))
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    counts = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        .join(ids, "doc_id", "left")
-        .select("good", "text")
-        .mapInArrow(_count, "bucket int, raw long, target long")
-        .groupBy("bucket")
-        .agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
-        .collect()
-    )  # at most BUCKETS rows
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ids, "doc_id", "left").select("good", "text")
+    sums = in_arrow(marked, _count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    counts = sums.collect()  # at most BUCKETS rows
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for bucket, r, t in counts:
         raw[bucket], target[bucket] = r, t
@@ -158,13 +153,13 @@ def _keep(ratios: np.ndarray, at: int):
 def quality_rules(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
     """One row per document: base statistics, base_failed, score, kept."""
     ratios = log_ratios(docs, trusted_ids)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_judge(ratios), RESULT)
+    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), _judge(ratios), RESULT)
 
 
 def keep_good_documents(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
     """The documents that the rules keep, with all their columns."""
     ratios = log_ratios(docs, trusted_ids)
-    return docs.mapInArrow(_keep(ratios, docs.columns.index("text")), docs.schema)
+    return in_arrow(docs, _keep(ratios, docs.columns.index("text")), docs.schema)
 
 
 def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:

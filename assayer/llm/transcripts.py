@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm._common import prepare, table
+from assayer.llm._common import in_arrow, prepare, table
 
 ROLES = ("system", "user", "assistant")
 #: Speaker words of each role; the first of each is used by the first styles, and so on.
@@ -210,7 +210,7 @@ def _parse(model: Model):
 def format_chats(transcripts: DataFrame, model: Model) -> DataFrame:
     """One row per transcript (conv_id, segment, transcript): its turns, their roles and the canonical chat."""
     prepare(transcripts.sparkSession)
-    return transcripts.select("conv_id", "segment", "transcript").mapInArrow(_parse(model), RESULT)
+    return in_arrow(transcripts.select("conv_id", "segment", "transcript"), _parse(model), RESULT)
 
 
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm._common import prepare, table
+from assayer.llm._common import in_arrow, prepare, table
 
 #: The rules of the query: (verdict, rule).
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
@@ -249,7 +249,7 @@ def _judge(rules: Rules, model: UrlModel):
 def filter_urls(pages: DataFrame, labelled: DataFrame, rules: Sequence[tuple[str, str]] = RULES) -> DataFrame:
     """One row per page (page_id, url): page_id, host, path, rule, verdict, score."""
     prepare(pages.sparkSession)
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url")).mapInArrow(_judge(Rules(rules), train(labelled)), RESULT)
+    return in_arrow(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url")), _judge(Rules(rules), train(labelled)), RESULT)
 
 
 def labelled_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
