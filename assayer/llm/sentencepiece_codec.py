@@ -3,12 +3,17 @@
 A text is cut into marked words: no piece of the vocabulary goes on after a space mark, and a character
 outside the vocabulary never merges. The distinct new words of a batch are sorted, which lays out their
 trie, and walked depth-first: a node's forward state is the last piece of its prefix's best path, so a
-word goes on from the prefix that it shares with the word before. The path model is first-order: a
+word goes on from the prefix that it shares with the word before, and a word's ids are read off by going
+back from its end. That is one number a character, however long a word is. The path model is first-order: a
 step from piece a to piece b scores 0 if the merges leave a + b as these two pieces, else minus infinity;
 a path of finite score is the one that byte-pair merging makes. Words that begin with several marks,
-whose merges tie, are merged one by one.
+whose merges tie, are merged one by one, by a heap; so is a word that no path reaches.
 
-Edge cases: a null or empty text has no ids; characters outside the vocabulary become byte pieces;
+A worker remembers words up to ``CACHE_BYTES`` and empties that when a task ends; words of over
+``LONG_WORD`` characters are forgotten after their block, which has ``BLOCK`` characters or one text.
+
+Edge cases: a null or empty text has no ids; texts and words of any length are read whole, in time and
+memory that grow with their length; characters outside the vocabulary become byte pieces;
 repeated rows are encoded each; an empty table gives an empty result; other columns are ignored, whatever
 their names. Decoding undoes the marks; unknown ids give U+2047 between spaces, as the library does.
 """
@@ -17,15 +22,21 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm._common import prepare, table
+from assayer.llm._common import in_arrow, prepare, table
 
 MARK = "▁"
+#: Bytes of words that a worker remembers, what one takes besides its text and ids, and pairs of pieces (about 120 bytes each).
+CACHE_BYTES, ENTRY_BYTES, PAIRS = 64 << 20, 190, 400_000
+LONG_WORD, BLOCK = 256, 1 << 21
+#: Characters outside the vocabulary have numbers from here on, beyond those of the pieces.
+OTHER = 1 << 24
 RESULT = "doc_id long, n_ids long, ids array<int>, round_trip boolean"
 _UNITS = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
 #: Types of pieces in a model file.
@@ -35,7 +46,7 @@ NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 class Codec:
     """Encoder and decoder of a byte-pair model file without character normalisation."""
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = CACHE_BYTES):
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         model = pb.ModelProto()
@@ -49,8 +60,10 @@ class Codec:
         if any(MARK in p.lstrip(MARK) for p in self.pieces):
             raise ValueError("a piece goes on after a space mark")
         self.halves: dict[str, tuple[str, str] | None] = {}
-        #: Ids of the pieces that merging makes, as bytes, and of other characters as they come.
-        self.coded = {p: np.array([i], "<i4").tobytes() for p, (i, _) in self.pieces.items() if len(p) == 1 or self.split(p)}
+        #: Numbers of the pieces that merging makes, which are their ids, and of other characters as they come.
+        self.coded = {p: i for p, (i, _) in self.pieces.items() if len(p) == 1 or self.split(p)}
+        self.name = {i: p for p, i in self.coded.items()}
+        self.code = {i: np.array([i], "<i4").tobytes() for i in self.name}
         found: dict[str, set[int]] = {}
         for p in self.coded:
             found.setdefault(p[-4:], set()).add(len(p))
@@ -61,22 +74,38 @@ class Codec:
         surface = {NORMAL: lambda p: p.piece.replace(MARK, " ").encode(), BYTE: lambda p: bytes([int(p.piece[1:-1], 16)]), UNKNOWN: lambda p: " ⁇ ".encode()}
         self.surface = [surface.get(p.type, lambda p: b"")(p) for p in model.pieces]
         self.words: dict[str, bytes] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.size = 0
+        self.long: list[str] = []
+        self.pairs: dict[int, bool] = {}
 
     # -- merging one string
 
     def merge(self, text: str) -> list[str]:
         """Byte-pair merging: the best-scored neighbours first, the leftmost of equal ones."""
-        parts = list(text)
-        while True:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                found = self.pieces.get(parts[i] + parts[i + 1])
-                if found and (best is None or found[1] > best):
-                    best, at = found[1], i
-            if at < 0:
-                return parts
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        parts: list[str] = list(text)
+        after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
+        heap: list[tuple[float, int, str, str]] = []
+
+        def offer(i: int) -> None:
+            if i >= 0 and after[i] < len(parts):
+                found = self.pieces.get(parts[i] + parts[after[i]])
+                if found:
+                    heappush(heap, (-found[1], i, parts[i], parts[after[i]]))
+
+        for i in range(len(parts) - 1):
+            offer(i)
+        while heap:
+            _, i, x, y = heappop(heap)
+            j = after[i]
+            if parts[i] != x or j >= len(parts) or parts[j] != y:
+                continue  # one of the two is part of another piece by now
+            parts[i], parts[j] = x + y, ""
+            after[i] = after[j]
+            if after[i] < len(parts):
+                before[after[i]] = i
+            offer(i)
+            offer(before[i])
+        return [p for p in parts if p]
 
     def split(self, piece: str) -> tuple[str, str] | None:
         """The two parts of a piece's last merge; None for a character, or a piece that merging does not make."""
@@ -93,18 +122,19 @@ class Codec:
             self.halves[piece] = before
         return self.halves[piece]
 
-    def step(self, a: str, b: str) -> bool:
-        """Whether a path may go from piece a to piece b.
+    def step(self, a_number: int, b_number: int) -> bool:
+        """Whether a path may go from piece a to piece b (given by their numbers).
 
         Goes back in time from the two pieces: the later of the two merges is undone, which leaves other
         neighbours at the border. Had these a merge of their own that comes before the undone one, the
         border would have been merged away.
         """
-        key = (a, b)
+        key = a_number << 25 | b_number
         found = self.pairs.get(key)
         if found is None:
-            if len(self.pairs) >= 2 * self.limit:
+            if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
+            a, b = self.name[a_number], self.name[b_number]
             until, right = -np.inf, False  # scores fall with time: a merge comes earlier if its score is higher, or equal and further left
             while True:
                 both = self.pieces.get(a + b)
@@ -125,54 +155,73 @@ class Codec:
     # -- the shared pass
 
     def paths(self, words: list[str]) -> Iterator[bytes]:
-        """The ids of each of the sorted words. ``last[i]`` is the last piece of the best path to prefix i and ``path[i]`` its ids; what a word shares with the one before is kept."""
-        last, path, before = [""], [b""], ""
-        coded, lengths, pairs = self.coded, self.lengths, self.pairs
+        """The ids of each of the sorted words. ``last[i]`` is the number of the last piece of the best path to prefix i; what a word shares with the one before is kept."""
+        last, before = [0], ""
+        coded, lengths, pairs, code, name = self.coded, self.lengths, self.pairs, self.code, self.name
         for word in words:
-            shared, most = 0, min(len(before), len(word))
+            shared, most = 0, min(len(before), len(word), len(last) - 1)
             while shared < most and before[shared] == word[shared]:
                 shared += 1
-            del last[shared + 1 :], path[shared + 1 :]
+            del last[shared + 1 :]
             for i in range(shared + 1, len(word) + 1):
                 for n in lengths.get(word[i - 4 if i > 4 else 0 : i], (3, 2, 1)):
                     start = i - n
                     if start < 0:
                         continue
-                    piece = word[start:i]
-                    ids = coded.get(piece)
-                    if ids is None:
+                    piece = coded.get(word[start:i])
+                    if piece is None:
                         if n > 1:
                             continue
-                        ids = self.character(piece)
+                        piece = self.character(word[start:i])
                     if start:
-                        good = pairs.get((last[start], piece))
+                        good = pairs.get(last[start] << 25 | piece)
                         if not (self.step(last[start], piece) if good is None else good):
                             continue
                     last.append(piece)
-                    path.append(path[start] + ids)
                     break
                 else:
-                    raise AssertionError(f"no path to {word[:i]!r}")
+                    break
             before = word
-            yield path[-1]
-
-    def character(self, c: str) -> bytes:
-        """Ids of a character outside the vocabulary."""
-        return np.array([self.bytes.get(x, self.unknown) for x in c.encode()] if self.bytes else [self.unknown], "<i4").tobytes()
+            if len(last) <= len(word):
+                yield self.ids(self.merge(word))
+                continue
+            i, out = len(word), []
+            while i:
+                out.append(code[last[i]])
+                i -= len(name[last[i]])
+            out.reverse()
+            yield b"".join(out)
+
+    def character(self, c: str) -> int:
+        """The number of a character outside the vocabulary."""
+        number = OTHER + ord(c)
+        if number not in self.code:
+            self.name[number] = c
+            self.code[number] = np.array([self.bytes.get(x, self.unknown) for x in c.encode("utf-8", "replace")] if self.bytes else [self.unknown], "<i4").tobytes()
+        return number
 
     def ids(self, pieces: list[str]) -> bytes:
-        return b"".join(self.coded[p] if p in self.coded else self.character(p) for p in pieces)
+        return b"".join(self.code[self.coded[p] if p in self.coded else self.character(p)] for p in pieces)
 
     def add(self, units: set[str]) -> None:
         """Encodes the units that are not remembered yet."""
-        if len(self.words) + len(units) > self.limit:
-            self.words.clear()
+        for unit in self.long:
+            del self.words[unit]
+        self.long = []
+        if self.size > self.limit:
+            self.forget()
         new = sorted(u for u in units if u not in self.words)
         plain = [u for u in new if not u.startswith(MARK * 2)]
-        self.words.update(zip(plain, self.paths(plain), strict=True))
+        found = dict(zip(plain, self.paths(plain), strict=True))
         for unit in new:
             if unit.startswith(MARK * 2):
-                self.words[unit] = self.ids(self.merge(unit))
+                found[unit] = self.ids(self.merge(unit))
+        self.words.update(found)
+        self.long = [u for u in new if len(u) > LONG_WORD]
+        self.size += sum(ENTRY_BYTES + len(u) + len(x) for u, x in found.items() if len(u) <= LONG_WORD)
+
+    def forget(self) -> None:
+        self.words, self.long, self.size = {}, [], 0
 
     def units(self, text: str) -> list[str]:
         return _UNITS.findall(MARK + text.replace(" ", MARK)) if text else []
@@ -183,7 +232,7 @@ class Codec:
         at = 0
         while at < len(texts):
             block, size = [], 0
-            while at < len(texts) and (not block or size < 2 << 20):
+            while at < len(texts) and (not block or size < BLOCK):
                 block.append(self.units(texts[at] or ""))
                 size += len(texts[at] or "")
                 at += 1
@@ -215,12 +264,14 @@ def _lists(blobs: list[bytes]) -> pa.ListArray:
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
-        for b in batches:
-            texts = b.column(1).to_pylist()
-            blobs = own.encode(texts)
-            back = [own.decode(np.frombuffer(x, "<i4")) == (t or "") for x, t in zip(blobs, texts, strict=True)]
-            lists = _lists(blobs)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // 4 for x in blobs], pa.int64()), lists, pa.array(back, pa.bool_())], names=["doc_id", "n_ids", "ids", "round_trip"])
+        try:
+            for b in batches:
+                texts = b.column(1).to_pylist()
+                blobs = own.encode(texts)
+                back = [own.decode(np.frombuffer(x, "<i4")) == (t or "") for x, t in zip(blobs, texts, strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // 4 for x in blobs], pa.int64()), _lists(blobs), pa.array(back, pa.bool_())], names=["doc_id", "n_ids", "ids", "round_trip"])
+        finally:
+            own.forget()
 
     return run
 
@@ -246,13 +297,13 @@ def model_path(path: str | None = None) -> str:
 def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_ids, ids, and whether decoding the ids gives the text back."""
     prepare(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_encode(model_path(path)), RESULT)
+    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), _encode(model_path(path)), RESULT)
 
 
 def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, text from doc_id, ids; null ids give an empty text."""
     prepare(encoded.sparkSession)
-    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(_decode(model_path(path)), "doc_id long, text string")
+    return in_arrow(encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")), _decode(model_path(path)), "doc_id long, text string")
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
