@@ -32,8 +32,8 @@ UNDETERMINED = "und"
 #: Most labelled rows of a fit, over all languages, and landmarks; with more languages than that, one of each.
 TRAINING = 2400
 LANDMARKS = 192
-#: Parts that a language's rows are ranked in.
-SALTS = 64
+#: Languages up to which their numbers of rows are broadcast.
+MANY = 10_000
 RIDGE = 1e-4
 #: Buckets of 1-, 2- and 3-grams.
 SIZES = (1 << 10, 1 << 12, 1 << 13)
@@ -119,13 +119,15 @@ def train(labelled: DataFrame) -> Model:
     """Fits on labelled rows (doc_id, text, lang): the same number of each language, by hash of the id."""
     rows = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL")
     ids = rows.select("lang", "doc_id").distinct()
-    n = ids.select("lang").distinct().count()
+    sizes = ids.groupBy("lang").agg(F.count("*").alias("n"))
+    n = sizes.count()
     if not n:
         return fit([], [])
     each = max(1, TRAINING // n)
-    least = ids.withColumn("h", F.xxhash64("doc_id")).withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(SALTS)))
-    for key in (("lang", "salt"), ("lang",)):  # a language may hold most rows: first within its salts, then of what is left
-        least = least.withColumn("r", F.row_number().over(Window.partitionBy(*key).orderBy("h", "doc_id"))).where(F.col("r") <= each)
+    # the smallest hashes only: four times as many as are wanted, so that few rows are ranked however many a language has
+    share = (F.lit(4.0 * each + 100) / F.col("n")) * F.lit(2.0**64) - F.lit(2.0**63)
+    least = ids.join(F.broadcast(sizes) if n <= MANY else sizes, "lang").withColumn("h", F.xxhash64("doc_id")).where(F.col("h").cast("double") <= share)
+    least = least.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("r") <= each)
     found = least.select("lang", "doc_id").collect()  # at most TRAINING rows, or one for each language
     picked = F.broadcast(rows.sparkSession.createDataFrame(found, "lang string, doc_id long"))
     got = rows.join(picked, ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min("text").alias("text")).orderBy("lang", "doc_id").collect()
