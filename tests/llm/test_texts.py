@@ -169,55 +169,115 @@ def test_model_beats_counts_and_prefers_order(documents):
 def test_every_position_is_a_training_target(monkeypatch):
     texts = [" ".join(f"w{i}x{k}" for k in range(i % 9)) for i in range(40)] + ["one two three " * 50, None]
     seen = []
-    monkeypatch.setattr(masked_lm.Network, "train", lambda self, ids, context, rate: seen.append(ids.copy()))
+    monkeypatch.setattr(masked_lm.Network, "train", lambda self, ids, context, rate, visits: seen.append(ids.copy()))
     net = masked_lm.Network(np.ones(masked_lm.WORDS))
     for turn in range(masked_lm.ROUNDS):
         list(masked_lm._train(net, turn)(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])])))
-    assert sorted(np.concatenate(seen)) == sorted(np.concatenate(masked_lm.bucket_ids(texts)))
+    assert sorted(np.concatenate(seen)) == sorted(masked_lm.leaves(np.concatenate(word_hashes(texts, lower=True))))
 
 
-def test_context_tells_words_of_a_class_apart():
-    rng = np.random.default_rng(5)
-    net = masked_lm.Network(np.ones(masked_lm.WORDS))
-    x, y = (int(w) for w in np.flatnonzero(net.classes == 40)[:2])
+def odd_network(seed, skew=1.0):
+    rng = np.random.default_rng(seed)
+    net = masked_lm.Network(np.floor(rng.pareto(skew, masked_lm.WORDS)))
+    net.v[:] = rng.standard_normal(net.v.shape)
+    net.s[1:] = rng.standard_normal(net.s[1:].shape)
+    return net, rng
+
+
+def path_log_probability(net, word, around):
+    """The product of choices, one by one."""
+    x = np.concatenate([net.e[c] for c in around]).astype(float)
+    h = np.tanh(x @ net.w + net.b)
+    total = 0.0
+    for level in range(net.depth[word]):
+        node = int(net.nodes[level, word])
+        z = (h * net.s[node]) @ net.v[level] + net.a[node]
+        total += z[net.children[level, word]] - np.log(np.exp(z).sum())
+    return total
+
+
+def test_choices_on_a_path_and_their_sum():
+    net, rng = odd_network(5, 0.7)
+    paths = {(tuple(net.nodes[:d, w]), tuple(net.children[:d, w])) for w, d in enumerate(net.depth)}
+    assert len(paths) == masked_lm.WORDS
+    around = rng.integers(0, masked_lm.WORDS + 1, (40, 2 * masked_lm.SIDE)).astype(np.int32)
+    ids = rng.integers(0, masked_lm.WORDS, 40).astype(np.int32)
+    assert np.allclose(net.log_probabilities(ids, around), [path_log_probability(net, w, c) for w, c in zip(ids, around, strict=True)], atol=1e-3)
+    every = np.arange(masked_lm.WORDS, dtype=np.int32)
+    assert abs(np.exp(net.log_probabilities(every, np.repeat(around[:1], masked_lm.WORDS, 0)).astype(float)).sum() - 1) < 1e-3
+
+
+def test_context_tells_words_of_a_node_apart():
+    net, rng = odd_network(6)
+    deep = np.flatnonzero(net.depth == net.depth.max())
+    x, y = (int(w) for w in deep[:2])
     around = rng.integers(0, masked_lm.WORDS, (2, 2 * masked_lm.SIDE)).astype(np.int32)
     which = rng.integers(0, 2, 1024)
     for _ in range(60):
         net.train(np.array([x, y], np.int32)[which], around[which], 1.0)
     p = [net.log_probabilities(np.array([x, y], np.int32), around[[k, k]]) for k in (0, 1)]
     assert p[0][0] > p[0][1] + 1 and p[1][1] > p[1][0] + 1
-    every = np.arange(masked_lm.WORDS, dtype=np.int32)
-    assert abs(np.exp(net.log_probabilities(every, np.repeat(around[:1], masked_lm.WORDS, 0)).astype(float)).sum() - 1) < 1e-3
 
 
 def test_step_follows_the_gradient():
-    rng = np.random.default_rng(6)
-    net = masked_lm.Network(rng.integers(1, 50, masked_lm.WORDS).astype(float))
+    net, rng = odd_network(7)
     ids, context = rng.integers(0, masked_lm.WORDS, 2048).astype(np.int32), rng.integers(0, masked_lm.WORDS, (2048, 2 * masked_lm.SIDE)).astype(np.int32)
-    net.u[:] = rng.standard_normal(net.u.shape) * 0.3
     loss = lambda n: -float(n.log_probabilities(ids, context).sum(dtype=float))
     new = net.copy()
     new.train(ids, context, 1e-3)
-    for name in ("w", "b"):
+    for name in ("w", "b", "v"):
         step = getattr(new, name).astype(float) - getattr(net, name)
         one = net.copy()
-        scale = 0.05 / np.abs(step).max()
+        scale = 0.02 / np.abs(step).max()
         getattr(one, name)[...] += step * scale
         assert abs((loss(one) - loss(net)) / len(ids) / (-(step**2).sum() / 1e-3 * scale) - 1) < 0.3
+    for name in ("e", "s", "a"):  # their steps are scaled by row: downhill is what matters
+        one = net.copy()
+        step = getattr(new, name) - getattr(net, name)
+        getattr(one, name)[...] += step * np.float32(0.02 / np.abs(step).max())
+        assert loss(one) < loss(net)
+
+
+def test_scores_are_sums_over_the_whole_text(monkeypatch):
+    net, rng = odd_network(8)
+    words = [f"w{rng.integers(0, 200)}" for _ in range(300)]
+    texts = [" ".join(words), " ".join(words[:7]), "", words[0], " ".join(words[20:90])]
+    documents = word_hashes(texts)
+    bits = 20
+    cells = np.zeros(1 << bits, np.uint8)
+    cell = lambda h: (h >> np.uint64(64 - bits)).astype(int)
+    for h in documents:
+        np.add.at(cells, cell(h), 1)
+    net.counts = cells.reshape(masked_lm.WORDS, -1).sum(1).astype(float)
+    expected = []
+    for h in documents:
+        ids, total = masked_lm.leaves(h), 0.0
+        around = masked_lm.contexts(ids)
+        for k, c in enumerate(cell(h)):
+            own = int((cell(h) == c).sum())
+            count, rest = int(cells[c]) - own, net.counts[ids[k]] - own
+            total += path_log_probability(net, ids[k], around[k]) + np.log((count + masked_lm.UNSEEN) / (rest + masked_lm.UNSEEN * (1 << bits - masked_lm.WORD_BITS)))
+        expected.append(total)
+    assert np.allclose(masked_lm.Model(net, cells).scores(documents), expected, atol=0.05)
+    monkeypatch.setattr(masked_lm, "BATCH", 64)
+    assert np.allclose(masked_lm.Model(net, cells).scores(documents), expected, atol=0.05)
+    assert (masked_lm.coded(np.arange(33)) == np.arange(33)).all() and abs(masked_lm.COUNTS[masked_lm.coded(np.array([10**6]))[0]] / 10**6 - 1) < 0.1
 
 
-def test_score_in_blocks_is_the_score_of_the_whole(monkeypatch):
-    rng = np.random.default_rng(8)
-    ids = rng.integers(0, masked_lm.WORDS, 300).astype(np.int32)
-    net = masked_lm.Network(np.ones(masked_lm.WORDS))
-    net.v[:] = rng.standard_normal(net.v.shape)
-    whole = net.log_probabilities(ids, masked_lm.contexts(ids)).sum(dtype=float)
-    monkeypatch.setattr(masked_lm, "BATCH", 64)
-    assert abs(masked_lm.score(net, ids) - whole) < 1e-2
-    # probabilities of all words sum to one in any context
-    context = masked_lm.contexts(ids[:1])
-    every = np.arange(masked_lm.WORDS, dtype=np.int32)
-    assert abs(np.exp(net.log_probabilities(every, np.repeat(context, masked_lm.WORDS, 0)).astype(float)).sum() - 1) < 1e-3
+def test_counts_are_those_of_all_words(spark, documents):
+    rng = random.Random(12)
+    texts = [prose(rng, "abcde", rng.randint(0, 60)) for _ in range(200)] + [None, "", LONG]
+    model = masked_lm.fit(documents(texts))
+    h = np.concatenate(word_hashes(texts, lower=True))
+    assert (model.net.counts == np.bincount(masked_lm.leaves(h), minlength=masked_lm.WORDS)).all()
+    assert (model.cells == masked_lm.coded(np.bincount((h >> np.uint64(64 - model.bits)).astype(int), minlength=1 << model.bits))).all()
+
+
+def test_a_text_that_occurs_twice_scores_higher(documents):
+    rng = random.Random(13)
+    texts = [prose(rng, "etaoinshrdlu", 80) for _ in range(120)]
+    rows = [r["per_word"] for r in masked_lm.pseudo_likelihood(documents([*texts, *texts[:20]])).orderBy("doc_id").collect()]
+    assert np.mean(np.array(rows[:20])[:, None] > np.array(rows[20:120])[None]) > 0.95
 
 
 def test_all_trusted_documents_count(spark, documents, monkeypatch):
