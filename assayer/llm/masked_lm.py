@@ -40,7 +40,7 @@ from assayer.llm._common import Store, in_arrow, packed, partitions, prepare, ta
 WORD_BITS = 15
 WORDS = 1 << WORD_BITS
 SIDE = 2
-EMBEDDING, HIDDEN = 8, 24
+EMBEDDING, HIDDEN = 8, 16
 #: Children of a node.
 FANOUT = 32
 #: Groups of neighbours, on each side, that words are ordered by.
@@ -137,7 +137,7 @@ class Network:
     """Parameters, and what follows from the corpus counts.
 
     ``e`` embeds words, ``w`` and ``b`` are the hidden layer h; the choice at a node of level k is the softmax of
-    (h * s[node]) @ v[k] + a[node].
+    (h * s[node]) @ v[k] + a[node]; a node's a and s are its row of ``p``.
     """
 
     FLAT = ("w", "b", "v")
@@ -152,12 +152,20 @@ class Network:
         self.w = (rng.standard_normal((2 * SIDE * EMBEDDING, HIDDEN)) * 0.2).astype(np.float32)
         self.b = np.zeros(HIDDEN, np.float32)
         self.v = (rng.standard_normal((len(self.nodes), HIDDEN, FANOUT)) * 0.05).astype(np.float32)
-        self.s = np.ones((len(mass), HIDDEN), np.float32)
-        self.a = np.log(np.maximum(mass / mass.sum(1, keepdims=True), 1e-13)).astype(np.float32)
+        self.p = np.ones((len(mass), FANOUT + HIDDEN), np.float32)
+        self.a[:] = np.log(np.maximum(mass / mass.sum(1, keepdims=True), 1e-13))
+
+    @property
+    def a(self) -> np.ndarray:
+        return self.p[:, :FANOUT]
+
+    @property
+    def s(self) -> np.ndarray:
+        return self.p[:, FANOUT:]
 
     def copy(self) -> Network:
         new = object.__new__(Network)
-        new.__dict__ = {k: (v.copy() if k in "ewbvsa" else v) for k, v in self.__dict__.items()}
+        new.__dict__ = {k: (v.copy() if k in "ewbvp" else v) for k, v in self.__dict__.items()}
         return new
 
     def hidden(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -167,11 +175,10 @@ class Network:
         return x, np.tanh(h, out=h)
 
     def choice(self, g: np.ndarray, level: int, bias: np.ndarray) -> np.ndarray:
-        """Logits of the children, the largest 0."""
+        """Logits of the children; none is so large that its exponential overflows."""
         z = g @ self.v[level]
         z += bias
-        z -= z.max(1, keepdims=True)
-        return z
+        return np.minimum(z, np.float32(60), out=z)
 
     def log_probabilities(self, ids: np.ndarray, context: np.ndarray) -> np.ndarray:
         """log P(word | its context) at each position; over all words, their exponentials sum to 1."""
@@ -182,12 +189,12 @@ class Network:
             if not len(at):
                 break
             if level:
-                node = self.nodes[level][ids[at]]
-                z = self.choice(h[at] * self.s[node], level, self.a[node])
+                q = self.p[self.nodes[level][ids[at]]]
+                z = self.choice(h[at] * q[:, FANOUT:], level, q[:, :FANOUT])
             else:
                 z = self.choice(h, 0, self.a[0])
             own = z[np.arange(len(at)), self.children[level][ids[at]]]
-            found[at] += own - np.log(np.exp(z, out=z).sum(1))
+            found[at] += own - np.log(np.exp(z, out=z).sum(1) + np.float32(1e-30))
         return found
 
     def train(self, ids: np.ndarray, context: np.ndarray, rate: float, visits: np.ndarray | None = None) -> None:
@@ -203,24 +210,29 @@ class Network:
             if level:
                 order = np.argsort(node, kind="stable")
                 at, node = at[order], node[order]
-            own, s = h[at] if level else h, self.s[node] if level else np.float32(1)
-            g = own * s
-            z = self.choice(g, level, self.a[node] if level else self.a[0])
+            if level:
+                own, q = h[at], self.p[node]
+                s = q[:, FANOUT:]
+                g = own * s
+                z = self.choice(g, level, q[:, :FANOUT])
+            else:
+                g = h
+                z = self.choice(g, 0, self.a[0])
             np.exp(z, out=z)
-            z /= z.sum(1, keepdims=True)
+            z *= 1 / (z.sum(1, keepdims=True) + np.float32(1e-30))
             z[np.arange(len(at)), self.children[level][ids[at]]] -= 1
             d = z @ self.v[level].T
             self.v[level] -= mean * (g.T @ z)
             if level:
+                dh[at] += d * s
+                q[:, :FANOUT] = z
+                np.multiply(own, d, out=s)
                 cut = np.flatnonzero(np.diff(node.astype(np.int32), prepend=-1))
                 often = np.diff(np.append(cut, len(node)))
                 # between a sum and a mean over a node's positions, so that rare nodes learn about as fast as frequent ones
-                step, which = np.float32(rate / 16) / np.sqrt(often.astype(np.float32))[:, None], node[cut]
-                self.a[which] -= step * np.add.reduceat(z, cut, axis=0)
-                own *= d
-                self.s[which] -= step * np.add.reduceat(own, cut, axis=0)
-                d *= s
-                dh[at] += d
+                sums, which = np.add.reduceat(q, cut, axis=0), node[cut]
+                sums *= np.float32(rate / 16) / np.sqrt(often.astype(np.float32))[:, None]
+                self.p[which] -= sums
                 if visits is not None:
                     visits[which] += often
             else:
@@ -349,7 +361,7 @@ def _train(start: Network, turn: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = start.copy()
-        seen, visits = np.zeros(WORDS + 1, np.float32), np.zeros(len(net.s), np.float32)
+        seen, visits = np.zeros(WORDS + 1, np.float32), np.zeros(len(net.p), np.float32)
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = steps = 0
 
@@ -377,7 +389,7 @@ def _train(start: Network, turn: int):
             step()
         if not steps:
             return
-        for number, rows, weights in ((0, net.e, seen), (1, np.concatenate([net.a, net.s], 1), visits)):
+        for number, rows, weights in ((0, net.e, seen), (1, net.p, visits)):
             for k in range(0, len(rows), CHUNK):
                 n = weights[k : k + CHUNK]
                 if n.any():
@@ -465,7 +477,7 @@ def fit(docs: DataFrame) -> Model:
             if chunk < TABLE:
                 net.e[k + good] = mean
             else:
-                net.a[k + good], net.s[k + good] = mean[:, :FANOUT], mean[:, FANOUT:]
+                net.p[k + good] = mean
     return Model(net, cells)
 
 
