@@ -4,10 +4,13 @@ A rule ``host/path`` fits its host and all subdomains if the URL's path starts w
 longest rule that fits decides. Other URLs get the trees' verdict: logistic boosting over binned lexical
 features (lengths, depth, digit ratio, entropy, parameter counts, statistics of the host's suffixes).
 The fit takes at most ``TRAINING`` labelled URLs, those with the smallest hashes; every row is judged.
+As many trees are kept as give the least log loss on parts of the labelled URLs that they were not grown on,
+none if noise is all there is: then every URL has the overall rate.
 
 Edge cases: a null URL or one without ``://`` has an empty host and path, fits no rule and is judged by
-the trees like others; without labelled URLs of both kinds the trees allow everything; repeated rows are
-judged each; an empty table gives an empty result; other columns are ignored, whatever their names.
+the trees like others; without labelled URLs of both kinds the trees allow everything; a URL of any length
+is read whole; a URL with labels of both kinds is bad; of equally long rules that fit a block wins; repeated
+rows are judged each; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -145,14 +148,14 @@ class Suffixes:
 class Boosted:
     """Logistic gradient boosting of complete trees over binned features."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray):
+    def __init__(self, x: np.ndarray, y: np.ndarray, trees: int = 0):
         self.cuts = [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1])) for c in x.T]
         b = self.binned(x)
         p = min(max(float(y.mean()), 1e-6), 1 - 1e-6)
         self.start = math.log(p / (1 - p))
         self.trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         f = np.full(len(y), self.start)
-        for _ in range(TREES):
+        for _ in range(trees or TREES):
             q = 1 / (1 + np.exp(-f))
             tree = self.grow(b, y - q, q * (1 - q))
             self.trees.append(tree)
@@ -195,8 +198,31 @@ class Boosted:
         return value[node - len(feature)]
 
     def probability(self, x: np.ndarray) -> np.ndarray:
-        b = self.binned(x)
-        return 1 / (1 + np.exp(-(self.start + sum(self.apply(t, b) for t in self.trees))))
+        return self.stages(x)[-1]
+
+    def stages(self, x: np.ndarray) -> list[np.ndarray]:
+        """Probabilities by no tree, by the first, by the first two, and so on."""
+        b, f = self.binned(x), np.full(len(x), self.start)
+        out = [1 / (1 + np.exp(-f))]
+        for t in self.trees:
+            f = f + self.apply(t, b)
+            out.append(1 / (1 + np.exp(-f)))
+        return out
+
+
+def log_loss(p: np.ndarray, y: np.ndarray) -> float:
+    p = np.clip(p, 1e-9, 1 - 1e-9)
+    return float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
+
+
+def best_number(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> int:
+    """Of trees: the number with the least log loss on parts that they were not grown on."""
+    total = np.zeros(TREES + 1)
+    for k in range(FOLDS):
+        out = fold == k
+        if out.any() and 0 < y[~out].sum() < (~out).sum():
+            total += [log_loss(p, y[out]) * out.sum() for p in Boosted(x[~out], y[~out]).stages(x[out])]
+    return int(total.argmin())
 
 
 class UrlModel:
@@ -214,7 +240,9 @@ class UrlModel:
             others = Suffixes.of([h for h, f in zip(hosts, fold, strict=True) if f != k], [y for y, f in zip(bad, fold, strict=True) if f != k])
             for i in np.flatnonzero(fold == k):
                 own[i] = others.features(hosts[i])
-        self.trees = Boosted(np.array([lexical(u) + x for u, x in zip(urls, own, strict=True)]), np.array(bad, np.float64))
+        x, y = np.array([lexical(u) + x for u, x in zip(urls, own, strict=True)]), np.array(bad, np.float64)
+        self.trees = Boosted(x, y, TREES)
+        self.trees.trees = self.trees.trees[: best_number(x, y, fold)]
 
     def scores(self, urls: list[str | None]) -> np.ndarray:
         """Probabilities of being blocked."""
@@ -252,12 +280,22 @@ def filter_urls(pages: DataFrame, labelled: DataFrame, rules: Sequence[tuple[str
     return in_arrow(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url")), _judge(Rules(rules), train(labelled)), RESULT)
 
 
+#: Words that mark a host as one to block, where a part of its name between dots or hyphens is one: kinds that public lists of
+#: hosts block (gambling, pharmacy and adult spam, link farms, advertising).
+MARKED = ("adult", "ads", "adserver", "bet", "bets", "betting", "casino", "gambling", "loans", "pharmacy", "pills", "poker", "porn", "replica", "sex", "slots", "spam", "tracker", "viagra", "xxx")
+
+
 def labelled_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """URLs whose last number is a labelled document: bad if it is of low quality or toxic."""
-    pages = table(spark, sf_dir, "pages").select("url", F.expr("try_cast(regexp_extract(url, '^[^:]*://[^/?#]*/[a-z]+/([0-9]+)', 1) AS long)").alias("doc_id"))
+    """Labelled URLs (url, bad): those of marked hosts are bad; others are labelled if their last number is a labelled document,
+    bad if that is of low quality or toxic."""
+    host = F.lower(F.regexp_extract("url", "://([^/?#]*)", 1))
+    marked = host.rlike(rf"(^|[.-])({'|'.join(MARKED)})([.-]|$)")
+    pages = table(spark, sf_dir, "pages").where("url IS NOT NULL").select("url", marked.alias("marked"), F.expr("try_cast(regexp_extract(url, '^[^:]*://[^/?#]*/[a-z]+/([0-9]+)', 1) AS long)").alias("doc_id"))
     labels = table(spark, sf_dir, "labels").select("doc_id", (F.coalesce(F.col("quality") == 0, F.lit(False)) | F.coalesce(F.col("toxic") == 1, F.lit(False))).cast("int").alias("bad"))
-    return pages.where("doc_id IS NOT NULL").join(labels, "doc_id").select("url", "bad")
+    known = pages.where("NOT marked AND doc_id IS NOT NULL").join(labels, "doc_id").select("url", "bad")
+    return known.unionByName(pages.where("marked").select("url", F.lit(1).alias("bad")))
 
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every row of ``pages``."""
     return filter_urls(table(spark, sf_dir, "pages"), labelled_urls(spark, sf_dir))
