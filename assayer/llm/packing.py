@@ -5,7 +5,7 @@ so histogram and plan are small whatever the corpus. Best-fit decreasing runs on
 a group of ``bins`` sequences with the same room takes the next length at once. Each placement is one
 plan row; documents then take their slot by joining on their rank within their length.
 
-Workers hold at most ``CACHE_BYTES`` of words besides a block's own, and empty that when a task ends.
+Workers hold at most ``CACHE_BYTES`` of words besides a block's own; ``KEPT`` short ones outlive a task.
 
 Edge cases: a null text is an empty one (one end token); repeated rows are packed once each; ties in a
 length are ranked by doc_id, piece and checksum; texts of any length are read whole, in
@@ -15,10 +15,12 @@ ignored, whatever their names.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Collection, Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -41,11 +43,17 @@ BROADCAST_ROWS = 100_000
 MARKS = b".,!?%*#$&;:)|"
 #: Bytes that a worker's cache of words may take, and what an entry takes besides its word and ids.
 CACHE_BYTES, ENTRY_BYTES = 80 << 20, 176
+#: Length of short words, and how many of them outlive a task.
+SHORT, KEPT = 9, 50_000
+
+
+#: Letters that normalisation leaves alone, but for case.
+_LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 
 
 def plain_letters(word: str) -> bool:
     """Whether a word is nothing but letters after the vocabulary's normalisation. (U+0130 is not: its lower case is two characters.)"""
-    return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
+    return bool(_LATIN(word)) or word.isalpha() and unicodedata.normalize("NFC", word).lower().isalpha()
 
 
 class WordIds:
@@ -128,8 +136,9 @@ class WordIds:
         return left.difference(again)
 
     def forget(self) -> None:
-        """Empties both generations."""
-        self.ids, self.old, self.size = {}, {}, 0
+        """Empties both generations but for some short words, which are the frequent ones."""
+        self.ids = dict(islice(((w, x) for w, x in chain(self.old.items(), self.ids.items()) if len(w) <= SHORT), KEPT))
+        self.old, self.size = {}, len(self.ids) * (ENTRY_BYTES + 2 * SHORT)
 
 
 _IDS: dict[str, WordIds] = {}
