@@ -38,8 +38,9 @@ BITS = 64
 RECALL = 0.995
 #: Binary logarithm of the vectors of a bucket, on average.
 BUCKET = 6
-#: Vectors of a side of a block of pairs.
-BLOCK = 768
+#: Least and most vectors of a side of a block of pairs; in between, so many times the root of the component's size, so that
+#: blocks are many where there is work to share and copies of rows grow with the power 1.5 of the size.
+BLOCK, MOST_BLOCK, BLOCK_ROOTS = 128, 2048, 4
 _ITERATIONS = 30
 
 
@@ -232,7 +233,7 @@ def _links(reps: DataFrame, dim: int, cosine: float, store: Store) -> tuple[Data
     second = store.keep(rerank(across))
 
     sizes = named.join(label.select("v"), "v", "left_semi").groupBy("c").agg(F.count("*").alias("m"))
-    members = named.select("v", "c").join(sizes, "c").withColumn("blocks", F.ceil(F.col("m") / BLOCK)).withColumn("side", F.pmod(F.xxhash64("v"), F.col("blocks")))
+    members = named.select("v", "c").join(sizes, "c").withColumn("blocks", F.ceil(F.col("m") / F.least(F.lit(float(MOST_BLOCK)), F.greatest(F.lit(float(BLOCK)), BLOCK_ROOTS * F.sqrt("m"))))).withColumn("side", F.pmod(F.xxhash64("v"), F.col("blocks")))
     blocks = members.select("c", "v", "side", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("o")).select("c", "v", "side", F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j"))
     blocks = blocks.join(reps.select("v", "copies", "embedding"), "v").select("c", "i", "j", "side", "v", "copies", "embedding")
     inner = in_arrow(blocks.repartition(partitions(spark), "c", "i", "j").sortWithinPartitions("c", "i", "j"), _block_links(dim, cosine), "v long, n long")
