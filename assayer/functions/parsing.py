@@ -14,6 +14,9 @@ METRIC = r"([A-Za-z_][\w./-]*)\s*:\s*(-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)"
 EVIDENCE = "## Evidence"
 RULE_HEADING = "## Decision rule"
 
+#: Line ends inside a class of characters, and white space that ends no line.
+_ENDS = r"\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029"
+_BLANK = r"[\t\x1f\p{Zs}]"
 _PAIR = "struct<key:string,value:string>"
 
 
@@ -55,8 +58,15 @@ def _to_map(pairs: Column) -> Column:
 
 def fields(raw: Column, comments: bool = True) -> Column:
     """Top-level ``key: value`` lines as a map. ``comments``: lines with # in the first column are left out."""
-    good = F.filter(lines(raw), lambda x: (F.locate(":", x) > 0) & ~_indented(x) & ~(x.startswith("#") if comments else F.lit(False)))
-    return _to_map(F.transform(good, _pair))
+    line = rf"(?<![^{_ENDS}])(?![ \t{'#' if comments else ''}-]){_BLANK}*([^:{_ENDS}]*?){_BLANK}*:{_BLANK}*([^{_ENDS}]*?){_BLANK}*(?=[{_ENDS}]|\z)"
+    part = lambda k: F.regexp_extract_all(raw, F.lit(line), F.lit(k))
+
+    def of(p: Column) -> Column:
+        same = F.size(F.array_distinct(p["k"])) == F.size(p["k"])
+        pairs = F.zip_with(p["k"], p["v"], lambda k, v: F.struct(k.alias("key"), v.alias("value")))
+        return F.when(same, F.map_from_arrays(p["k"], p["v"])).otherwise(_to_map(pairs))
+
+    return F.when(raw.isNotNull(), let(F.struct(part(1).alias("k"), part(2).alias("v")), of))
 
 
 def blocks(raw: Column) -> Column:
@@ -76,6 +86,12 @@ def blocks(raw: Column) -> Column:
     return F.map_from_entries(folded)
 
 
+def commented(fm: Column, *keys: str) -> Column:
+    """Those of the keys whose value has a comment after it; the format keeps it as part of the value."""
+    marked = lambda k: F.when(F.try_element_at(fm, F.lit(k)).rlike(rf"{SPACE}#"), F.lit(k))
+    return F.filter(F.array(*map(marked, keys)), lambda x: x.isNotNull())
+
+
 def metrics(value: Column) -> Column:
     """Pairs of names and plain decimal numbers in a text, as a map of doubles; the last of equal names holds."""
     names = F.regexp_extract_all(value, F.lit(METRIC), F.lit(1))

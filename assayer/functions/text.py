@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: All 29 white-space characters of the note format (fixed values).
@@ -21,6 +21,12 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def once(rows: DataFrame, *columns: Column | str) -> DataFrame:
+    """``rows.select(*columns)``, in which expressions are computed once a row, whatever filters and selections follow: the
+    optimizer does not inline them. Columns that are given by name pass as they are, and filters on them reach the scan."""
+    return rows.select(*(c for c in columns if isinstance(c, str)), F.inline(F.array(F.struct(*(c for c in columns if not isinstance(c, str))))))
+
+
 def strip(c: Column) -> Column:
     """Without white space at both ends."""
     return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
@@ -62,8 +68,13 @@ def stem(path: Column) -> Column:
     return F.regexp_replace(last_component(path), r"(?s)(?<=.)\.[^.]+$", "")
 
 
+def key_file_name(key: Column) -> Column:
+    """The file name of a citation key: ``:`` and ``/`` become hyphens, the rest stays."""
+    return F.translate(key, ":/", "--")
+
+
 def slug(c: Column) -> Column:
-    """A key as a file name: lower case, runs of other characters as one hyphen."""
+    """An idea's name as a folder name: lower case, runs of other characters as one hyphen."""
     return F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), "^-|-$", "")
 
 

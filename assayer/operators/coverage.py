@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.functions.text import let
+from assayer.functions.text import once
 
 PHASES = ("FRAME", "SURVEY", "BUILD", "MAP", "DESIGN", "RUN", "ANALYZE", "MEMO")
 
@@ -45,23 +45,26 @@ def quotes_in_dossiers(quotes: DataFrame, dossiers: DataFrame) -> DataFrame:
 def containments(passages: DataFrame, texts: DataFrame, n: int = 5) -> DataFrame:
     """Pairs of a passage (item_id, text) and a text (doc_id, text) that contains it.
 
-    Candidates share the passage's rarest n-gram of words; each is then searched verbatim. No pair of a
-    passage and a text without that n-gram is made. Passages of too few words have none: they are searched in every text.
+    Candidates share one n-gram of the passage's words (that of the least hash); each is then searched verbatim. No pair of
+    a passage and a text without that n-gram is made. Passages of too few words have none: if there are any, they are
+    searched in every text.
     """
-    hashes = lambda w: F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice(w, i + 1, n), " "))))
-    grams = lambda c: let(c, hashes)
+
+    def hashes(w: Column) -> Column:
+        gram = lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(n)))
+        return F.when(F.size(w) >= n, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - n), gram))).otherwise(F.array().cast("array<bigint>"))
+
     # a passage may begin and end inside a word, so its outer words are left out
     words = lambda c: F.filter(F.split(c, r"[ \t-\r]+"), lambda w: w != "")
-    inner = passages.select("item_id", F.col("text").alias("passage"), words(F.col("text")).alias("w")).withColumn("w", F.slice("w", F.lit(2), F.greatest(F.size("w") - 2, F.lit(0))))
-    short = inner.where(F.size("w") < n).select("item_id", "passage")
-    own = inner.where(F.size("w") >= n).select("item_id", "passage", F.explode(grams(F.col("w"))).alias("g"))
-    posts = texts.select("doc_id", F.explode(grams(words(F.col("text")))).alias("g")).join(own.select("g").distinct(), "g", "left_semi")
-    df = posts.groupBy("g").agg(F.count("*").alias("df"))
-    key = own.join(df, "g", "left").groupBy("item_id", "passage").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "g")).alias("k")).select("item_id", "passage", F.col("k.g").alias("g"))
-    near = posts.join(key, "g").select("item_id", "passage", "doc_id").distinct()
+    inner = once(passages, "item_id", F.col("text").alias("passage"), words(F.col("text")).alias("w")).withColumn("w", F.slice("w", F.lit(2), F.greatest(F.size("w") - 2, F.lit(0))))
+    key = once(inner, "item_id", "passage", F.array_min(hashes(F.col("w"))).alias("g"))
+    short, own = key.where("g IS NULL").select("item_id", "passage"), key.where("g IS NOT NULL")
+    grams = once(once(texts, "doc_id", words(F.col("text")).alias("w")), "doc_id", hashes(F.col("w")).alias("g"))
+    near = grams.select("doc_id", F.explode("g").alias("g")).join(own, "g").select("item_id", "passage", "doc_id")
     found = near.join(texts.select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("passage"))).select("item_id", "doc_id")
-    few = texts.join(short, F.contains("text", F.col("passage"))).select("item_id", "doc_id")
-    return found.unionByName(few)
+    if short.isEmpty():
+        return found
+    return found.unionByName(texts.join(short, F.contains("text", F.col("passage"))).select("item_id", "doc_id"))
 
 
 def one_sided_links(links: DataFrame, listed: DataFrame) -> DataFrame:
@@ -158,11 +161,15 @@ def by_alias(names: DataFrame, concepts: DataFrame) -> DataFrame:
     return names.withColumn("_k", F.lower("name")).join(known, "_k", "left").drop("_k")
 
 
+#: Classes of notes and the tags that put a note in them, in the order in which they are tried (fixed values).
+NODE_CLASSES = (("source", ("source",)), ("claim", ("claim",)), ("method", ("method",)), ("dataset", ("dataset",)), ("metric", ("metric",)), ("experiment", ("spec", "run", "result")), ("map", ("moc",)))
+
+
 def node_class(tags: Column) -> Column:
-    """The first class of a note whose tag it bears."""
+    """The first class of a note that one of its tags puts it in; ``other`` without one."""
     out = F.lit("other")
-    for name in ("report", "result", "run", "spec", "claim", "metric", "dataset", "method", "concept", "source"):
-        out = F.when(F.array_contains(tags, name), name).otherwise(out)
+    for name, own in reversed(NODE_CLASSES):
+        out = F.when(F.arrays_overlap(tags, F.array(*map(F.lit, own))), name).otherwise(out)
     return out
 
 

@@ -34,6 +34,11 @@ def arm_moments(runs: DataFrame, metric: str) -> DataFrame:
     return measured(runs, metric).groupBy("arm").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("sd"))
 
 
+def arm_values(runs: DataFrame, metric: str) -> DataFrame:
+    """The values of each arm as rows (arm, value) in ascending order, for arms of any size."""
+    return measured(runs, metric).select("arm", "value").orderBy("arm", "value")
+
+
 def last_of_each_seed(runs: DataFrame, metric: str) -> DataFrame:
     """One value for each arm and seed: of repeated ones the last."""
     return measured(runs, metric).groupBy("arm", "seed").agg(F.max_by("value", "ord").alias("value"))

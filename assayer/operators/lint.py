@@ -6,14 +6,15 @@ checks and ``ord`` the order within one, so that equal findings keep their order
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.functions import parsing
-from assayer.functions.text import last_component, strip, unquote, without_md
-from assayer.operators.specs import registrations
+from assayer.functions.text import let, strip, unquote, without_md
+from assayer.operators.specs import digest, recorded, rule_drift
 from assayer.sources.notes import edges
 
 #: Contract of the note format (fixed values).
@@ -25,6 +26,9 @@ UNLINKED_STEMS = ("README", "TODO", "log", "map")
 READ_RANK = {"unreachable": 0, "abstract-only": 1, "partial": 2, "full": 3}
 EMPTY_LISTS = ("", "[]")
 
+#: Screening records (one a vault) that are broadcast: so many, of so many bytes.
+SCREENING_ROWS, SCREENING_BYTES = 10_000, 8 << 20
+
 
 def field(name: str, default: str = "") -> Column:
     return F.coalesce(F.try_element_at("fm", F.lit(name)), F.lit(default))
@@ -43,67 +47,135 @@ def finding(rows: DataFrame, severity: str, check: str, path: str, message: Colu
     )
 
 
-def frontmatter(notes: DataFrame) -> DataFrame:
-    """Notes without the keys that their type needs; what lies under raw/ is a dossier."""
+# -- checks of a single note: a note's findings are an array, so that one pass gives those of all checks -----------
+
+
+def _hit(severity: str, check: str, message: Column | str, fix: str, order: Column | None = None) -> Column:
+    return F.struct(
+        F.lit(severity).alias("severity"),
+        F.lit(SEVERITIES.index(severity)).alias("sev_rank"),
+        F.lit(check).alias("check"),
+        (F.lit(message) if isinstance(message, str) else message).alias("message"),
+        F.lit(fix).alias("fix"),
+        (F.lit("") if order is None else order.cast("string")).alias("ord"),
+    )
+
+
+def _if(condition: Column, hit: Column) -> Column:
+    return F.when(condition, F.array(hit)).otherwise(F.array().cast(_HITS))
+
+
+_HITS = "array<struct<severity:string,sev_rank:int,check:string,message:string,fix:string,ord:string>>"
+
+
+def _of_single_notes(notes: DataFrame, *checks: Callable[[], Column]) -> DataFrame:
+    """Findings of the checks, with ``step``: their place in CHECKS."""
+    names = ("severity", "sev_rank", "check", "message", "fix", "ord")
+
+    def stepped_of(check: Callable[[], Column]) -> Column:
+        step = F.lit(SINGLE.get(check, len(CHECKS))).alias("step")
+        return F.transform(check(), lambda h: F.struct(*(h[c] for c in names), step))
+
+    stepped = list(map(stepped_of, checks))
+    hits = F.concat(*stepped) if len(stepped) > 1 else stepped[0]
+    return notes.select("vault", F.col("rel").alias("path"), F.explode(hits).alias("h")).select("vault", "h.severity", "h.sev_rank", "h.check", "path", "h.message", "h.fix", "h.ord", "h.step")
+
+
+def _frontmatter() -> Column:
     kind = F.when(F.col("rel").startswith("raw/"), "dossier").otherwise(F.col("type"))
     needed = F.array(*map(F.lit, REQUIRED))
     for name, keys in REQUIRED_BY_TYPE.items():
         needed = F.when(kind == name, F.array(*map(F.lit, keys))).otherwise(needed)
-    rows = notes.where(~F.col("rel").startswith("_meta/")).withColumn("missing", F.array_except(needed, F.map_keys("fm"))).where("size(missing) > 0 OR size(fm) = 0")
-    message = F.when(F.size("fm") == 0, "has no front matter").otherwise(F.concat(F.lit("lacks "), F.array_join("missing", ", ")))
-    return finding(rows, "major", "frontmatter", "rel", message, "add the keys that this type of note needs")
+    text = lambda missing: F.when(F.size("fm") == 0, "has no front matter").otherwise(F.concat(F.lit("lacks "), F.array_join(missing, ", ")))
+    found = lambda missing: _if(~F.col("rel").startswith("_meta/") & ((F.size(missing) > 0) | (F.size("fm") == 0)), _hit("major", "frontmatter", text(missing), "add the keys that this type of note needs"))
+    return let(F.array_except(needed, F.map_keys("fm")), found)
 
 
-def link_names(notes: DataFrame) -> DataFrame:
-    """(vault, key) of everything a link can point at: stems, and paths with and without .md."""
-    names = F.array(F.struct(F.lit("stem").alias("kind"), F.col("stem").alias("key")), F.struct(F.lit("path").alias("kind"), F.col("rel").alias("key")), F.struct(F.lit("path").alias("kind"), without_md(F.col("rel")).alias("key")))
-    return notes.select("vault", F.explode(names).alias("n")).select("vault", "n.kind", "n.key").distinct()
+def _evidence() -> Column:
+    number = lambda f: F.rtrim(F.replace(f, F.lit(" "), F.lit("")), F.lit("%"))
 
+    def loose(tail: Column) -> Column:
+        def of(quotes: Column) -> Column:
+            numbered = F.transform(parsing.figures(parsing.before_evidence(F.col("body"))), lambda f, i: F.struct(f.alias("f"), i.alias("i")))
+            bad = F.filter(numbered, lambda x: ~F.contains(quotes, number(x["f"])))
+            return F.transform(bad, lambda x: _hit("blocker", "unsupported-number", F.concat(F.lit("states "), x["f"], F.lit(", which no quote has")), "quote its source or delete it", F.lpad(x["i"].cast("string"), 9, "0")))
+
+        return let(F.replace(parsing.quoted(tail), F.lit(" "), F.lit("")), of)
+
+    def found(tail: Column) -> Column:
+        bare = tail.isNull() | ~parsing.has_quote(tail)
+        none = _hit("blocker", "no-evidence", F.when(tail.isNull(), "has no evidence section").otherwise("its evidence holds no quote"), "quote the passages that the note rests on")
+        return F.when(bare, F.array(none)).otherwise(loose(tail))
+
+    return F.when((F.col("type") == "source") & (strip(field("read")) != "unreachable"), let(parsing.evidence(F.col("body")), found)).otherwise(F.array().cast(_HITS))
+
+
+def _claims() -> Column:
+    pro, con = strip(field("supported_by", "[]")), strip(field("contradicted_by", "[]"))
+    claim = F.col("type") == "claim"
+    return F.concat(
+        _if(claim & pro.isin(*EMPTY_LISTS) & con.isin(*EMPTY_LISTS), _hit("major", "unsupported-claim", "rests on no source", "list its sources or delete it")),
+        _if(claim & (strip(field("status")) == "settled") & ~con.isin(*EMPTY_LISTS), _hit("major", "resolved-contest", "is settled although sources contradict it", "call it contested")),
+    )
 
-def broken_links(notes: DataFrame) -> DataFrame:
-    """Links that point at no stem and no path. Two equi-joins on candidate keys, no join on an OR."""
-    names = link_names(notes)
-    any_name = names.select("vault", F.col("key").alias("target")).distinct()
-    stems = names.where("kind = 'stem'").select("vault", F.col("key").alias("name"))
-    rows = edges(notes).join(any_name, ["vault", "target"], "left_anti").join(stems, ["vault", "name"], "left_anti")
-    return finding(rows, "major", "broken-link", "src", F.concat(F.lit("links to ["), F.col("link"), F.lit("], which is no note")), "create the note or mend the link", F.col("link"))
+
+def _preregistration() -> Column:
+    def found(p: Column) -> Column:
+        changed = _hit("blocker", "tampered-preregistration", F.concat(F.lit("registered as "), p["recorded"], F.lit(", now "), p["digest"]), "restore it, or register a new spec")
+        return F.when(p["recorded"] == "", F.array(_hit("blocker", "no-spec-hash", "has no digest", "register it before its runs"))).otherwise(_if(p["recorded"] != p["digest"], changed))
+
+    now = F.struct(recorded(F.col("fm")).alias("recorded"), digest(F.col("fm_raw"), F.col("body")).alias("digest"))
+    return F.when(F.col("type") == "spec", let(now, found)).otherwise(F.array().cast(_HITS))
+
+
+def frontmatter(notes: DataFrame) -> DataFrame:
+    """Notes without the keys that their type needs; what lies under raw/ is a dossier."""
+    return _of_single_notes(notes, _frontmatter).drop("step")
 
 
 def evidence(notes: DataFrame) -> DataFrame:
     """Source notes without quoted evidence, and figures before it that no quote has."""
-    rows = notes.where((F.col("type") == "source") & (strip(field("read")) != "unreachable")).withColumn("tail", parsing.evidence(F.col("body")))
-    bare = rows.where(F.col("tail").isNull() | ~parsing.has_quote(F.col("tail")))
-    none = finding(bare, "blocker", "no-evidence", "rel", F.when(F.col("tail").isNull(), "has no evidence section").otherwise("its evidence holds no quote"), "quote the passages that the note rests on")
-    said = rows.where(F.col("tail").isNotNull() & parsing.has_quote(F.col("tail"))).select("vault", "rel", parsing.before_evidence(F.col("body")).alias("head"), F.replace(parsing.quoted(F.col("tail")), F.lit(" "), F.lit("")).alias("quotes"))
-    numbers = said.select("vault", "rel", "quotes", F.posexplode(parsing.figures(F.col("head"))).alias("at", "figure"))
-    loose = numbers.where(~F.contains("quotes", F.rtrim(F.replace("figure", F.lit(" "), F.lit("")), F.lit("%"))))
-    return none.unionByName(finding(loose, "blocker", "unsupported-number", "rel", F.concat(F.lit("states "), F.col("figure"), F.lit(", which no quote has")), "quote its source or delete it", F.lpad(F.col("at").cast("string"), 9, "0")))
+    return _of_single_notes(notes, _evidence).drop("step")
 
 
 def claims(notes: DataFrame) -> DataFrame:
     """Claims without any support or contradiction, and settled ones that are contradicted."""
-    rows = notes.where("type = 'claim'").select("vault", "rel", strip(field("supported_by", "[]")).alias("pro"), strip(field("contradicted_by", "[]")).alias("con"), strip(field("status")).alias("status"))
-    empty = rows.where(F.col("pro").isin(*EMPTY_LISTS) & F.col("con").isin(*EMPTY_LISTS))
-    settled = rows.where((F.col("status") == "settled") & ~F.col("con").isin(*EMPTY_LISTS))
-    return finding(empty, "major", "unsupported-claim", "rel", F.lit("rests on no source"), "list its sources or delete it").unionByName(
-        finding(settled, "major", "resolved-contest", "rel", F.lit("is settled although sources contradict it"), "call it contested")
-    )
+    return _of_single_notes(notes, _claims).drop("step")
 
 
 def preregistration(notes: DataFrame) -> DataFrame:
     """Specs without a digest, and specs whose digest is another one now."""
-    rows = registrations(notes)
-    return finding(rows.where("recorded = ''"), "blocker", "no-spec-hash", "rel", F.lit("has no digest"), "register it before its runs").unionByName(
-        finding(rows.where("recorded <> '' AND recorded <> digest"), "blocker", "tampered-preregistration", "rel", F.concat(F.lit("registered as "), F.col("recorded"), F.lit(", now "), F.col("digest")), "restore it, or register a new spec")
-    )
+    return _of_single_notes(notes, _preregistration).drop("step")
+
+
+#: Checks of a single note, with their places among all checks.
+SINGLE = {_frontmatter: 0, _evidence: 2, _claims: 3, _preregistration: 4}
+
+
+# -- checks of several notes ------------------------------------------------------------------------------------
+
+
+def link_names(notes: DataFrame) -> DataFrame:
+    """(vault, key) of everything a link can point at: stems, and paths with and without .md."""
+    names = F.array(F.struct(F.lit("stem").alias("kind"), F.col("stem").alias("key")), F.struct(F.lit("path").alias("kind"), F.col("rel").alias("key")), F.struct(F.lit("path").alias("kind"), without_md(F.col("rel")).alias("key")))
+    return notes.select("vault", F.explode(names).alias("n")).select("vault", "n.kind", "n.key").distinct()
 
 
-def runs(notes: DataFrame) -> DataFrame:
+def broken_links(notes: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """Links that point at no stem and no path. Two equi-joins on candidate keys, no join on an OR."""
+    names = link_names(notes)
+    any_name = names.select("vault", F.col("key").alias("target")).distinct()
+    stems = names.where("kind = 'stem'").select("vault", F.col("key").alias("name"))
+    rows = (links or edges(notes)).join(any_name, ["vault", "target"], "left_anti").join(stems, ["vault", "name"], "left_anti")
+    return finding(rows, "major", "broken-link", "src", F.concat(F.lit("links to ["), F.col("link"), F.lit("], which is no note")), "create the note or mend the link", F.col("link"))
+
+
+def runs(notes: DataFrame, links: DataFrame | None = None) -> DataFrame:
     """Results that cite runs without a record. Only names with ``seed`` in them count as runs."""
     known = notes.where("type = 'run'")
     stems = known.select("vault", F.col("stem").alias("name")).distinct()
     ids = known.select("vault", unquote(field("id")).alias("link")).distinct()
-    cited = edges(notes.where("type = 'result'")).where(F.contains("name", F.lit("seed")))
+    cited = (links or edges(notes)).where((F.col("type") == "result") & F.contains("name", F.lit("seed")))
     rows = cited.join(stems, ["vault", "name"], "left_anti").join(ids, ["vault", "link"], "left_anti")
     return finding(rows, "blocker", "dangling-run", "src", F.concat(F.lit("cites run "), F.col("link"), F.lit(", which has no record")), "record the run or drop the citation", F.col("link"))
 
@@ -113,8 +185,11 @@ def dossier_coverage(notes: DataFrame) -> DataFrame:
     raws = notes.select("vault", unquote(strip(field("raw"))).alias("rel")).distinct()
     stems = notes.where("type = 'source'").select("vault", "stem").distinct()
     screening = notes.where("rel = '_meta/screening.md'").select("vault", F.concat(F.when(F.col("fm_raw") != "", F.concat(F.lit("---"), "fm_raw", F.lit("\n---"))).otherwise(""), "body").alias("screening"))
+    n, size = screening.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("screening")), F.lit(0))).first()
+    if n <= SCREENING_ROWS and size <= SCREENING_BYTES:
+        screening = F.broadcast(screening)  # else a join on the vault, whose large partitions Spark splits
     rows = notes.where((F.col("dir") == "raw") & ~F.col("stem").startswith("_")).join(raws, ["vault", "rel"], "left_anti").join(stems, ["vault", "stem"], "left_anti")
-    rows = rows.join(screening, "vault", "left").where(~F.contains(F.coalesce("screening", F.lit("")), F.col("stem")))
+    rows = rows.select("vault", "rel", "stem").join(screening, "vault", "left").where(~F.contains(F.coalesce("screening", F.lit("")), F.col("stem")))
     return finding(rows, "major", "unscreened-dossier", "rel", F.lit("is neither a source nor excluded on record"), "write its note or record why it is left out")
 
 
@@ -125,20 +200,26 @@ def _rank(c: Column, default: int) -> Column:
     return out
 
 
-def read_state(notes: DataFrame) -> DataFrame:
-    """Source notes whose dossier is missing, or that claim a fuller reading than it."""
-    dossiers = notes.select("vault", F.col("rel").alias("raw"), unquote(field("read")).alias("actual"))
+def read_state(notes: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """Source notes whose dossier is missing, or that claim a fuller reading than it. A dossier without a reading says nothing.
+
+    ``files`` (vault, rel): files that are no notes and so can be a dossier too, without a reading (``sources.notes.list_files``).
+    """
+    dossiers = notes.select("vault", F.col("rel").alias("raw"), unquote(strip(field("read"))).alias("actual"))
+    if files is not None:
+        others = files.select("vault", F.col("rel").alias("raw")).distinct().join(dossiers.select("vault", "raw"), ["vault", "raw"], "left_anti")
+        dossiers = dossiers.unionByName(others.withColumn("actual", F.lit("")))
     rows = notes.where("type = 'source'").select("vault", "rel", unquote(field("raw")).alias("raw"), unquote(field("read")).alias("claimed")).where("raw <> '' AND claimed <> ''").join(dossiers, ["vault", "raw"], "left")
     missing = rows.where("actual IS NULL")
-    more = rows.where(F.col("actual").isNotNull() & (_rank(F.col("claimed"), 3) > _rank(F.col("actual"), 0)))
+    more = rows.where((F.col("actual") != "") & (_rank(F.col("claimed"), 3) > _rank(F.col("actual"), 0)))
     return finding(missing, "major", "missing-dossier", "rel", F.concat(F.lit("names "), F.col("raw"), F.lit(", which does not exist")), "restore the dossier").unionByName(
         finding(more, "blocker", "upgraded-reading", "rel", F.concat(F.lit("says it was read "), F.col("claimed"), F.lit(", its dossier says "), F.col("actual")), "state the dossier's reading")
     )
 
 
-def orphans(notes: DataFrame) -> DataFrame:
+def orphans(notes: DataFrame, links: DataFrame | None = None) -> DataFrame:
     """Notes that link nothing and that nothing links; runs and derived files are exempt."""
-    linked = edges(notes).select("vault", F.col("name").alias("stem")).distinct()
+    linked = (links or edges(notes)).select("vault", F.col("name").alias("stem")).distinct()
     derived = reduce(lambda a, b: a | b, (F.col("rel").startswith(d) for d in DERIVED))
     rows = notes.where(~derived & ~F.col("stem").isin(*UNLINKED_STEMS) & (F.col("type") != "run") & (F.size("links") == 0)).join(linked, ["vault", "stem"], "left_anti")
     return finding(rows, "minor", "orphan", "rel", F.lit("links nothing, and nothing links it"), "link what it is about")
@@ -147,14 +228,40 @@ def orphans(notes: DataFrame) -> DataFrame:
 CHECKS = (frontmatter, broken_links, evidence, claims, preregistration, runs, dossier_coverage, read_state, orphans)
 
 
-def all_findings(notes: DataFrame) -> DataFrame:
+def all_findings(notes: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """All checks' findings; unsorted, so that consumers can aggregate without a sort.
 
-    The parsed notes are persisted, so that they are parsed once for all checks; ``unpersist`` them or
-    clear the cache when the findings are no longer needed.
+    Checks of a single note run in one pass. The parsed notes are persisted, so that they are parsed once for all checks;
+    ``unpersist`` them or clear the cache when the findings are no longer needed. ``files``: as for ``read_state``.
     """
     notes = notes.persist()
-    return reduce(DataFrame.unionByName, (check(notes).withColumn("step", F.lit(k)) for k, check in enumerate(CHECKS)))
+    links = edges(notes)
+    more = {broken_links: (links,), runs: (links,), dossier_coverage: (), read_state: (files,), orphans: (links,)}
+    several = [check(notes, *given).withColumn("step", F.lit(CHECKS.index(check))) for check, given in more.items()]
+    return reduce(DataFrame.unionByName, several, _of_single_notes(notes, *SINGLE))
+
+
+def stem_collisions(notes: DataFrame) -> DataFrame:
+    """Names that several notes of a vault share, so that a link by name can mean any of them: vault, stem, n, paths."""
+    return notes.groupBy("vault", "stem").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("rel")).alias("paths")).where("n > 1")
+
+
+def _rule_drift() -> Column:
+    return _if((F.col("type") == "spec") & rule_drift(F.col("fm_raw"), F.col("body")), _hit("minor", "rule-drift", "its front matter and its text state different rules", "state the rule once, or the same twice"))
+
+
+def _comments() -> Column:
+    mark = lambda k: _hit("minor", "trailing-comment", F.concat(F.lit("the value of "), k, F.lit(" holds a comment")), "move the comment to a line of its own", k)
+    run = F.when(F.col("type") == "run", parsing.commented(F.col("fm"), "arm", "seed", "status")).otherwise(F.array().cast("array<string>"))
+    rule = F.when(F.col("type") == "spec", F.coalesce(parsing.rule(F.concat(F.lit("---"), "fm_raw", F.lit("\n---"), "body"))["ignored"], F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>"))
+    return F.transform(F.concat(run, rule), mark)
+
+
+def warnings(notes: DataFrame) -> DataFrame:
+    """What the checks pass without a word, as minor findings beside theirs: specs whose front matter and text state different
+    rules (the digest covers one, a verdict follows the other), values of runs that keep a comment, and keys of a rule whose
+    value is no number, so that a default holds."""
+    return _of_single_notes(notes, _rule_drift, _comments).drop("step")
 
 
 def ranked(findings: DataFrame) -> DataFrame:

@@ -56,16 +56,20 @@ def with_digest(text: Column) -> Column:
     return let(F.struct(parsing.front_matter(text).alias("raw"), parsing.body(text).alias("body")), new)
 
 
+def rule_drift(raw: Column, body: Column) -> Column:
+    """Whether the rules of front matter and body differ. A verdict follows the one, the digest covers the other."""
+    front = squeeze(F.coalesce(F.try_element_at(parsing.blocks(raw), F.lit("decision_rule")), F.lit("")))
+    fenced = squeeze(F.regexp_extract(body, r"(?s)```ya?ml\n(.*?metric:.*?)```", 1))
+    bare = F.regexp_replace(fenced, r"^decision_rule: ?", "")
+    return (front != "") & (fenced != "") & (front != bare)
+
+
 def registrations(notes: DataFrame) -> DataFrame:
     """Specs with the recorded digest, the recomputed one, and whether the rules of front matter and body differ."""
-    specs = notes.where("type = 'spec'")
-    front = squeeze(F.coalesce(F.try_element_at(parsing.blocks(F.col("fm_raw")), F.lit("decision_rule")), F.lit("")))
-    fenced = squeeze(F.regexp_extract("body", r"(?s)```ya?ml\n(.*?metric:.*?)```", 1))
-    bare = F.regexp_replace(fenced, r"^decision_rule: ?", "")
-    return specs.select(
+    return notes.where("type = 'spec'").select(
         "vault",
         "rel",
         recorded(F.col("fm")).alias("recorded"),
         digest(F.col("fm_raw"), F.col("body")).alias("digest"),
-        ((front != "") & (fenced != "") & (front != bare)).alias("rule_drift"),
+        rule_drift(F.col("fm_raw"), F.col("body")).alias("rule_drift"),
     )

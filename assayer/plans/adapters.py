@@ -82,6 +82,16 @@ def spec_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(rel, text)
 
 
+def ruled_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as specs with a rule in the front matter, commented for every fifth, and one in the text, another for every third."""
+    k, size = F.col("p_partkey"), text_of("p_size")
+    comparator = F.when(k % 4 == 0, '">="').when(k % 4 == 1, "<").otherwise(">")
+    rule = F.concat(F.lit("\n  metric: price\n  comparator: "), comparator, F.lit("\n  threshold: 0."), size, F.when(k % 5 == 0, "   # of the first sketch").otherwise(""), F.lit("\n  min_seeds: "), text_of(k % 9))
+    fenced = F.concat(F.lit("Text.\n```yaml\ndecision_rule:\n  metric: price\n  comparator: "), comparator, F.lit("\n  threshold: 0."), F.when(k % 3 == 0, "7").otherwise(""), size, F.when(k % 5 == 0, "   # of the first sketch").otherwise(""), F.lit("\n  min_seeds: "), text_of(k % 9), F.lit("\n```\n"))
+    rel, text = note(F.concat(F.lit("specs/"), text_of(k), F.lit(".md")), [("type", "spec"), ("id", F.concat(F.lit("s"), text_of(k))), ("decision_rule", rule)], fenced)
+    return table(spark, sf_dir, "part").select(rel, text)
+
+
 def source_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as source notes with a figure, and quotes that have it for three in four."""
     n = F.col("doc_id")
@@ -101,10 +111,10 @@ def source_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dossier_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A dossier for each document but every fifth, one more for every 19th that has no source note, and the screening record."""
+    """A dossier for each document but every fifth, one more for every 19th that has no source note, and the screening record. Every seventh has no reading."""
     n = F.col("doc_id")
     docs = table(spark, sf_dir, "documents")
-    head = lambda key: [("type", "dossier"), ("key", key), ("read", F.when(n % 2 == 0, "full").otherwise("abstract-only")), ("tags", "[raw]")]
+    head = lambda key: [("type", "dossier"), ("key", key), ("read", F.when(n % 7 == 0, "").when(n % 2 == 0, "full").otherwise("abstract-only")), ("tags", "[raw]")]
     own = docs.where(n % 5 != 0).select(*note(F.concat(F.lit("raw/d"), text_of(n), F.lit(".md")), head(F.concat(F.lit("d"), text_of(n))), "> quoted\n"))
     more = docs.where(n % 19 == 0).select(*note(F.concat(F.lit("raw/x"), text_of(n), F.lit(".md")), head(F.concat(F.lit("x"), text_of(n))), "> quoted\n"))
     screening = spark.createDataFrame([("_meta/screening.md", "# Screening\nexcluded: x0, x19 and x38\n")], "rel string, text string")
@@ -126,14 +136,15 @@ def claim_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def result_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as results that cite a customer's note and a seed's run; customers as concept notes; some seeds as runs."""
+    """Orders as results that cite a customer's note and a seed's run; customers as concept notes, and nations, which nothing links; some seeds as runs."""
     k, c = text_of("o_orderkey"), text_of("o_custkey")
     results = table(spark, sf_dir, "orders").select(
         *note(F.concat(F.lit("results/"), k, F.lit(".md")), [("type", "result"), ("title", F.concat(F.lit("Result "), k)), ("added", "2024-01-01"), ("tags", "[result]")], F.concat(F.lit("On [[concepts/c"), c, F.lit(".md]] by [[exp-seed"), text_of(F.col("o_custkey") % 60), F.lit("]]"), F.when(F.col("o_orderkey") % 97 == 0, F.concat(F.lit(" and [[Missing "), k, F.lit("]]"))).otherwise(""), F.lit(".\n")))
     )
     concepts = table(spark, sf_dir, "customer").select(*note(F.concat(F.lit("concepts/c"), text_of("c_custkey"), F.lit(".md")), [("type", "concept"), ("title", F.concat(F.lit("Customer "), text_of("c_custkey"))), ("added", "2024-01-01"), ("tags", "[concept]")], "A customer.\n"))
+    alone = table(spark, sf_dir, "nation").select(*note(F.concat(F.lit("concepts/n"), text_of("n_nationkey"), F.lit(".md")), [("type", "concept"), ("title", F.col("n_name")), ("added", "2024-01-01"), ("tags", "[concept]")], F.concat(F.lit("# Nation\n\nNamed "), "n_name", F.lit(".\n"))))
     seeds = spark.range(40).select(*note(F.concat(F.lit("runs/exp-seed"), text_of("id"), F.lit(".md")), [("type", "run"), ("id", F.concat(F.lit("e"), text_of("id"))), ("arm", "a"), ("seed", text_of("id")), ("status", "ok"), ("added", "2024-01-01"), ("tags", "[run]")], "Measured.\n"))
-    return results.unionByName(concepts).unionByName(seeds)
+    return results.unionByName(concepts).unionByName(alone).unionByName(seeds)
 
 
 def as_notes(*texts: DataFrame) -> DataFrame:

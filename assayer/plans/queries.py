@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assayer.functions import parsing, student_t
+from assayer.functions.text import key_file_name
 from assayer.operators import coverage, experiments, lint, specs
 from assayer.plans import adapters as A
 from assayer.sources.notes import edges
-from assayer.sources.runs import runs_from_texts
+from assayer.sources.runs import runs_from_table, runs_from_texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -173,12 +175,14 @@ def spec_payload_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return specs.registrations(A.as_notes(A.spec_texts(spark, sf_dir))).select("rel", "digest")
 
 
-@query(f"SELECT 'specs/' || p_partkey || '.md' AS path, CASE WHEN p_partkey % 3 = 0 THEN 'no-spec-hash' ELSE 'tampered-preregistration' END AS \"check\", CASE WHEN p_partkey % 3 = 0 THEN 'has no digest' ELSE 'registered as ' || CASE WHEN p_partkey % 3 = 1 THEN '0123456789abcdef' ELSE '@' END || ', now ' || {_DIGEST} END AS message FROM part")
+@query(f"SELECT 'specs/' || p_partkey || '.md' AS path, CASE WHEN p_partkey % 3 = 0 THEN 'no-spec-hash' ELSE 'tampered-preregistration' END AS \"check\", CASE WHEN p_partkey % 3 = 0 THEN 'has no digest' ELSE 'registered as ' || CASE WHEN p_partkey % 3 = 1 THEN '0123456789abcdef' ELSE '@' END || ', now ' || {_DIGEST} END AS message FROM part WHERE p_partkey % 4 <> 0")
 def spec_tamper(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lint.preregistration(A.as_notes(A.spec_texts(spark, sf_dir))).select("path", "check", "message")
+    """Every fourth spec is registered, and so has no finding."""
+    texts = A.spec_texts(spark, sf_dir).withColumn("text", F.when(F.regexp_extract("rel", "[0-9]+", 0).cast("long") % 4 == 0, specs.with_digest(F.col("text"))).otherwise(F.col("text")))
+    return lint.preregistration(A.as_notes(texts)).select("path", "check", "message")
 
 
-@query(None)
+@query(f"SELECT 'specs/' || p_partkey || '.md' AS rel, {_DIGEST} AS recorded, {_DIGEST} AS digest, true AS same FROM part")
 def spec_registered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Specs with their digest written in; read again, none is tampered with, so every row is of equal digests."""
     texts = A.spec_texts(spark, sf_dir).select("rel", specs.with_digest(F.col("text")).alias("text"))
@@ -223,7 +227,7 @@ def lint_unsupported_number(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _READ = """SELECT 'major' AS severity, 'missing-dossier' AS "check", 'sources/d' || doc_id || '.md' AS path FROM documents WHERE doc_id % 5 = 0
-UNION ALL SELECT 'blocker', 'upgraded-reading', 'sources/d' || doc_id || '.md' FROM documents WHERE doc_id % 5 <> 0 AND doc_id % 2 = 1 AND doc_id % 13 <> 0"""
+UNION ALL SELECT 'blocker', 'upgraded-reading', 'sources/d' || doc_id || '.md' FROM documents WHERE doc_id % 5 <> 0 AND doc_id % 2 = 1 AND doc_id % 13 <> 0 AND doc_id % 7 <> 0"""
 
 
 @query(_READ)
@@ -250,7 +254,8 @@ def lint_broken_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lint.broken_links(A.as_notes(A.result_texts(spark, sf_dir))).select("severity", "check", "path", "message")
 
 
-_ORPHANS = """SELECT 'minor' AS severity, 'orphan' AS "check", 'concepts/c' || c_custkey || '.md' AS path FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"""
+_ORPHANS = """SELECT 'minor' AS severity, 'orphan' AS "check", 'concepts/c' || c_custkey || '.md' AS path FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)
+UNION ALL SELECT 'minor', 'orphan', 'concepts/n' || n_nationkey || '.md' FROM nation"""
 
 
 @query(_ORPHANS)
@@ -374,10 +379,11 @@ def memo_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage.cited(A.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("memo"), F.when(F.col("o_orderstatus") == "P", "run").otherwise("source").alias("kind"), F.col("o_orderpriority").alias("ref")))
 
 
-@query("SELECT 'r' || o_orderkey AS id, o_custkey AS spec_id, o_orderpriority AS spec_hash, c_mktsegment AS digest FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority <> c_mktsegment")
+@query("SELECT 'r' || o_orderkey AS id, o_custkey AS spec_id, 'h' || (o_orderkey % 4) AS spec_hash, 'h' || (c_custkey % 4) AS digest FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 4 <> c_custkey % 4")
 def foreign_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = A.table(spark, sf_dir, "orders").select(F.concat(F.lit("r"), F.col("o_orderkey").cast("string")).alias("id"), F.col("o_custkey").alias("spec_id"), F.col("o_orderpriority").alias("spec_hash"))
-    return coverage.foreign_runs(runs, A.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("spec_id"), F.col("c_mktsegment").alias("digest")))
+    digest = lambda c: F.concat(F.lit("h"), (F.col(c) % 4).cast("string"))
+    runs = A.table(spark, sf_dir, "orders").select(F.concat(F.lit("r"), F.col("o_orderkey").cast("string")).alias("id"), F.col("o_custkey").alias("spec_id"), digest("o_orderkey").alias("spec_hash"))
+    return coverage.foreign_runs(runs, A.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("spec_id"), digest("c_custkey").alias("digest")))
 
 
 @query("""SELECT o_custkey AS project, ['FRAME','SURVEY','BUILD','MAP','DESIGN','RUN','ANALYZE','MEMO'][max(1 + o_orderkey % 8)] AS last_phase, ['FRAME','SURVEY','BUILD','MAP','DESIGN','RUN','ANALYZE','MEMO'][max(1 + o_orderkey % 8) + 1] AS next_phase FROM orders GROUP BY 1""")
@@ -394,3 +400,92 @@ def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT 'results/' || o_orderkey || '.md' AS src, unnest(['concepts/c' || o_custkey, 'exp-seed' || (o_custkey % 60)] || CASE WHEN o_orderkey % 97 = 0 THEN ['Missing ' || o_orderkey] ELSE [] END) AS target FROM orders")
 def note_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges(A.as_notes(A.result_texts(spark, sf_dir))).select("src", "target")
+
+
+# -- rules, names and small functions ---------------------------------------------------------------
+
+
+@query("""SELECT 'specs/' || p_partkey || '.md' AS rel, 'price' AS metric, CASE p_partkey % 4 WHEN 0 THEN '>=' WHEN 1 THEN '<' ELSE '>' END AS comparator, CASE WHEN p_partkey % 5 = 0 THEN 0 ELSE CAST('0.' || p_size AS DOUBLE) END AS threshold,
+p_partkey % 9 AS min_seeds, 0.05::DOUBLE AS max_p_value, CASE WHEN p_partkey % 5 = 0 THEN 'threshold' ELSE '' END AS ignored FROM part""")
+def rule_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = A.ruled_texts(spark, sf_dir).select("rel", parsing.rule(F.col("text")).alias("r")).select("rel", "r.*")
+    return rows.select("rel", "metric", "comparator", "threshold", "min_seeds", "max_p_value", F.array_join("ignored", ",").alias("ignored"))
+
+
+@query("""SELECT 'specs/' || p_partkey || '.md' AS path, 'rule-drift' AS "check" FROM part WHERE p_partkey % 3 = 0
+UNION ALL SELECT 'specs/' || p_partkey || '.md', 'trailing-comment' FROM part WHERE p_partkey % 5 = 0
+UNION ALL SELECT 'runs/' || o_orderkey || '.md', 'trailing-comment' FROM orders WHERE o_orderkey % 6 = 0""")
+def lint_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = A.run_texts(spark, sf_dir)
+    commented = F.regexp_replace("text", "(?m)^(status: .*)$", "$1  # ok or skipped")
+    runs = runs.withColumn("text", F.when(F.regexp_extract("rel", "[0-9]+", 0).cast("long") % 6 == 0, commented).otherwise(F.col("text")))
+    return lint.warnings(A.as_notes(A.ruled_texts(spark, sf_dir), runs)).select("path", "check")
+
+
+@query("SELECT 'runs/' || o_orderkey || '.md' AS source, o_orderpriority AS arm, o_custkey AS seed, CASE WHEN o_orderkey % 6 = 0 THEN CASE WHEN o_orderstatus = 'P' THEN 'skipped  # once' ELSE 'ok  # once' END WHEN o_orderstatus = 'P' THEN 'skipped' ELSE 'ok' END AS status, CASE WHEN o_orderkey % 6 = 0 THEN 'status' ELSE '' END AS commented FROM orders")
+def open_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run records of which every third has no end of its front matter, and every sixth a comment after its status."""
+    n = F.regexp_extract("rel", "[0-9]+", 0).cast("long")
+    text = F.when(n % 6 == 0, F.regexp_replace("text", "(?m)^(status: .*)$", "$1  # once")).otherwise(F.col("text"))
+    text = F.when(n % 3 == 0, F.regexp_replace(text, "(?s)\\n---\\n.*", "")).otherwise(text)
+    return runs_from_texts(A.run_texts(spark, sf_dir).withColumn("text", text)).select("source", "arm", "seed", "status", F.array_join("commented", ",").alias("commented"))
+
+
+@query("SELECT 'd' || doc_id AS stem, 2 AS n, 'raw/d' || doc_id || '.md,sources/d' || doc_id || '.md' AS paths FROM documents WHERE doc_id % 5 <> 0")
+def stem_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    notes = A.as_notes(A.source_texts(spark, sf_dir), A.dossier_texts(spark, sf_dir))
+    return lint.stem_collisions(notes).select("stem", F.col("n").cast("int").alias("n"), F.array_join("paths", ",").alias("paths"))
+
+
+@query("SELECT 'Customer ' || c_custkey AS title, 'A customer.' AS line FROM customer UNION ALL SELECT n_name, 'Named ' || n_name || '.' FROM nation")
+def glossary_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coverage.glossary(A.as_notes(A.result_texts(spark, sf_dir))).select("title", "line")
+
+
+@query("SELECT p_partkey AS id, CASE p_size % 5 WHEN 0 THEN 'source' WHEN 1 THEN 'claim' WHEN 2 THEN 'method' WHEN 3 THEN 'experiment' ELSE 'other' END AS kind FROM part")
+def node_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, tags = F.col("p_size") % 5, lambda *names: F.array(*map(F.lit, names))
+    own = F.when(k == 0, tags("moc", "source")).when(k == 1, tags("method", "claim")).when(k == 2, tags("x", "method")).when(k == 3, tags("result")).otherwise(tags("x"))
+    return A.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), coverage.node_class(own).alias("kind"))
+
+
+@query("SELECT s.name, n_name AS concept FROM (SELECT lower(n_name) AS name FROM nation UNION ALL SELECT n_name || '-' || n_nationkey FROM nation UNION ALL SELECT 'nowhere') s LEFT JOIN nation ON lower(s.name) IN (lower(n_name), lower(n_name) || '-' || n_nationkey)")
+def aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nations = A.table(spark, sf_dir, "nation")
+    other = F.concat_ws("-", "n_name", F.col("n_nationkey").cast("string"))
+    names = nations.select(F.lower("n_name").alias("name")).unionByName(nations.select(other.alias("name"))).unionByName(spark.createDataFrame([("nowhere",)], "name string"))
+    return coverage.by_alias(names, nations.select(F.col("n_name").alias("concept"), F.array(other).alias("aliases"))).select("name", "concept")
+
+
+@query("SELECT p_partkey AS id, p_size * (1 + p_partkey % 3) * 10 AS minutes, p_size * (1 + p_partkey % 3) * 10 <= 500 AS fits FROM part")
+def grid_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cost = coverage.grid_cost(F.col("p_size").cast("long"), 1 + F.col("p_partkey") % 3, F.lit(10).cast("long"), F.lit(500))
+    return A.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), cost.alias("c")).select("id", "c.minutes", "c.fits")
+
+
+@query("SELECT n_name || ':' || n_regionkey || '/v1.' || n_nationkey AS key, n_name || '-' || n_regionkey || '-v1.' || n_nationkey AS file_name FROM nation")
+def key_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.concat("n_name", F.lit(":"), F.col("n_regionkey").cast("string"), F.lit("/v1."), F.col("n_nationkey").cast("string"))
+    return A.table(spark, sf_dir, "nation").select(key.alias("key"), key_file_name(key).alias("file_name"))
+
+
+@query("""SELECT p_partkey AS id, round_even(0.5 - atan(p_size / 10.0) / pi(), 8) AS by_1, round_even(0.5 - (p_size / 10.0) / (2 * sqrt(2 + (p_size / 10.0) * (p_size / 10.0))), 8) AS by_2 FROM part""")
+def one_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("p_size") / 10.0
+    tail = lambda df: F.bround(student_t.upper_tail(t, F.lit(df)), 8)
+    return A.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), tail(1).alias("by_1"), tail(2).alias("by_2"))
+
+
+@query("""SELECT * FROM (VALUES ('moved', 25::BIGINT, 0.5::DOUBLE, 0.0::DOUBLE, 0.5::DOUBLE, 0.5::DOUBLE, 0.0::DOUBLE), ('single', 1, 2.0, 0.0, NULL, NULL, NULL), ('still', 25, 0.0, 0.0, 0.0, 0.0, 1.0)) t(arm, n_pairs, mean_difference, sd_difference, ci_low, ci_high, p_value)""")
+def degenerate_comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No spread, and a single pair, whose interval and p are NaN (null here)."""
+    arms = F.explode(F.array(*(F.struct(F.lit(a).alias("arm"), F.lit(v).alias("value")) for a, v in (("base", 1.0), ("still", 1.0), ("moved", 1.5), ("single", 3.0)))))
+    rows = A.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), arms.alias("a")).where("a.arm <> 'single' OR k = 0").select("k", "a.arm", "a.value")
+    found = experiments.comparisons(runs_from_table(rows, "arm", "k", "k", {"v": "value"}), "v", "base", seeds=False).drop("baseline")
+    return found.select("arm", "n_pairs", *(F.when(~F.isnan(c), F.col(c)).alias(c) for c in found.columns[2:]))
+
+
+@query(f"""{_COMPARED} SELECT arm, n_pairs, CASE WHEN mean_difference > -1e5 AND p_value < 1.01 THEN 'supported' WHEN ci_high < -1e5 THEN 'refuted' ELSE 'inconclusive' END AS verdict FROM compared WHERE arm = '2-HIGH'""")
+def verdict_of_arm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rule = spark.createDataFrame([(">", -1e5, 3, 1.01)], "comparator string, threshold double, min_seeds long, max_p_value double")
+    return experiments.decide(compared(spark, sf_dir), rule, arm="2-HIGH").select("arm", "n_pairs", "verdict")

@@ -9,69 +9,70 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.functions import parsing
-from assayer.functions.text import stem
+from assayer.functions.text import last_component, once, stem, without_md
 
 
 def notes_from_texts(texts: DataFrame) -> DataFrame:
     """Notes of rows (vault, rel, text). Line ends become \\n, invalid UTF-8 becomes U+FFFD."""
     text = F.regexp_replace(F.make_valid_utf8(F.coalesce("text", F.lit(""))), "\r\n?", "\n")
-    rows = texts.where(~F.col("rel").startswith(".obsidian/")).select("vault", "rel", text.alias("text"))
-    fm = parsing.fields(F.col("fm_raw"))
-    rows = rows.select("vault", "rel", parsing.front_matter(F.col("text")).alias("fm_raw"), parsing.body(F.col("text")).alias("body"))
-    return rows.select(
-        "vault",
-        "rel",
-        F.regexp_replace("rel", "/?[^/]*$", "").alias("dir"),
-        stem(F.col("rel")).alias("stem"),
-        "fm_raw",
-        "body",
-        fm.alias("fm"),
-        parsing.links(F.col("body")).alias("links"),
-    ).withColumn("type", F.coalesce(F.try_element_at("fm", F.lit("type")), F.lit("")))
-
-
-def _hidden(spark: SparkSession, path: str, recursive: bool) -> list[tuple[str, bytes]]:
-    """Markdown files that Spark's scans skip, because they or a folder of theirs begin with _ or a dot."""
+    rows = once(texts.where(~F.col("rel").startswith(".obsidian/")), "vault", "rel", text.alias("text"))
+    rows = once(rows, "vault", "rel", parsing.front_matter(F.col("text")).alias("fm_raw"), parsing.body(F.col("text")).alias("body"))
+    rows = once(rows, "vault", "rel", F.regexp_replace("rel", "/?[^/]*$", "").alias("dir"), stem(F.col("rel")).alias("stem"), "fm_raw", "body", parsing.fields(F.col("fm_raw")).alias("fm"))
+    return rows.withColumns({"links": parsing.links(F.col("body")), "type": F.coalesce(F.try_element_at("fm", F.lit("type")), F.lit(""))})
+
+
+def _hidden(spark: SparkSession, path: str, recursive: bool) -> tuple[list[str], list[str]]:
+    """What Spark's scans skip: folders whose own names begin with _ or a dot, and Markdown files whose names do."""
     jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     top = jvm.org.apache.hadoop.fs.Path(path)
     fs = top.getFileSystem(conf)
-    base = fs.getFileStatus(top).getPath().toUri().getPath().rstrip("/")
-    found, todo = [], [top]
+    folders, files, todo = [], [], [top]
     while todo:
         for status in fs.listStatus(todo.pop()):
-            name = status.getPath().toUri().getPath()
-            rel = name[len(base) + 1 :]
-            if status.isDirectory():
-                if recursive:
-                    todo.append(status.getPath())
-            elif name.endswith(".md") and any(part[0] in "_." for part in rel.split("/")):
-                stream = fs.open(status.getPath())
-                try:
-                    data = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
-                finally:
-                    stream.close()
-                found.append((rel, data))
-    return found
-
-
-def _with_rel(scan: DataFrame, base: str) -> DataFrame:
-    path = F.regexp_replace("path", "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
-    return scan.select(F.substring(path, F.lit(len(base) + 2), F.length(path)).alias("rel"), F.col("content").cast("string").alias("text"))
+            name = status.getPath().getName()
+            skipped = name.startswith(".") or name.startswith("_") and "=" not in name
+            if status.isDirectory() and recursive:
+                todo.append(status.getPath())
+                if skipped:
+                    folders.append(status.getPath().toString())
+            elif skipped and status.isFile() and name.endswith(".md"):
+                files.append(status.getPath().toString())
+    return folders, files
+
+
+def _content(spark: SparkSession, file: str) -> bytearray:
+    jvm, path = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path(file)
+    stream = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(path)
+    try:
+        return bytearray(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+    finally:
+        stream.close()
 
 
 def read_texts(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
-    """(rel, text) of the Markdown files below a folder, those included whose names Spark would skip."""
-    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    top = jvm.org.apache.hadoop.fs.Path(path)
-    base = top.getFileSystem(conf).getFileStatus(top).getPath().toUri().getPath().rstrip("/")
+    """(rel, text) of the Markdown files below a folder, those included whose names Spark would skip.
+
+    Tasks read the contents, of skipped folders too, which are scanned as folders of their own. Only files whose own names
+    are skipped (a vault has one or two) are read by the driver, as no scan of Spark's gives them.
+    """
+    top = spark._jvm.org.apache.hadoop.fs.Path(path)
+    base = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(top).getPath().toUri().getPath().rstrip("/")
+    folders, files = _hidden(spark, path, recursive)
     reader = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", str(recursive).lower())
-    rows = _with_rel(reader.load(path), base)
-    hidden = _hidden(spark, path, recursive)
-    if hidden:
-        extra = spark.createDataFrame([(r, bytearray(d)) for r, d in hidden], "rel string, content binary")
-        known = spark.createDataFrame([(r,) for r, _ in hidden], "rel string")
-        rows = rows.join(F.broadcast(known), "rel", "left_anti").unionByName(extra.select("rel", F.col("content").cast("string").alias("text")))
-    return rows
+    rows = reader.load([path, *folders]).select("path", "content")
+    if files:
+        rows = rows.unionByName(spark.createDataFrame([(f, _content(spark, f)) for f in files], "path string, content binary"))
+    name = F.regexp_replace("path", "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    return rows.select(F.substring(name, F.lit(len(base) + 2), F.length(name)).alias("rel"), F.col("content").cast("string").alias("text"))
+
+
+def list_files(spark: SparkSession, path: str) -> DataFrame:
+    """(rel) of all files below a folder, whatever their kind, but for those that Spark skips; nothing is read."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(path)
+    base = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(top).getPath().toUri().getPath().rstrip("/")
+    name = F.regexp_replace("path", "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load([path, *_hidden(spark, path, True)[0]]).select("path")
+    return rows.select(F.substring(name, F.lit(len(base) + 2), F.length(name)).alias("rel"))
 
 
 def read_notes(spark: SparkSession, path: str, vault: str | None = None) -> DataFrame:
@@ -80,8 +81,6 @@ def read_notes(spark: SparkSession, path: str, vault: str | None = None) -> Data
 
 
 def edges(notes: DataFrame) -> DataFrame:
-    """(vault, src, link, target, name): a row for each distinct wikilink of a note."""
-    from assayer.functions.text import last_component, without_md
-
-    rows = notes.select("vault", F.col("rel").alias("src"), F.explode("links").alias("link"))
+    """(vault, src, type, link, target, name): a row for each distinct wikilink of a note."""
+    rows = notes.select("vault", F.col("rel").alias("src"), "type", F.explode("links").alias("link"))
     return rows.withColumn("target", without_md(F.col("link"))).withColumn("name", last_component(F.col("target")))

@@ -9,24 +9,29 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.functions import parsing
-from assayer.functions.text import to_double, to_long, unquote
+from assayer.functions.text import once, to_double, to_long, unquote
 from assayer.sources.notes import read_texts
 
 _JSON = "arm string, seed string, status string, metrics map<string,string>"
 
 
 def runs_from_texts(texts: DataFrame) -> DataFrame:
-    """Runs of rows (rel, text): records without front matter, arm or a whole seed are left out. Files are in order of their names."""
+    """Runs of rows (rel, text): records without front matter, arm or a whole seed are left out. Files are in order of their names.
+
+    A value keeps a comment that follows it (``status: ok  # or oom`` is no ``ok``); ``commented`` names the keys of such values.
+    """
     raw = parsing.open_front_matter(F.regexp_replace(F.make_valid_utf8("text"), "\r\n?", "\n"))
-    m = texts.select("rel", parsing.fields(raw, comments=False).alias("f")).where("f IS NOT NULL")
+    m = once(once(texts, "rel", raw.alias("raw")), "rel", parsing.fields(F.col("raw"), comments=False).alias("f")).where("f IS NOT NULL")
     get = lambda k, default=None: F.coalesce(F.try_element_at("f", F.lit(k)), F.lit(default))
-    return m.select(
+    return once(
+        m,
         F.col("rel").alias("source"),
         F.col("rel").alias("ord"),
         unquote(get("arm")).alias("arm"),
         to_long(get("seed")).alias("seed"),
         unquote(get("status", "ok")).alias("status"),
         parsing.metrics(get("metrics", "")).alias("metrics"),
+        parsing.commented(F.col("f"), "arm", "seed", "status").alias("commented"),
     ).where("arm IS NOT NULL AND seed IS NOT NULL")
 
 

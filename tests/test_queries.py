@@ -48,9 +48,9 @@ def test_entry():
 def test_aliases_classes_and_costs(spark):
     from pyspark.sql import functions as F
 
-    concepts = spark.createDataFrame([("Mamba", ["S6"]), ("Attention", None)], "concept string, aliases array<string>")
-    got = C.by_alias(spark.createDataFrame([("s6",), ("ATTENTION",), ("x",)], "name string"), concepts)
-    assert {r["name"]: r["concept"] for r in got.collect()} == {"s6": "Mamba", "ATTENTION": "Attention", "x": None}
+    concepts = spark.createDataFrame([("Ebb", ["Low water"]), ("Flow", None)], "concept string, aliases array<string>")
+    got = C.by_alias(spark.createDataFrame([("low WATER",), ("FLOW",), ("x",)], "name string"), concepts)
+    assert {r["name"]: r["concept"] for r in got.collect()} == {"low WATER": "Ebb", "FLOW": "Flow", "x": None}
     r = spark.range(1).select(C.node_class(F.array(F.lit("x"), F.lit("claim"))).alias("k"), C.grid_cost(F.lit(2), F.lit(3), F.lit(10), F.lit(50)).alias("c")).first()
     assert r["k"] == "claim" and (r["c"]["minutes"], r["c"]["fits"]) == (60, False)
 
