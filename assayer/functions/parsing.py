@@ -14,9 +14,8 @@ METRIC = r"([A-Za-z_][\w./-]*)\s*:\s*(-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)"
 EVIDENCE = "## Evidence"
 RULE_HEADING = "## Decision rule"
 
-#: Line ends inside a class of characters, and white space that ends no line.
-_ENDS = r"\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029"
-_BLANK = r"[\t\x1f\p{Zs}]"
+#: Line ends beside \n.
+_ENDS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 _PAIR = "struct<key:string,value:string>"
 
 
@@ -58,8 +57,9 @@ def _to_map(pairs: Column) -> Column:
 
 def fields(raw: Column, comments: bool = True) -> Column:
     """Top-level ``key: value`` lines as a map. ``comments``: lines with # in the first column are left out."""
-    line = rf"(?<![^{_ENDS}])(?![ \t{'#' if comments else ''}-]){_BLANK}*([^:{_ENDS}]*?){_BLANK}*:{_BLANK}*([^{_ENDS}]*?){_BLANK}*(?=[{_ENDS}]|\z)"
-    part = lambda k: F.regexp_extract_all(raw, F.lit(line), F.lit(k))
+    line = rf"(?md)^(?![ \t{'#' if comments else ''}-])([^:\n]*):(.*)$"
+    even = F.translate(raw, _ENDS, "\n" * len(_ENDS))
+    part = lambda k: F.transform(F.regexp_extract_all(even, F.lit(line), F.lit(k)), strip)
 
     def of(p: Column) -> Column:
         same = F.size(F.array_distinct(p["k"])) == F.size(p["k"])

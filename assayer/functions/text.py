@@ -27,13 +27,17 @@ def once(rows: DataFrame, *columns: Column | str) -> DataFrame:
     return rows.select(*(c for c in columns if isinstance(c, str)), F.inline(F.array(F.struct(*(c for c in columns if not isinstance(c, str))))))
 
 
+#: The same characters one by one, for functions that trim.
+SPACES = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
 def strip(c: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def rstrip(c: Column) -> Column:
-    return F.regexp_replace(c, f"{SPACE}+$", "")
+    return F.rtrim(c, F.lit(SPACES))
 
 
 def squeeze(c: Column) -> Column:

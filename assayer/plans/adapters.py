@@ -21,6 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a table with fewer splits than cores, dealt out to all of them: rendering and parsing cost more than the shuffle
+    of a few columns. A table of many splits stays as it is."""
+    n = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(n) if rows.rdd.getNumPartitions() < n else rows
+
+
 def order_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as runs: an arm for each priority, seeds are customers, P counts as a failure."""
     status = F.when(F.col("o_orderstatus").isin("F", "O"), "ok").otherwise("skipped")
@@ -57,7 +64,7 @@ def run_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]
     rel, text = note(F.concat(F.lit("runs/"), text_of("o_orderkey"), F.lit(".md")), head)
     tags = F.when(F.col("o_orderkey") % 7 == 0, text).otherwise(F.regexp_replace(text, r"\n---\n$", "\ntags: [run]\n---\n"))
-    return table(spark, sf_dir, "orders").select(rel, F.concat(tags, F.lit("About [[c"), text_of("o_custkey"), F.lit("|the customer]] and [[c"), text_of("o_custkey"), F.lit("#x]].\n")).alias("text"))
+    return spread(table(spark, sf_dir, "orders")).select(rel, F.concat(tags, F.lit("About [[c"), text_of("o_custkey"), F.lit("|the customer]] and [[c"), text_of("o_custkey"), F.lit("#x]].\n")).alias("text"))
 
 
 def spec_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +86,7 @@ def spec_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("title", "p_name"),
     ]
     rel, text = note(F.concat(F.lit("specs/"), text_of("p_partkey"), F.lit(".md")), head, F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("## Decision rule\nprice  over 0."), text_of("p_size"), F.lit("\n\n## Design\nfree text\n"))).otherwise("Free text.\n"))
-    return table(spark, sf_dir, "part").select(rel, text)
+    return spread(table(spark, sf_dir, "part")).select(rel, text)
 
 
 def ruled_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +96,7 @@ def ruled_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rule = F.concat(F.lit("\n  metric: price\n  comparator: "), comparator, F.lit("\n  threshold: 0."), size, F.when(k % 5 == 0, "   # of the first sketch").otherwise(""), F.lit("\n  min_seeds: "), text_of(k % 9))
     fenced = F.concat(F.lit("Text.\n```yaml\ndecision_rule:\n  metric: price\n  comparator: "), comparator, F.lit("\n  threshold: 0."), F.when(k % 3 == 0, "7").otherwise(""), size, F.when(k % 5 == 0, "   # of the first sketch").otherwise(""), F.lit("\n  min_seeds: "), text_of(k % 9), F.lit("\n```\n"))
     rel, text = note(F.concat(F.lit("specs/"), text_of(k), F.lit(".md")), [("type", "spec"), ("id", F.concat(F.lit("s"), text_of(k))), ("decision_rule", rule)], fenced)
-    return table(spark, sf_dir, "part").select(rel, text)
+    return spread(table(spark, sf_dir, "part")).select(rel, text)
 
 
 def source_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,13 +114,13 @@ def source_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("tags", "[source]"),
     ]
     tail = F.when(n % 17 == 0, "").otherwise(F.concat(F.lit("## Evidence\n"), quote))
-    return table(spark, sf_dir, "documents").select("doc_id", *note(F.concat(F.lit("sources/d"), text_of(n), F.lit(".md")), head, F.concat(F.lit("## Results\nUp by "), figure, F.lit("% in 2024 and 15 %, see [[lang-"), "lang", F.lit("]].\n")), tail)).select("rel", "text")
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", *note(F.concat(F.lit("sources/d"), text_of(n), F.lit(".md")), head, F.concat(F.lit("## Results\nUp by "), figure, F.lit("% in 2024 and 15 %, see [[lang-"), "lang", F.lit("]].\n")), tail)).select("rel", "text")
 
 
 def dossier_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A dossier for each document but every fifth, one more for every 19th that has no source note, and the screening record. Every seventh has no reading."""
     n = F.col("doc_id")
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     head = lambda key: [("type", "dossier"), ("key", key), ("read", F.when(n % 7 == 0, "").when(n % 2 == 0, "full").otherwise("abstract-only")), ("tags", "[raw]")]
     own = docs.where(n % 5 != 0).select(*note(F.concat(F.lit("raw/d"), text_of(n), F.lit(".md")), head(F.concat(F.lit("d"), text_of(n))), "> quoted\n"))
     more = docs.where(n % 19 == 0).select(*note(F.concat(F.lit("raw/x"), text_of(n), F.lit(".md")), head(F.concat(F.lit("x"), text_of(n))), "> quoted\n"))
@@ -132,16 +139,16 @@ def claim_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("contradicted_by", F.when(F.col("toxic") == 1, F.concat(F.lit("[d"), d, F.lit("]"))).otherwise("")),
         ("tags", "[claim]"),
     ]
-    return table(spark, sf_dir, "labels").select(*note(F.concat(F.lit("claims/"), d, F.lit(".md")), head, F.concat(F.lit("See [[d"), d, F.lit("]].\n"))))
+    return spread(table(spark, sf_dir, "labels")).select(*note(F.concat(F.lit("claims/"), d, F.lit(".md")), head, F.concat(F.lit("See [[d"), d, F.lit("]].\n"))))
 
 
 def result_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as results that cite a customer's note and a seed's run; customers as concept notes, and nations, which nothing links; some seeds as runs."""
     k, c = text_of("o_orderkey"), text_of("o_custkey")
-    results = table(spark, sf_dir, "orders").select(
+    results = spread(table(spark, sf_dir, "orders")).select(
         *note(F.concat(F.lit("results/"), k, F.lit(".md")), [("type", "result"), ("title", F.concat(F.lit("Result "), k)), ("added", "2024-01-01"), ("tags", "[result]")], F.concat(F.lit("On [[concepts/c"), c, F.lit(".md]] by [[exp-seed"), text_of(F.col("o_custkey") % 60), F.lit("]]"), F.when(F.col("o_orderkey") % 97 == 0, F.concat(F.lit(" and [[Missing "), k, F.lit("]]"))).otherwise(""), F.lit(".\n")))
     )
-    concepts = table(spark, sf_dir, "customer").select(*note(F.concat(F.lit("concepts/c"), text_of("c_custkey"), F.lit(".md")), [("type", "concept"), ("title", F.concat(F.lit("Customer "), text_of("c_custkey"))), ("added", "2024-01-01"), ("tags", "[concept]")], "A customer.\n"))
+    concepts = spread(table(spark, sf_dir, "customer")).select(*note(F.concat(F.lit("concepts/c"), text_of("c_custkey"), F.lit(".md")), [("type", "concept"), ("title", F.concat(F.lit("Customer "), text_of("c_custkey"))), ("added", "2024-01-01"), ("tags", "[concept]")], "A customer.\n"))
     alone = table(spark, sf_dir, "nation").select(*note(F.concat(F.lit("concepts/n"), text_of("n_nationkey"), F.lit(".md")), [("type", "concept"), ("title", F.col("n_name")), ("added", "2024-01-01"), ("tags", "[concept]")], F.concat(F.lit("# Nation\n\nNamed "), "n_name", F.lit(".\n"))))
     seeds = spark.range(40).select(*note(F.concat(F.lit("runs/exp-seed"), text_of("id"), F.lit(".md")), [("type", "run"), ("id", F.concat(F.lit("e"), text_of("id"))), ("arm", "a"), ("seed", text_of("id")), ("status", "ok"), ("added", "2024-01-01"), ("tags", "[run]")], "Measured.\n"))
     return results.unionByName(concepts).unionByName(alone).unionByName(seeds)

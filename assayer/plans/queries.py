@@ -299,7 +299,7 @@ def lint_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def quote_in_dossier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return coverage.containments(A.table(spark, sf_dir, "benchmark"), A.table(spark, sf_dir, "documents")).distinct()
+    return coverage.containments(A.table(spark, sf_dir, "benchmark"), A.spread(A.table(spark, sf_dir, "documents"))).distinct()
 
 
 _USES = "SELECT l_orderkey AS src, p_type AS method, n_name AS dataset FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey"
