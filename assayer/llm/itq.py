@@ -13,7 +13,7 @@ own links by block-wise matrix products; pairs that met across two components ar
 
 Edge cases: a vector that is null, empty, zero, or has null or non-finite components links with nothing;
 so does a row with a null vec_id, which has no component and is not kept; vectors of different lengths
-never link; repeated rows are copies, and count as other vectors; an empty table gives an empty result;
+never link; repeated rows are copies, and count as other vectors; a cosine equal to the threshold links; an empty table gives an empty result;
 other columns are ignored, whatever their names.
 """
 
@@ -243,4 +243,5 @@ def _links(reps: DataFrame, dim: int, cosine: float, store: Store) -> tuple[Data
 
 
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of every row of ``embeddings``: cosine 0.95."""
     return near_duplicates(table(spark, sf_dir, "embeddings"))

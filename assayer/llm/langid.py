@@ -172,4 +172,5 @@ def keep_known_languages(docs: DataFrame) -> DataFrame:
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every row of ``documents``, learned from those that are not held out."""
     return language_id(table(spark, sf_dir, "documents"))

@@ -15,7 +15,7 @@ more rows than they have members. Every other pair that shares enough prefix tok
 is verified, so no link between different components is lost, and links inside one can't change it.
 
 Edge cases: texts that are null or have no word have no tokens and link with nothing; a text of fewer
-words than n is one token; repeated rows are copies; rows that repeat a doc_id with other texts are
+words than n is one token; texts of any length are read whole, in blocks of words; repeated rows are copies; rows that repeat a doc_id with other texts are
 versions of one document; a null doc_id links with nothing and has no component; an empty table gives an
 empty result; other columns are ignored, whatever their names.
 """
@@ -476,4 +476,5 @@ def keep_one_of_each_group(docs: DataFrame, n: int = 5, percent: int = 80) -> Da
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingle counts and components of every row of ``documents``: three words, similarity 0.9."""
     return jaccard_components(table(spark, sf_dir, "documents"), 3, 90)

@@ -281,4 +281,5 @@ def best_fit_packing(docs: DataFrame, path: str | None = None, capacity: int = C
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every row of ``documents``, packed into sequences."""
     return best_fit_packing(table(spark, sf_dir, "documents"))

@@ -167,4 +167,5 @@ def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base statistics and verdict of every row of ``documents``, with the labelled ones of quality 1 as trusted."""
     return quality_rules(table(spark, sf_dir, "documents"), trusted(spark, sf_dir))

@@ -307,4 +307,5 @@ def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every row of ``documents``, and whether they give its text back."""
     return encode_documents(table(spark, sf_dir, "documents"))
