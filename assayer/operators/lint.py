@@ -156,15 +156,15 @@ SINGLE = {_frontmatter: 0, _evidence: 2, _claims: 3, _preregistration: 4}
 
 
 def link_names(notes: DataFrame) -> DataFrame:
-    """(vault, key) of everything a link can point at: stems, and paths with and without .md."""
+    """(vault, kind, key) of everything a link can point at: stems, and paths with and without .md. Names may repeat."""
     names = F.array(F.struct(F.lit("stem").alias("kind"), F.col("stem").alias("key")), F.struct(F.lit("path").alias("kind"), F.col("rel").alias("key")), F.struct(F.lit("path").alias("kind"), without_md(F.col("rel")).alias("key")))
-    return notes.select("vault", F.explode(names).alias("n")).select("vault", "n.kind", "n.key").distinct()
+    return notes.select("vault", F.explode(names).alias("n")).select("vault", "n.kind", "n.key")
 
 
 def broken_links(notes: DataFrame, links: DataFrame | None = None) -> DataFrame:
     """Links that point at no stem and no path. Two equi-joins on candidate keys, no join on an OR."""
     names = link_names(notes)
-    any_name = names.select("vault", F.col("key").alias("target")).distinct()
+    any_name = names.select("vault", F.col("key").alias("target"))
     stems = names.where("kind = 'stem'").select("vault", F.col("key").alias("name"))
     rows = (links or edges(notes)).join(any_name, ["vault", "target"], "left_anti").join(stems, ["vault", "name"], "left_anti")
     return finding(rows, "major", "broken-link", "src", F.concat(F.lit("links to ["), F.col("link"), F.lit("], which is no note")), "create the note or mend the link", F.col("link"))
