@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import urlfilter
+from assayer.llm import urlfilter, wavelet
 from assayer.llm.itq import op7_embedding_near_dedup
 from assayer.llm.langid import op5_language_id
 from assayer.llm.masked_lm import op2_masked_lm
@@ -18,6 +18,7 @@ from assayer.llm.quality import op8_quality_rules
 from assayer.llm.sentencepiece_codec import op1_sentencepiece
 from assayer.llm.transcripts import op4_chat_formatting
 from assayer.llm.urlfilter import op10_url_filters
+from assayer.llm.wavelet import op12_ranked_search
 from assayer.llm.windows import op13_order_packing
 from assayer.llm.wrappers import op6_html_extraction
 
@@ -46,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_best_fit_packing,
         op10_url_filters,
         op11_fill_in_middle,
+        op12_ranked_search,
         op13_order_packing,
         quality_base,
         url_rules,
@@ -89,6 +91,14 @@ c AS (SELECT *, least(r[1] % (n + 1), r[2] % (n + 1)) AS a, greatest(r[1] % (n +
 p AS (SELECT doc_id, t, n, form, array_to_string(l[1:a], '') AS prefix, array_to_string(l[a + 1:b], '') AS middle, array_to_string(l[b + 1:n], '') AS suffix FROM c)
 SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
 sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256 FROM p""",
+    "op12_ranked_search": rf"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '{wavelet.TERM}')) AS t FROM documents),
+f AS (SELECT doc_id, t, count(*) AS tf FROM t GROUP BY ALL), d AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM f GROUP BY 1),
+c AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS total FROM d), m AS (SELECT doc_id, 100 - 75 + ((75 * n * n_docs) // total) AS m FROM d, c),
+w AS (SELECT t, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, c GROUP BY t),
+q AS (SELECT item_id, unnest(regexp_extract_all({_LOWER}, '{wavelet.TERM}')) AS t FROM benchmark),
+s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score FROM q JOIN f USING (t) JOIN w USING (t) JOIN m USING (doc_id) GROUP BY 1, 2)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 10""",
     "url_rules": f"""
 WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
