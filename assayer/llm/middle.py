@@ -360,9 +360,12 @@ def fill_in_middle(docs: DataFrame, seed: int = SEED, middle_percent: int = MIDD
 
 def restored(form: Column, output: Column, markers: Sequence[str] = MARKERS) -> Column:
     """The text of an output: its parts in their first order."""
-    any_of = "|".join(rf"\Q{m}\E" for m in markers)
-    parts = lambda *k: let(F.split(output, any_of, -1), lambda x: F.concat(*(F.get(x, F.lit(i)) for i in k)))
-    return F.when(form == "psm", parts(1, 3, 2)).when(form == "spm", parts(2, 3, 1)).otherwise(output)
+    p, s, m = markers
+    left = lambda c, mark: F.substring_index(c, mark, 1)
+    right = lambda c, mark: F.substring_index(c, mark, -1)
+    psm = let(right(output, p), lambda x: F.concat(left(x, s), right(x, m), left(right(x, s), m)))
+    spm = let(right(output, s), lambda x: F.concat(left(right(x, p), m), right(x, m), left(x, p)))
+    return F.when(form == "psm", psm).when(form == "spm", spm).otherwise(output)
 
 
 def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
