@@ -50,10 +50,6 @@ def critical(df: Column, confidence: float = 0.95) -> Column:
     By bisection of its angle, or, from ``MANY`` degrees of freedom on, by its expansion about the normal
     quantile, whose error there is below 1e-9.
     """
-    z = NormalDist().inv_cdf((1 + confidence) / 2)
-    n = df.cast("double")
-    terms = [(z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384, (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160]
-    expansion = sum((g / F.pow(n, F.lit(k + 1)) for k, g in enumerate(terms)), F.lit(z))
     whole = F.when(df > 0, df).otherwise(1)
     found = F.aggregate(
         F.sequence(F.lit(1), F.lit(64)),
@@ -63,4 +59,12 @@ def critical(df: Column, confidence: float = 0.95) -> Column:
         ).otherwise(F.struct(acc["low"].alias("low"), ((acc["low"] + acc["high"]) / 2).alias("high"))),
         lambda acc: F.tan((acc["low"] + acc["high"]) / 2) * F.sqrt(whole.cast("double")),
     )
-    return F.when(df >= MANY, expansion).when(df > 0, found).otherwise(float("nan"))
+    return F.when(df >= MANY, critical_of_many(df, confidence)).when(df > 0, found).otherwise(float("nan"))
+
+
+def critical_of_many(df: Column, confidence: float = 0.95) -> Column:
+    """The same for ``MANY`` degrees of freedom or more: the expansion about the normal quantile."""
+    z = NormalDist().inv_cdf((1 + confidence) / 2)
+    n = df.cast("double")
+    terms = [(z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384, (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160]
+    return sum((g / F.pow(n, F.lit(k + 1)) for k, g in enumerate(terms)), F.lit(z))

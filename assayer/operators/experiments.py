@@ -61,8 +61,13 @@ def comparisons(runs: DataFrame, metric: str, baseline: str, confidence: float =
 
     One pair: deviation 0, the rest NaN. No spread: the interval is a point, p is 0, or 1 for no difference.
     """
+    return compared(pairs(runs, metric, baseline).withColumn("baseline", F.lit(baseline)), confidence, seeds)
+
+
+def compared(differences: DataFrame, confidence: float = CONFIDENCE, seeds: bool = False) -> DataFrame:
+    """The same of differences (arm, baseline, seed, difference), for each arm and baseline."""
     lists = [F.sort_array(F.collect_list("seed")).alias("seeds")] if seeds else []
-    d = pairs(runs, metric, baseline).groupBy("arm").agg(F.count("*").alias("n_pairs"), F.avg("difference").alias("m"), F.coalesce(F.stddev_samp("difference"), F.lit(0.0)).alias("sd"), *lists)
+    d = differences.groupBy("arm", "baseline").agg(F.count("*").alias("n_pairs"), F.avg("difference").alias("m"), F.coalesce(F.stddev_samp("difference"), F.lit(0.0)).alias("sd"), *lists)
     error = F.col("sd") / F.sqrt("n_pairs")
     one, flat = F.col("n_pairs") == 1, error == 0
     d = d.withColumn("half", student_t.critical(F.col("n_pairs") - 1, confidence) * error)
@@ -70,7 +75,7 @@ def comparisons(runs: DataFrame, metric: str, baseline: str, confidence: float =
     bound = lambda sign: F.when(one, NAN).when(flat, F.col("m")).otherwise(F.col("m") + sign * F.col("half"))
     return d.select(
         "arm",
-        F.lit(baseline).alias("baseline"),
+        "baseline",
         "n_pairs",
         rounded(F.col("m")).alias("mean_difference"),
         rounded(F.col("sd")).alias("sd_difference"),
@@ -154,6 +159,11 @@ def decide(found: DataFrame, rule: DataFrame, arm: str | None = None, direction_
     rows = joined[0]
     for more in joined[1:]:
         rows = rows.unionByName(more)
+    return judged(rows, rule.columns)
+
+
+def judged(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` of rows that hold a rule and a comparison, with the comparison's figures, checks, verdict and reason."""
     none = F.col("n_pairs").isNull()
     few = F.col("n_pairs") < F.col("min_seeds")
     effect = F.coalesce(passes(F.col("comparator"), F.col("mean_difference"), F.col("threshold")), F.lit(False))
@@ -168,7 +178,7 @@ def decide(found: DataFrame, rule: DataFrame, arm: str | None = None, direction_
         .otherwise(F.concat(F.lit("not passed: "), F.array_join(F.filter(F.array(F.when(~effect, "effect"), F.when(~significant, "significance")), lambda x: x.isNotNull()), ", ")))
     )
     return rows.select(
-        *rule.columns,
+        *columns,
         "arm",
         "n_pairs",
         "mean_difference",

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,24 +9,11 @@ from assayer.functions import parsing, student_t
 from assayer.functions.text import key_file_name
 from assayer.operators import coverage, experiments, lint, specs
 from assayer.plans import adapters as A
+from assayer.plans.registry import QUERIES, SQL, query
 from assayer.sources.notes import edges
 from assayer.sources.runs import runs_from_table, runs_from_texts
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None):
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _rounded(df: DataFrame, *names: str, places: int = 4) -> DataFrame:
+def rounded_to(df: DataFrame, *names: str, places: int = 4) -> DataFrame:
     return df.withColumns({n: F.bround(F.col(n), places) for n in names})
 
 
@@ -61,7 +46,7 @@ _P4 = "SELECT arm, baseline, n_pairs, round_even(mean_difference, 4) AS mean_dif
 
 @query(f"SELECT arm, count(*) AS n, round_even(avg(value), 4) AS mean, round_even(stddev_samp(value), 4) AS sd FROM ({_OK}) GROUP BY arm")
 def arm_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(experiments.arm_moments(A.order_runs(spark, sf_dir), "price"), "mean", "sd")
+    return rounded_to(experiments.arm_moments(A.order_runs(spark, sf_dir), "price"), "mean", "sd")
 
 
 @query(f"SELECT arm, count(*) AS n, array_to_string(list_transform(list_sort(list(value)), lambda x: CAST(CAST(round(x * 100) AS BIGINT) AS VARCHAR)), ',') AS value_list FROM ({_EV}) GROUP BY arm")
@@ -97,7 +82,7 @@ def run_dedup_last(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT arm, seed, round_even(difference, 4) AS difference FROM ({_PAIRS})")
 def paired_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(experiments.pairs(A.order_runs(spark, sf_dir), "price", A.BASELINE), "difference")
+    return rounded_to(experiments.pairs(A.order_runs(spark, sf_dir), "price", A.BASELINE), "difference")
 
 
 def compared(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,12 +91,12 @@ def compared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_COMPARED} {_P4} FROM compared")
 def paired_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(compared(spark, sf_dir), "mean_difference", "sd_difference", "ci_low", "ci_high", "p_value")
+    return rounded_to(compared(spark, sf_dir), "mean_difference", "sd_difference", "ci_low", "ci_high", "p_value")
 
 
 @query(f"{_COMPARED} {_P4} FROM compared ORDER BY mean_difference, arm LIMIT 1")
 def worst_arm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(experiments.worst_comparison(compared(spark, sf_dir)), "mean_difference", "sd_difference", "ci_low", "ci_high", "p_value")
+    return rounded_to(experiments.worst_comparison(compared(spark, sf_dir)), "mean_difference", "sd_difference", "ci_low", "ci_high", "p_value")
 
 
 def _verdicts(name: str, rules: list[tuple[str, float, int, float]]) -> None:
@@ -491,3 +476,6 @@ def degenerate_comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
 def verdict_of_arm(spark: SparkSession, sf_dir: str) -> DataFrame:
     rule = spark.createDataFrame([(">", -1e5, 3, 1.01)], "comparator string, threshold double, min_seeds long, max_p_value double")
     return experiments.decide(compared(spark, sf_dir), rule, arm="2-HIGH").select("arm", "n_pairs", "verdict")
+
+
+from assayer.plans import studies  # noqa: E402, F401  registers its queries, which use what stands above
