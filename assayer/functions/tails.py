@@ -42,9 +42,13 @@ def upper_gamma(a: Column, x: Column) -> Column:
 
     The number of steps grows with the root of the larger argument, as either expansion needs near x = a.
     """
-    a, x = a.cast("double"), x.cast("double")
-    steps = (F.lit(120) + 12 * F.sqrt(F.greatest(a, x))).cast("int")
-    return F.when(x <= 0, 1.0).when(x < a + 1, F.greatest(F.lit(0.0), 1 - _lower_series(a, x, steps))).otherwise(_upper_fraction(a, x, steps))
+
+
+    def at(v: Column) -> Column:
+        a, x, steps = v["a"], v["x"], (F.lit(120) + 12 * F.sqrt(F.greatest(v["a"], v["x"]))).cast("int")
+        return F.when(x <= 0, 1.0).when(x < a + 1, F.greatest(F.lit(0.0), 1 - _lower_series(a, x, steps))).otherwise(_upper_fraction(a, x, steps))
+
+    return let(F.struct(a.cast("double").alias("a"), x.cast("double").alias("x")), at)
 
 
 def chi_square_tail(x: Column, df: Column) -> Column:
@@ -71,19 +75,23 @@ def lower_beta(x: Column, a: Column, b: Column) -> Column:
 
     The number of steps grows with the root of the larger parameter.
     """
-    x, a, b = (c.cast("double") for c in (x, a, b))
-    steps = (F.lit(60) + 6 * F.sqrt(F.greatest(a, b))).cast("int")
 
-    def near(x: Column, y: Column, a: Column, b: Column) -> Column:
-        """I_x(a, b), y = 1 - x; the fraction's coefficients come in pairs, evaluated from the last pair up."""
+    def near(v: Column) -> Column:
+        """I_x(a, b) of a struct (x, y = 1 - x, a, b); the fraction's coefficients come in pairs, evaluated from the last pair up."""
+        x, y, a, b = (v[c] for c in "xyab")
+        steps = (F.lit(30) + 2 * F.sqrt(F.greatest(a, b))).cast("int")
         even = lambda m: m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
         odd = lambda m: -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
         tail = F.aggregate(F.sequence(F.lit(0), steps - 1), F.lit(0.0), lambda acc, i: let((steps - i).cast("double"), lambda m: even(m) / (1 + odd(m) / (1 + acc))))
         front = F.exp(a * F.ln(x) + b * F.ln(y) - F.ln(a) - log_gamma(a) - log_gamma(b) + log_gamma(a + b))
         return front / (1 + odd(F.lit(0.0)) / (1 + tail))
 
-    value = F.when(x < (a + 1) / (a + b + 2), near(x, 1 - x, a, b)).otherwise(1 - near(1 - x, x, b, a))
-    return F.when(x <= 0, 0.0).when(x >= 1, 1.0).otherwise(value)
+    def at(v: Column) -> Column:
+        x, a, b = v["x"], v["a"], v["b"]
+        side = lambda x, y, a, b: let(F.struct(x.alias("x"), y.alias("y"), a.alias("a"), b.alias("b")), near)
+        return F.when(x <= 0, 0.0).when(x >= 1, 1.0).when(x < (a + 1) / (a + b + 2), side(x, 1 - x, a, b)).otherwise(1 - side(1 - x, x, b, a))
+
+    return let(F.struct(x.cast("double").alias("x"), a.cast("double").alias("a"), b.cast("double").alias("b")), at)
 
 
 def student_two_sided(t: Column, df: Column) -> Column:

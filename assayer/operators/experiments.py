@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.functions import student_t
+from assayer.functions.text import let
 
 SUPPORTED, REFUTED, INCONCLUSIVE = "supported", "refuted", "inconclusive"
 PLACES = 6
@@ -52,7 +53,7 @@ def pairs(runs: DataFrame, metric: str, baseline: str) -> DataFrame:
 
 
 def rounded(c: Column) -> Column:
-    return F.when(F.isnan(c), F.lit(NAN)).otherwise(F.bround(c, PLACES))
+    return let(c, lambda x: F.when(F.isnan(x), F.lit(NAN)).otherwise(F.bround(x, PLACES)))
 
 
 def comparisons(runs: DataFrame, metric: str, baseline: str, confidence: float = CONFIDENCE, seeds: bool = True) -> DataFrame:

@@ -7,12 +7,11 @@ mean, so that squares of large values do not cancel.
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from assayer.functions import student_t, tails
+from assayer.functions.text import once
 from assayer.operators import experiments as E
 from assayer.operators.skew import look_up
 
@@ -20,61 +19,44 @@ BLOCK = 4096
 
 
 def running(differences: DataFrame) -> DataFrame:
-    """arm, seed, n, s1, s2 of the differences up to each seed, and n0, t1, t2 of those before it: counts, sums and sums of
-    squares of the differences less ``shift``, the arm's mean. One row an arm and seed is expected."""
+    """arm, block, seed, shift, n, s1 and s2 of the differences up to each seed: count, sum and sum of squares of the differences less ``shift``,
+    the arm's mean. Every block but an arm's first begins with a row without seed, which has the sums of all blocks before it.
+    One row an arm and seed is expected."""
     shift = differences.groupBy("arm").agg(F.avg("difference").alias("shift"))
-    rows = look_up(differences, shift, ["arm"]).select("arm", "seed", "shift", (F.col("difference") - F.col("shift")).alias("d"), F.floor(F.col("seed") / BLOCK).alias("block"))
-    square = F.col("d") * F.col("d")
-    totals = rows.groupBy("arm", "block").agg(F.count("*").alias("b0"), F.sum("d").alias("b1"), F.sum(square).alias("b2"))
+    rows = look_up(differences, shift, ["arm"]).select("arm", F.floor(F.col("seed") / BLOCK).alias("block"), "seed", "shift", F.lit(1).cast("long").alias("one"), (F.col("difference") - F.col("shift")).alias("d"))
+    rows = rows.withColumn("q", F.col("d") * F.col("d"))
     before = Window.partitionBy("arm").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select("arm", "block", *(F.coalesce(F.sum(f"b{i}").over(before), F.lit(0)).alias(f"c{i}") for i in range(3)))
-    inside = Window.partitionBy("arm", "block").orderBy("seed")
-    now, last = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow), inside.rowsBetween(Window.unboundedPreceding, -1)
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    return rows.join(carried, ["arm", "block"]).select(
-        "arm",
-        "seed",
-        "shift",
-        (F.col("c0") + F.count("*").over(now)).alias("n"),
-        (F.col("c1") + F.sum("d").over(now)).alias("s1"),
-        (F.col("c2") + F.sum(square).over(now)).alias("s2"),
-        (F.col("c0") + F.count("*").over(last)).alias("n0"),
-        (F.col("c1") + zero(F.sum("d").over(last))).alias("t1"),
-        (F.col("c2") + zero(F.sum(square).over(last))).alias("t2"),
-    )
+    totals = rows.groupBy("arm", "block", "shift").agg(*(F.sum(c).alias(c) for c in ("one", "d", "q")))
+    carried = totals.select("arm", "block", F.lit(None).cast("long").alias("seed"), "shift", *(F.sum(c).over(before).alias(c) for c in ("one", "d", "q"))).where("one IS NOT NULL")
+    up_to = _inside().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.unionByName(carried).select("arm", "block", "seed", "shift", F.sum("one").over(up_to).alias("n"), F.sum("d").over(up_to).alias("s1"), F.sum("q").over(up_to).alias("s2"))
+
+
+def _inside() -> WindowSpec:
+    return Window.partitionBy("arm", "block").orderBy(F.asc_nulls_first("seed"))
 
 
 def _critical_values(rows: DataFrame, confidence: float) -> DataFrame:
     """The critical values of fewer than ``MANY`` degrees of freedom: so many rows."""
     few = rows.sparkSession.range(1, student_t.MANY).select(F.col("id").alias("df"))
-    return few.select("df", student_t.critical(F.col("df"), confidence).alias("t"))
+    return few.select(F.col("df"), student_t.critical(F.col("df"), confidence).alias("t"))
 
 
-def _figures(rows: DataFrame, n: str, s1: str, s2: str, confidence: float, prefix: str) -> DataFrame:
-    """Adds n_pairs, mean_difference, sd_difference, ci_low, ci_high and p_value, each after ``prefix``."""
-    count = F.col(n)
-    some = F.greatest(count, F.lit(1))
-    mean = F.col("shift") + F.col(s1) / some
-    sd = F.when(count > 1, F.sqrt(F.greatest(F.lit(0.0), (F.col(s2) - F.col(s1) * F.col(s1) / some) / F.greatest(count - 1, F.lit(1))))).otherwise(0.0)
+def _figures(rows: DataFrame, confidence: float) -> DataFrame:
+    """arm, block and seed with n_pairs, mean_difference, sd_difference, ci_low, ci_high and p_value."""
+    n = F.col("n")
+    mean = F.col("shift") + F.col("s1") / n
+    sd = F.when(n > 1, F.sqrt(F.greatest(F.lit(0.0), (F.col("s2") - F.col("s1") * F.col("s1") / n) / F.greatest(n - 1, F.lit(1))))).otherwise(0.0)
     # values that are equal leave rounding errors of the shift
     sd = F.when(sd > 1e-12 * (F.abs(mean) + F.abs(F.col("shift"))), sd).otherwise(0.0)
-    crit = F.broadcast(_critical_values(rows, confidence).select(F.col("df").alias("_df"), F.col("t").alias("_t")))
-    rows = rows.withColumn("_m", F.when(count > 0, mean)).withColumn("_e", sd / F.sqrt(some)).withColumn("_sd", sd).join(crit, F.col(n) - 1 == F.col("_df"), "left")
-    t = F.coalesce("_t", student_t.critical_of_many(F.greatest(count - 1, F.lit(1)), confidence))
-    one, flat = count == 1, F.col("_e") == 0
-    p = F.when(one, E.NAN).when(flat, F.when(F.col("_m") != 0, 0.0).otherwise(1.0)).otherwise(tails.student_two_sided(F.col("_m") / F.when(flat, 1.0).otherwise(F.col("_e")), F.greatest(count - 1, F.lit(1))))
-    bound = lambda sign: F.when(one, E.NAN).when(flat, F.col("_m")).otherwise(F.col("_m") + sign * t * F.col("_e"))
-    figures = {"n_pairs": F.when(count > 0, count), "mean_difference": E.rounded(F.col("_m")), "sd_difference": E.rounded(F.col("_sd")), "ci_low": E.rounded(bound(-1)), "ci_high": E.rounded(bound(1)), "p_value": E.rounded(p)}
-    return rows.withColumns({f"{prefix}{k}": v for k, v in figures.items()}).drop("_m", "_e", "_sd", "_df", "_t")
-
-
-def _verdicts(rows: DataFrame, rule: dict, prefix: str) -> Column:
-    get = lambda c: F.col(f"{prefix}{c}")
-    effect = E.passes(F.lit(rule["comparator"]), get("mean_difference"), F.lit(float(rule["threshold"])))
-    significant = ~F.isnan(get("p_value")) & (get("p_value") < float(rule["max_p_value"]))
-    out = ~F.isnan(get("ci_high")) & (get("ci_high") < float(rule["threshold"])) if rule["comparator"] in (">", ">=") else ~F.isnan(get("ci_low")) & (get("ci_low") > float(rule["threshold"]))
-    few = get("n_pairs").isNull() | (get("n_pairs") < int(rule["min_seeds"]))
-    return F.when(few, E.INCONCLUSIVE).when(effect & significant, E.SUPPORTED).when(out, E.REFUTED).otherwise(E.INCONCLUSIVE)
+    rows = once(rows, "arm", "block", "seed", "n", mean.alias("m"), sd.alias("sd"), (sd / F.sqrt(n)).alias("error"))
+    rows = rows.join(F.broadcast(_critical_values(rows, confidence)), n - 1 == F.col("df"), "left")
+    t = F.coalesce("t", student_t.critical_of_many(F.greatest(n - 1, F.lit(1)), confidence))
+    one, flat = n == 1, F.col("error") == 0
+    p = F.when(one, E.NAN).when(flat, F.when(F.col("m") != 0, 0.0).otherwise(1.0)).otherwise(tails.student_two_sided(F.col("m") / F.when(flat, 1.0).otherwise(F.col("error")), F.greatest(n - 1, F.lit(1))))
+    bound = lambda sign: F.when(one, E.NAN).when(flat, F.col("m")).otherwise(F.col("m") + sign * t * F.col("error"))
+    figures = {"mean_difference": F.col("m"), "sd_difference": F.col("sd"), "ci_low": bound(-1), "ci_high": bound(1), "p_value": p}
+    return once(rows.withColumn("n_pairs", n), "arm", "block", "seed", "n_pairs", *(E.rounded(v).alias(k) for k, v in figures.items()))
 
 
 def verdict_by_seed(runs: DataFrame, metric: str, baseline: str, rule: dict, confidence: float = E.CONFIDENCE) -> DataFrame:
@@ -83,10 +65,12 @@ def verdict_by_seed(runs: DataFrame, metric: str, baseline: str, rule: dict, con
 
     The first seed changes nothing. A null seed is left out, as it has no place in the order.
     """
-    rows = running(E.pairs(runs, metric, baseline).where("seed IS NOT NULL"))
-    rows = _figures(_figures(rows, "n", "s1", "s2", confidence, ""), "n0", "t1", "t2", confidence, "_b_")
-    rows = rows.withColumn("verdict", _verdicts(rows, rule, "")).withColumn("_before", _verdicts(rows, rule, "_b_"))
-    return rows.select("arm", "seed", "n_pairs", "mean_difference", "sd_difference", "ci_low", "ci_high", "p_value", "verdict", ((F.col("n0") > 0) & (F.col("verdict") != F.col("_before"))).alias("changed"))
+    rows = _figures(running(E.pairs(runs, metric, baseline).where("seed IS NOT NULL")), confidence)
+    rule_columns = {k: F.lit(rule[k]).cast(kind) for k, kind in (("comparator", "string"), ("threshold", "double"), ("min_seeds", "long"), ("max_p_value", "double"))}
+    rows = E.judged(rows.withColumns(rule_columns), ["block", "seed", "sd_difference"])
+    before = F.lag("verdict").over(_inside())
+    rows = rows.withColumn("changed", F.coalesce(F.col("verdict") != before, F.lit(False))).where("seed IS NOT NULL")
+    return rows.select("arm", "seed", "n_pairs", "mean_difference", "sd_difference", "ci_low", "ci_high", "p_value", "verdict", "changed")
 
 
 def settled(sequence: DataFrame) -> DataFrame:
