@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.operators import baselines, evidence, failures, sequence
+from assayer.operators import baselines, evidence, failures, history, names, sequence
 from assayer.plans import adapters as A
 from assayer.plans import queries as Q
 from assayer.plans.registry import query
@@ -136,3 +136,65 @@ def verdict_settled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``first_supported`` is 0 for an arm that never was."""
     found = sequence.settled(sequence.verdict_by_seed(A.order_runs(spark, sf_dir), "price", A.BASELINE, _RULE))
     return found.withColumn("first_supported", F.coalesce("first_supported", F.lit(0)))
+
+
+# -- runs and the spec in force, staleness -------------------------------------------------------------
+
+
+@query("""WITH v AS (SELECT 'c' || c_custkey AS spec, TIMESTAMP '1995-06-01' + INTERVAL 1 DAY * ((c_custkey * 37) % 900 + 400 * k) AS registered, 'h' || ((c_custkey + k) % 5) AS digest FROM customer, range(3) t(k) WHERE c_custkey % 11 <> 0),
+r AS (SELECT 'r' || o_orderkey AS id, 'c' || o_custkey AS spec, CASE WHEN o_orderkey % 50 <> 0 THEN o_orderdate END AS started, CASE WHEN o_orderkey % 13 <> 0 THEN 'h' || (o_orderkey % 6) END AS digest FROM orders),
+f AS (SELECT spec, digest, min(registered) AS first FROM v GROUP BY ALL),
+j AS (SELECT r.*, v.registered, v.digest AS in_force FROM r ASOF LEFT JOIN v ON r.spec = v.spec AND r.started >= v.registered)
+SELECT id, strftime(registered, '%Y-%m-%d') AS registered, in_force, CASE WHEN started IS NULL THEN 'undated' WHEN in_force IS NULL THEN 'unregistered' WHEN j.digest IS NOT DISTINCT FROM in_force THEN 'none' WHEN first IS NULL THEN 'foreign' WHEN first > started THEN 'ahead' ELSE 'superseded' END AS finding
+FROM j LEFT JOIN f ON f.spec = j.spec AND f.digest = j.digest""")
+def runs_in_force(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as runs of their customer's spec, of which there are three registrations 400 days apart, or none."""
+    c, o, text = F.col("c_custkey"), F.col("o_orderkey"), lambda mark, x: F.concat(F.lit(mark), x.cast("string"))
+    versions = A.table(spark, sf_dir, "customer").where(c % 11 != 0).select("c_custkey", F.explode(F.array(*map(F.lit, range(3)))).alias("k"))
+    versions = versions.select(text("c", c).alias("spec"), F.date_add(F.lit("1995-06-01").cast("date"), ((c * 37) % 900 + 400 * F.col("k")).cast("int")).cast("timestamp").alias("registered"), text("h", (c + F.col("k")) % 5).alias("digest"))
+    runs = A.table(spark, sf_dir, "orders").select(text("r", o).alias("id"), text("c", F.col("o_custkey")).alias("spec"), F.when(o % 50 != 0, F.col("o_orderdate").cast("timestamp")).alias("started"), F.when(o % 13 != 0, text("h", o % 6)).alias("digest"))
+    found = history.runs_in_force(runs, versions)
+    return found.select("id", F.date_format("registered", "yyyy-MM-dd").alias("registered"), "in_force", F.coalesce("finding", F.lit("none")).alias("finding"))
+
+
+@query("""WITH s AS (SELECT o_orderkey AS id, o_orderpriority || '/' || (o_custkey % 40) AS topic, CASE o_orderkey % 4 WHEN 0 THEN make_date(year(o_orderdate), 12, 31) WHEN 1 THEN last_day(o_orderdate::DATE) WHEN 2 THEN o_orderdate::DATE END AS until FROM orders),
+l AS (SELECT o_orderpriority || '/' || (o_custkey % 40) AS topic, max(o_orderdate::DATE) AS surveyed FROM orders WHERE o_orderstatus = 'P' AND o_orderkey % 5 <> 0 GROUP BY 1)
+SELECT id, topic, strftime(until, '%Y-%m-%d') AS until, strftime(surveyed, '%Y-%m-%d') AS surveyed FROM s JOIN l USING (topic) WHERE until + INTERVAL 24 MONTH < surveyed""")
+def stale_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as sources with a year, a month, a day or no date, and late orders as surveys of their topic, of which every fifth has no readable date."""
+    orders = A.table(spark, sf_dir, "orders").withColumn("topic", F.concat("o_orderpriority", F.lit("/"), (F.col("o_custkey") % 40).cast("string")))
+    kind = F.col("o_orderkey") % 4
+    published = F.when(kind == 0, F.date_format("o_orderdate", "yyyy")).when(kind == 1, F.date_format("o_orderdate", "yyyy-MM")).when(kind == 2, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise("in press")
+    surveys = orders.where("o_orderstatus = 'P'").select("topic", F.when(F.col("o_orderkey") % 5 != 0, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise("soon").alias("surveyed"))
+    found = history.stale_sources(orders.select(F.col("o_orderkey").alias("id"), "topic", published.alias("published")), surveys)
+    return found.select("id", "topic", F.date_format("until", "yyyy-MM-dd").alias("until"), F.date_format("surveyed", "yyyy-MM-dd").alias("surveyed"))
+
+
+# -- concept sprawl -----------------------------------------------------------------------------------
+
+#: Words of the benchmark and parts by name and type as concepts; a part's alias is its name with other spacing, which every part of that name has.
+_CONCEPTS = """SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS concept, NULL::VARCHAR AS alias FROM benchmark UNION SELECT DISTINCT p_name || ' ' || lower(p_type), upper(replace(p_name, ' ', '-')) FROM part"""
+_SPRAWL = f"""
+WITH RECURSIVE c AS ({_CONCEPTS}), plain AS (SELECT trim(regexp_replace(lower(unnest([concept, alias])), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS name, concept FROM c),
+n AS (SELECT DISTINCT name, concept FROM plain WHERE name <> ''), f AS (SELECT name, min(concept) AS first, CASE WHEN length(name) >= 12 THEN 2 WHEN length(name) >= 5 THEN 1 ELSE 0 END AS k FROM n GROUP BY name),
+i AS (SELECT first, array_to_string(list_transform(string_split(name, ' '), lambda w: w[1]), '') AS name FROM f WHERE contains(name, ' ')),
+s AS (SELECT first AS x, concept AS y, 'name' AS reason, 0 AS distance FROM n JOIN f USING (name) UNION ALL SELECT f.first, i.first, 'initials', 0 FROM i JOIN f USING (name)
+UNION ALL SELECT a.first, b.first, 'spelling', levenshtein(a.name, b.name) FROM f a JOIN f b ON a.name < b.name AND abs(length(a.name) - length(b.name)) <= 2 AND least(a.k, b.k) > 0 WHERE levenshtein(a.name, b.name) <= least(a.k, b.k)),
+l AS (SELECT least(x, y) AS a, greatest(x, y) AS b, reason, min(distance)::INT AS distance FROM s WHERE x <> y GROUP BY ALL)
+"""
+
+
+def _concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = A.table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("concept"), F.array().cast("array<string>").alias("aliases"))
+    parts = A.table(spark, sf_dir, "part").select(F.concat("p_name", F.lit(" "), F.lower("p_type")).alias("concept"), F.array(F.upper(F.replace("p_name", F.lit(" "), F.lit("-")))).alias("aliases"))
+    return words.unionByName(parts).distinct()
+
+
+@query(f"{_SPRAWL} SELECT * FROM l")
+def concept_sprawl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.sprawl_links(_concepts(spark, sf_dir))
+
+
+@query(f"{_SPRAWL}, u AS (SELECT a AS x, b AS y FROM l UNION SELECT b, a FROM l), w AS (SELECT DISTINCT x AS v, x AS c FROM u UNION SELECT w.v, u.y FROM w JOIN u ON w.c = u.x) SELECT v AS concept, min(c) AS idea FROM w GROUP BY 1")
+def concept_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.sprawl_groups(_concepts(spark, sf_dir))
