@@ -109,32 +109,36 @@ def partitions(spark: SparkSession) -> int:
 _BLOCK = 1 << 19
 _RNG = np.random.default_rng(20240917)
 _BYTE = _RNG.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x5DEECE66D5A7B1F3
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, np.uint64(base))
-    out[0] = 1
-    return np.multiply.accumulate(out)
+def _factors(n: int) -> np.ndarray:
+    """An odd factor for each place in a word, drawn one by one: they are in no ratio to each other, so no order of letters undoes them."""
+    return np.random.default_rng(20240918).integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-_POW = [_powers(_BASE, _BLOCK + 1), _powers(pow(_BASE, -1, 1 << 64), _BLOCK + 1)]
+#: Factors of the places of the longest word so far.
+_PLACES = [_factors(1 << 12)]
 
 
 def _block_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Where each word of a block starts, and its hash: a polynomial of its bytes, by differences of running sums."""
+    """Where each word of a block starts, and its hash: the sum of its bytes' numbers, each times the factor of its place in the word."""
     buf = np.frombuffer(data, np.uint8)
-    if len(buf) >= len(_POW[0]):
-        _POW[:] = [_powers(_BASE, len(buf) + 1), _powers(pow(_BASE, -1, 1 << 64), len(buf) + 1)]
     edge = np.ones(len(buf) + 2, bool)
     edge[1:-1] = _SPACE[buf]
     at = np.flatnonzero(edge[1:] != edge[:-1])
     starts, ends = at[::2], at[1::2]
-    sums = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_BYTE[buf] * _POW[0][: len(buf)], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * _POW[1][starts]
+    lengths = ends - starts
+    longest = int(lengths.max(initial=0))
+    if longest > len(_PLACES[0]):
+        _PLACES[0] = _factors(1 << longest.bit_length())
+    letters = np.flatnonzero(~edge[1:-1])
+    place = np.arange(len(letters)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    sums = np.zeros(len(letters) + 1, np.uint64)
+    np.cumsum(_BYTE[buf[letters]] * _PLACES[0][place], out=sums[1:])
+    to = np.cumsum(lengths)
+    h = sums[to] - sums[to - lengths]
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
     return starts, h ^ (h >> np.uint64(29))
