@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.functions import parsing
-from assayer.functions.text import let, strip, unquote, without_md
+from assayer.functions.text import let, once, strip, unquote, without_md
 from assayer.operators.specs import digest, recorded, rule_drift
 from assayer.sources.notes import edges
 
@@ -68,19 +68,28 @@ def _if(condition: Column, hit: Column) -> Column:
 _HITS = "array<struct<severity:string,sev_rank:int,check:string,message:string,fix:string,ord:string>>"
 
 
-def _of_single_notes(notes: DataFrame, *checks: Callable[[], Column]) -> DataFrame:
-    """Findings of the checks, with ``step``: their place in CHECKS."""
-    names = ("severity", "sev_rank", "check", "message", "fix", "ord")
+_FIELDS = ("severity", "sev_rank", "check", "message", "fix", "ord")
+
+
+def _hits(*checks: Callable[[], Column]) -> Column:
+    """The findings of a note by the checks, each with ``step``: its place in CHECKS."""
 
     def stepped_of(check: Callable[[], Column]) -> Column:
         step = F.lit(SINGLE.get(check, len(CHECKS))).alias("step")
-        return F.transform(check(), lambda h: F.struct(*(h[c] for c in names), step))
+        return F.transform(check(), lambda h: F.struct(*(h[c] for c in _FIELDS), step))
 
     stepped = list(map(stepped_of, checks))
-    hits = F.concat(*stepped) if len(stepped) > 1 else stepped[0]
+    return F.concat(*stepped) if len(stepped) > 1 else stepped[0]
+
+
+def _rows_of_hits(notes: DataFrame, hits: Column) -> DataFrame:
     return notes.select("vault", F.col("rel").alias("path"), F.explode(hits).alias("h")).select("vault", "h.severity", "h.sev_rank", "h.check", "path", "h.message", "h.fix", "h.ord", "h.step")
 
 
+def _of_single_notes(notes: DataFrame, *checks: Callable[[], Column]) -> DataFrame:
+    return _rows_of_hits(notes, _hits(*checks))
+
+
 def _frontmatter() -> Column:
     kind = F.when(F.col("rel").startswith("raw/"), "dossier").otherwise(F.col("type"))
     needed = F.array(*map(F.lit, REQUIRED))
@@ -231,14 +240,27 @@ CHECKS = (frontmatter, broken_links, evidence, claims, preregistration, runs, do
 def all_findings(notes: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """All checks' findings; unsorted, so that consumers can aggregate without a sort.
 
-    Checks of a single note run in one pass. The parsed notes are persisted, so that they are parsed once for all checks;
-    ``unpersist`` them or clear the cache when the findings are no longer needed. ``files``: as for ``read_state``.
+    Notes are parsed once: that pass runs the checks of a single note and keeps their findings, with the few fields that the other checks
+    need, in a persisted table. Clear the cache when the findings are no longer needed (``spark.catalog.clearCache``).
+    ``files``: as for ``read_state``.
     """
-    notes = notes.persist()
+    notes = condensed(notes).persist()
     links = edges(notes)
     more = {broken_links: (links,), runs: (links,), dossier_coverage: (), read_state: (files,), orphans: (links,)}
     several = [check(notes, *given).withColumn("step", F.lit(CHECKS.index(check))) for check, given in more.items()]
-    return reduce(DataFrame.unionByName, several, _of_single_notes(notes, *SINGLE))
+    return reduce(DataFrame.unionByName, several, _rows_of_hits(notes, F.col("hits")))
+
+
+#: Fields that checks of several notes read.
+SHARED_FIELDS = ("id", "raw", "read")
+
+
+def condensed(notes: DataFrame) -> DataFrame:
+    """Notes with ``hits``, the findings of the checks of a single note, and without what no other check reads: texts (but for the
+    screening record's) and all fields but ``SHARED_FIELDS``."""
+    screening = F.col("rel") == "_meta/screening.md"
+    kept = F.map_filter("fm", lambda k, _: k.isin(*SHARED_FIELDS))
+    return once(notes, "vault", "rel", "dir", "stem", "type", "links", F.when(screening, F.col("fm_raw")).otherwise("").alias("fm_raw"), F.when(screening, F.col("body")).otherwise("").alias("body"), kept.alias("fm"), _hits(*SINGLE).alias("hits"))
 
 
 def stem_collisions(notes: DataFrame) -> DataFrame:
