@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from assayer.functions import parsing
 from assayer.operators import experiments, lint, specs
 from assayer.sources import sinks
-from assayer.sources.notes import list_files, notes_from_texts, read_texts
+from assayer.sources.notes import content, list_files, notes_from_texts, read_texts
 from assayer.sources.reports import read_report, report_json
 from assayer.sources.runs import read_runs
 
@@ -31,7 +31,10 @@ def _file(spark: SparkSession, path: str) -> str:
     found = _status(spark, path)
     if found is None or not found.isFile():
         raise ValueError(f"no such spec: {path}")
-    return spark.read.text(path, wholetext=True).first()[0]
+    try:
+        return bytes(content(spark, path)).decode("utf-8")
+    except UnicodeDecodeError as e:
+        raise ValueError(f"{path} is not UTF-8: {e.reason} at byte {e.start}") from e
 
 
 def _write(spark: SparkSession, path: str, text: str) -> None:

@@ -139,8 +139,8 @@ def capped(sources: DataFrame, order: list[Column], n: int) -> DataFrame:
 
 
 def sampled(notes: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
-    """n notes in an order that depends on the key's hash only."""
-    return notes.orderBy(F.xxhash64(F.lit(seed), F.col(key)), F.col(key)).limit(n)
+    """n notes in an order that depends on the digest of seed and key only, so that any engine draws the same."""
+    return notes.orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256), F.col(key)).limit(n)
 
 
 def deduplicated(found: DataFrame, key: str, order: str) -> DataFrame:

@@ -108,7 +108,8 @@ def inferred_baseline(runs: DataFrame, metric: str) -> DataFrame:
 
 
 def report(runs: DataFrame, metric: str | None = None, baseline: str | None = None, confidence: float = CONFIDENCE) -> dict:
-    """The parts of a report as DataFrames: metric, baseline, confidence, arms, comparisons, totals, failures.
+    """The parts of a report as DataFrames: metric, baseline, confidence, arms, comparisons, totals, failures; arms, comparisons
+    and failures in the order of their names.
 
     Without a metric the only one is taken, without a baseline the arm of least mean. Raises ValueError
     for no run, and if the metric is not given and the runs have none or several.
@@ -124,7 +125,7 @@ def report(runs: DataFrame, metric: str | None = None, baseline: str | None = No
         found = inferred_baseline(runs, metric).first()
         baseline = found["baseline"] if found else ""
     arms = arm_summary(runs, metric).select("arm", "n", rounded(F.col("mean")).alias("mean"), rounded(F.col("sd")).alias("sd"), F.transform("values", rounded).alias("values"))
-    return {"metric": metric, "baseline": baseline, "confidence": confidence, "arms": arms, "comparisons": comparisons(runs, metric, baseline, confidence), "totals": totals(runs), "failures": failures(runs)}
+    return {"metric": metric, "baseline": baseline, "confidence": confidence, "arms": arms.orderBy("arm"), "comparisons": comparisons(runs, metric, baseline, confidence).orderBy("arm"), "totals": totals(runs), "failures": failures(runs).orderBy("status")}
 
 
 def passes(comparator: Column, value: Column, threshold: Column) -> Column:

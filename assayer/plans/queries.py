@@ -345,7 +345,7 @@ def source_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage.capped(A.table(spark, sf_dir, "documents").select("doc_id", "n_chars"), [F.desc("n_chars"), F.col("doc_id")], 40)
 
 
-@query(None)
+@query("SELECT doc_id, source FROM documents ORDER BY sha256('0:' || doc_id), doc_id LIMIT 5")
 def sample_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage.sampled(A.table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id", 5)
 

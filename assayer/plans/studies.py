@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.operators import baselines, evidence, failures, history, names, sequence
+from assayer.functions.text import slug
+from assayer.operators import baselines, evidence, failures, grains, history, lint, names, sections, sequence
+from assayer.operators.snowball import snowball
 from assayer.plans import adapters as A
 from assayer.plans import queries as Q
 from assayer.plans.registry import query
@@ -198,3 +200,90 @@ def concept_sprawl(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{_SPRAWL}, u AS (SELECT a AS x, b AS y FROM l UNION SELECT b, a FROM l), w AS (SELECT DISTINCT x AS v, x AS c FROM u UNION SELECT w.v, u.y FROM w JOIN u ON w.c = u.x) SELECT v AS concept, min(c) AS idea FROM w GROUP BY 1")
 def concept_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.sprawl_groups(_concepts(spark, sf_dir))
+
+
+# -- snowballing --------------------------------------------------------------------------------------
+
+_ROUNDS = 3
+
+
+def _rounds_sql() -> str:
+    """The rounds written out one after another: n<k> counts citations by what was collected before round k."""
+    parts = ["e AS (SELECT DISTINCT o_custkey % 1009 AS src, (o_orderkey * 31) % 1009 AS ref FROM orders WHERE o_custkey % 1009 <> (o_orderkey * 31) % 1009)", "d0 AS (SELECT DISTINCT c_custkey % 1009 AS work, 0 AS depth FROM customer WHERE c_custkey % 1009 % 100 = 3)"]
+    for k in range(1, _ROUNDS + 1):
+        parts.append(f"n{k} AS (SELECT ref AS work, count(*) AS n FROM e WHERE src IN (SELECT work FROM d{k - 1}) GROUP BY 1)")
+        parts.append(f"d{k} AS (SELECT * FROM d{k - 1} UNION ALL SELECT work, {k} FROM n{k} WHERE n >= 2 AND work NOT IN (SELECT work FROM d{k - 1}))")
+    return "WITH " + ", ".join(parts)
+
+
+def _snowball(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Orders as citations among a thousand works, from every hundredth of those that are customers."""
+    citations = A.table(spark, sf_dir, "orders").select((F.col("o_custkey") % 1009).alias("src"), ((F.col("o_orderkey") * 31) % 1009).alias("ref"))
+    works = A.table(spark, sf_dir, "customer").select((F.col("c_custkey") % 1009).alias("work"))
+    return snowball(citations, works.where("work % 100 = 3"), 2, _ROUNDS)
+
+
+@query(f"""{_rounds_sql()} SELECT work, coalesce(depth, -1) AS depth, coalesce(n, 0) AS n_citing, CASE WHEN depth IS NULL THEN 'rare' WHEN depth = {_ROUNDS} THEN 'limit' ELSE 'opened' END AS reason
+FROM d{_ROUNDS} FULL JOIN n{_ROUNDS} USING (work)""")
+def snowball_works(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Depth is -1 for works that were left out."""
+    return _snowball(spark, sf_dir)[0].withColumn("depth", F.coalesce("depth", F.lit(-1)))
+
+
+@query(f"""{_rounds_sql()}, l AS ({" UNION ALL ".join(f"SELECT {k} AS round, (SELECT count(*) FROM d{k} WHERE depth = {k - 1}) AS opened, (SELECT count(*) FROM n{k}) AS cited, (SELECT count(*) FROM d{k} WHERE depth = {k}) AS found" for k in range(1, _ROUNDS + 1))})
+SELECT round, opened, cited, found FROM l WHERE round = 1 OR opened > 0""")
+def snowball_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _snowball(spark, sf_dir)[1]
+
+
+# -- sections -----------------------------------------------------------------------------------------
+
+_SECTIONS = """
+WITH o AS (SELECT doc_id, list_transform(list_sort(list_transform(list_filter(range(7), lambda i: (doc_id + i) % 9 <> 0), lambda i: ((i * (doc_id % 11 + 1)) % 13) * 10 + i)), lambda v: v % 10) AS p FROM documents),
+q AS (SELECT doc_id, doc_id % 6 = 0 AND list_contains(p, 0) AS twice, CASE WHEN doc_id % 6 = 0 AND NOT list_contains(p, 0) THEN p || [0] ELSE p END AS p FROM o),
+m AS (SELECT *, list_transform(range(1::BIGINT << len(p)), lambda m: {'at': list_filter(range(len(p)), lambda i: (m >> i) & 1 = 1), 'kept': list_filter(p, lambda x, i: (m >> (i - 1)) & 1 = 1)}) AS c FROM q),
+b AS (SELECT doc_id, p, twice, list_sort(list_transform(list_filter(c, lambda x: x.kept = list_sort(x.kept)), lambda x: {'neg': -len(x.at), 'at': x.at, 'kept': x.kept}))[1].kept AS kept FROM m),
+f AS (SELECT doc_id, 'missing-section' AS c, unnest(list_filter(range(7), lambda i: NOT list_contains(p, i))) AS i FROM b UNION ALL SELECT doc_id, 'repeated-section', 0 FROM b WHERE twice
+UNION ALL SELECT doc_id, 'section-order', unnest(list_filter(p, lambda i: NOT list_contains(kept, i))) FROM b)
+SELECT 'sources/d' || doc_id || '.md' AS path, c AS "check", ['Summary', 'Method', 'Setup', 'Results', 'Limitations', 'Relevance', 'Evidence'][i + 1] AS section FROM f"""
+
+
+@query(_SECTIONS)
+def lint_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as source notes whose sections stand in one of eleven orders, some left out, some twice, with headings in fences that do not count."""
+    d = F.col("doc_id")
+    place = lambda i: F.when((d + i) % 9 != 0, F.struct(((F.lit(i) * (d % 11 + 1)) % 13).alias("k"), F.lit(f"## {sections.SOURCE_SECTIONS[i]}\ntext\n").alias("s")))
+    own = F.sort_array(F.filter(F.array(*map(place, range(7))), lambda x: x.isNotNull()))
+    texts = F.transform(own, lambda x: x["s"])
+    body = F.concat(F.when(d % 2 == 0, F.array_join(texts, "```\n## Results\n## Method\n```\n")).otherwise(F.array_join(texts, "### Setup\n")), F.when(d % 6 == 0, "## summary\nagain\n").otherwise(""))
+    rel, text = A.note(F.concat(F.lit("sources/d"), d.cast("string"), F.lit(".md")), [("type", "source")], body)
+    found = sections.section_findings(A.as_notes(A.spread(A.table(spark, sf_dir, "documents")).select(rel, text)))
+    return found.select("path", "check", F.regexp_extract("message", "[A-Z].*$", 0).alias("section"))
+
+
+# -- counts at several grains -------------------------------------------------------------------------
+
+
+@query("""SELECT concat_ws(',', CASE WHEN grouping(o_orderpriority) = 0 THEN 'arm' END, CASE WHEN grouping(o_orderstatus) = 0 THEN 'status' END) AS grain, coalesce(o_orderpriority, '*') AS arm, coalesce(o_orderstatus, '*') AS status,
+count(*) AS n, count(*) AS n_values, min(o_totalprice) AS least, max(o_totalprice) AS most, count(DISTINCT o_custkey) AS n_distinct FROM orders GROUP BY GROUPING SETS ((o_orderpriority, o_orderstatus), (o_orderpriority), (o_orderstatus), ())""")
+def grain_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = A.table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("arm"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("value"), "o_custkey")
+    rows = grains.by_grains(orders, [["arm", "status"], ["arm"], ["status"], []], "value", "o_custkey")
+    return rows.select("grain", F.coalesce("arm", F.lit("*")).alias("arm"), F.coalesce("status", F.lit("*")).alias("status"), "n", "n_values", "least", "most", "n_distinct")
+
+
+# -- small parts --------------------------------------------------------------------------------------
+
+
+@query("SELECT p_partkey AS id, regexp_replace(regexp_replace(lower(p_name || ' / ' || p_type || '!'), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM part")
+def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), slug(F.concat("p_name", F.lit(" / "), "p_type", F.lit("!"))).alias("slug"))
+
+
+@query("SELECT 'n' || n_nationkey || '/' || ['Readme', 'README', 'TODO', 'log', 'map', 'Map'][n_nationkey % 6 + 1] || '.md' AS path FROM nation WHERE n_nationkey % 6 IN (0, 5)")
+def orphans_exempt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes that nothing links, most of them under a stem that needs no link."""
+    k = F.col("n_nationkey")
+    stem = F.get(F.array(*map(F.lit, ("Readme", "README", "TODO", "log", "map", "Map"))), (k % 6).cast("int"))
+    rel, text = A.note(F.concat(F.lit("n"), k.cast("string"), F.lit("/"), stem, F.lit(".md")), [("type", "note"), ("title", F.col("n_name"))], "No link.\n")
+    return lint.orphans(A.as_notes(A.table(spark, sf_dir, "nation").select(rel, text))).select("path")

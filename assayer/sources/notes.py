@@ -40,7 +40,8 @@ def _hidden(spark: SparkSession, path: str, recursive: bool) -> tuple[list[str],
     return folders, files
 
 
-def _content(spark: SparkSession, file: str) -> bytearray:
+def content(spark: SparkSession, file: str) -> bytearray:
+    """The bytes of one file, read by the driver."""
     jvm, path = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path(file)
     stream = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(path)
     try:
@@ -61,7 +62,7 @@ def read_texts(spark: SparkSession, path: str, recursive: bool = True) -> DataFr
     reader = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", str(recursive).lower())
     rows = reader.load([path, *folders]).select("path", "content")
     if files:
-        rows = rows.unionByName(spark.createDataFrame([(f, _content(spark, f)) for f in files], "path string, content binary"))
+        rows = rows.unionByName(spark.createDataFrame([(f, content(spark, f)) for f in files], "path string, content binary"))
     name = F.regexp_replace("path", "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
     return rows.select(F.substring(name, F.lit(len(base) + 2), F.length(name)).alias("rel"), F.col("content").cast("string").alias("text"))
 
