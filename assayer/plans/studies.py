@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.functions.text import slug
-from assayer.operators import baselines, evidence, failures, grains, history, lint, names, sections, sequence
+from assayer.operators import baselines, evidence, failures, grains, history, lint, names, sections, sequence, titles
 from assayer.operators.snowball import snowball
 from assayer.plans import adapters as A
 from assayer.plans import queries as Q
@@ -287,3 +287,21 @@ def orphans_exempt(spark: SparkSession, sf_dir: str) -> DataFrame:
     stem = F.get(F.array(*map(F.lit, ("Readme", "README", "TODO", "log", "map", "Map"))), (k % 6).cast("int"))
     rel, text = A.note(F.concat(F.lit("n"), k.cast("string"), F.lit("/"), stem, F.lit(".md")), [("type", "note"), ("title", F.col("n_name"))], "No link.\n")
     return lint.orphans(A.as_notes(A.table(spark, sf_dir, "nation").select(rel, text))).select("path")
+
+
+# -- titles of the same work --------------------------------------------------------------------------
+
+_TITLE = "p_name || ', ' || lower(p_type) || ' part of ' || p_brand || ' in Size-' || p_size"
+
+
+@query(f"""WITH k AS (SELECT p_partkey AS key, array_to_string(list_sort(list_distinct(string_split(trim(regexp_replace(lower({_TITLE}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' '))), ' ') AS words FROM part),
+s AS (SELECT words, min(key) AS first FROM k GROUP BY words), t AS (SELECT first, unnest(string_split(words, ' ')) AS word FROM s),
+w AS (SELECT word, 1 + CAST(floor(1000 * ln((SELECT count(*) FROM s) / count(*))) AS BIGINT) AS w FROM t GROUP BY word), i AS (SELECT first, word, w FROM t JOIN w USING (word)),
+z AS (SELECT first, sum(w)::BIGINT AS weight FROM i GROUP BY 1),
+p AS (SELECT x.first AS a, y.first AS b, sum(x.w)::BIGINT AS shared FROM i x JOIN i y ON x.word = y.word AND x.first < y.first GROUP BY 1, 2),
+l AS (SELECT a, b, shared, za.weight + zb.weight - shared AS united FROM p JOIN z za ON za.first = a JOIN z zb ON zb.first = b)
+SELECT a, b, shared, united FROM l WHERE 100 * shared >= 60 * united UNION ALL SELECT s.first, k.key, weight, weight FROM k JOIN s USING (words) JOIN z ON z.first = s.first WHERE s.first < k.key""")
+def similar_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts' descriptions as titles that share three fifths of their words' weight."""
+    title = F.concat("p_name", F.lit(", "), F.lower("p_type"), F.lit(" part of "), "p_brand", F.lit(" in Size-"), F.col("p_size").cast("string"))
+    return titles.similar_titles(A.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), title.alias("title")), 60)
