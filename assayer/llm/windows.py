@@ -92,22 +92,24 @@ def cut(at: np.ndarray, cost: np.ndarray, capacity: int = CAPACITY) -> list[int]
     position, penalty = at.tolist(), cost.tolist()
     best, level, back = [0] * n, [0] * n, [0] * n  # level: cost(i) + i
     queue, head = [0], 0
-    for j in range(1, n):
-        p = position[j]
-        low = p - capacity
-        while position[queue[head]] < low:
+    front = 0  # place of the queue's first entry
+    for j, (p, more, a, b) in enumerate(zip(position[1:], penalty[1:], first[1:n], first[2:], strict=True), 1):
+        while front < p - capacity:
             head += 1
+            front = position[queue[head]]
         i = queue[head]
         least = level[i] + capacity - p
-        for s in sources[first[j] : first[j + 1]]:
-            if best[s] < least or best[s] == least and s < i:
-                least, i = best[s], s
-        least += penalty[j]
+        if a != b:
+            for s in sources[a:b]:
+                if best[s] < least or best[s] == least and s < i:
+                    least, i = best[s], s
+        least += more
         best[j], back[j] = least, i
         own = level[j] = least + p
         while len(queue) > head and level[queue[-1]] > own:
             queue.pop()
         queue.append(j)
+        front = position[queue[head]]
     ends, j = [], n - 1
     while j:
         ends.append(j)
