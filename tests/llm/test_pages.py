@@ -108,6 +108,14 @@ def test_large_hosts_join_alike(spark, monkeypatch):
     assert sorted(wrappers.extract_articles(pages).collect()) == expected
 
 
+def test_ends_of_nothing_are_read_in_linear_time():
+    import time
+
+    began = time.process_time()
+    wrappers.parse("<div>" * 100_000 + "</i>" * 100_000 + "</div>" * 100_000)
+    assert time.process_time() - began < 10
+
+
 def test_wrappers_are_bounded():
     rng = random.Random(8)
     tags = [f"<{t} class={rng.choice('abcdefgh')}{rng.choice('abcdefgh')}>" for t in ("p", "div", "h2", "pre", "ul", "table") for _ in range(40)]
@@ -119,7 +127,7 @@ def test_wrappers_are_bounded():
     assert widest(w) <= wrappers.ROW
 
 
-@pytest.mark.parametrize("unit", ["<a ", '<a "', '<a b="', "</", "<!", "<x/", "<a b='\"", "<!--", "&#", "<div>", "<p>x"])
+@pytest.mark.parametrize("unit", ["<a ", '<a "', '<a b="', "</", "<!", "<x/", "<a b='\"", "<!--", "&#", "<div>", "<p>x", "<foo>", "<a-b><c-d>", "<p><foo>"])
 def test_pages_are_read_in_linear_time(unit):
     import time
 
