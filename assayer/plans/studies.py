@@ -318,16 +318,16 @@ q AS (SELECT doc_id, text, t, list_transform(t[(doc_id * 5) % greatest(len(t) -
 c AS (SELECT doc_id, contains(text, array_to_string(q, ' ')) AS verbatim, len(q) AS m, list_transform(q, lambda x: (hash(x) % 1000000007)::BIGINT) AS q, [0::BIGINT] || list_transform(range(1, len(q) + 1), lambda i: i * 4294967296) AS d, list_transform(t, lambda x: [(hash(x) % 1000000007)::BIGINT]) AS h FROM q),
 r AS (SELECT doc_id, verbatim, m, list_reduce(h, lambda s, x: list_transform([list_reduce(list_transform(range(1, m + 1), lambda i: [i]), lambda a, i: a || [least(s[i[1] + 3] + CASE WHEN q[i[1]] = x[1] THEN 0 ELSE 4294967296 END, s[i[1] + 4] + 4294967296, a[-1] + 4294967296)], [s[3] + 1])],
     lambda n: [least(s[1], n[-1]), CASE WHEN n[-1] < s[1] THEN s[3] + 1 ELSE s[2] END, s[3] + 1] || n)[1], [d[-1], 0::BIGINT, 0::BIGINT] || d) AS s FROM c)
-SELECT doc_id, verbatim, CASE WHEN m > 2 AND s[1] // 4294967296 <= m // 3 - 1 THEN (s[1] // 4294967296)::INT END AS distance, CASE WHEN m > 2 AND s[1] // 4294967296 <= m // 3 - 1 THEN (s[1] % 4294967296)::INT END AS first_word, CASE WHEN m > 2 AND s[1] // 4294967296 <= m // 3 - 1 THEN (s[2] - s[1] % 4294967296)::INT END AS n_words FROM r"""
+SELECT doc_id, verbatim, CASE WHEN m > 2 AND s[1] // 4294967296 <= m // 3 - 1 THEN (s[1] // 4294967296)::INT ELSE -1 END AS distance, CASE WHEN m > 2 AND s[1] // 4294967296 <= m // 3 - 1 THEN (s[1] % 4294967296)::INT ELSE -1 END AS first_word, CASE WHEN m > 2 AND s[1] // 4294967296 <= m // 3 - 1 THEN (s[2] - s[1] % 4294967296)::INT ELSE -1 END AS n_words FROM r"""
 
 
 @query(_ALIGNED)
 def near_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Eighteen words of each document as a quote, of which every seventh is changed, against its whole text."""
+    """Eighteen words of each document as a quote, of which every seventh is changed, against its whole text; -1 for a quote that is not near."""
     docs = A.spread(A.table(spark, sf_dir, "documents").where("doc_id IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
     t = quotes.words(F.col("text"))
     begin = lambda w: (F.col("doc_id") * 5 % F.greatest(F.size(w) - _QUOTE, F.lit(1)) + 1).cast("int")
     spoilt = let(t, lambda w: F.array_join(F.transform(F.slice(w, begin(w), F.lit(_QUOTE)), lambda x, i: F.when((i + 1) % _EVERY == 0, "changed").otherwise(x)), " "))
     raw = F.concat(F.lit("raw/d"), F.col("doc_id").cast("string"), F.lit(".md")).alias("raw")
     found = quotes.near_quotes(docs.select(F.col("doc_id").alias("quote_id"), raw, spoilt.alias("quote")), docs.select(raw, "text"))
-    return found.select(F.col("quote_id").alias("doc_id"), "verbatim", "distance", "first_word", "n_words")
+    return found.select(F.col("quote_id").alias("doc_id"), "verbatim", *(F.coalesce(c, F.lit(-1)).alias(c) for c in ("distance", "first_word", "n_words")))
