@@ -42,12 +42,16 @@ def quotes_in_dossiers(quotes: DataFrame, dossiers: DataFrame) -> DataFrame:
     return quotes.join(dossiers, "raw", "left").withColumn("found", F.coalesce(F.contains("text", F.col("quote")), F.lit(False))).drop("text")
 
 
+#: Distinct n-grams of passages up to which they are broadcast to the texts' n-grams; more of them meet by a shuffle.
+BROADCAST_GRAMS = 1_000_000
+
+
 def containments(passages: DataFrame, texts: DataFrame, n: int = 5) -> DataFrame:
     """Pairs of a passage (item_id, text) and a text (doc_id, text) that contains it.
 
-    Candidates share one n-gram of the passage's words (that of the least hash); each is then searched verbatim. No pair of
-    a passage and a text without that n-gram is made. Passages of too few words have none: if there are any, they are
-    searched in every text.
+    Only n-grams of the texts that some passage has are kept, before anything moves. A passage is sought by the one of its
+    n-grams that fewest texts have, so that a common phrase in it costs nothing; with one that no text has, it is in none.
+    Each candidate is then searched verbatim. Passages of too few words have no n-gram and are searched in every text.
     """
 
     def hashes(w: Column) -> Column:
@@ -57,13 +61,17 @@ def containments(passages: DataFrame, texts: DataFrame, n: int = 5) -> DataFrame
     # a passage may begin and end inside a word, so its outer words are left out
     words = lambda c: F.filter(F.split(c, r"[ \t-\r]+"), lambda w: w != "")
     inner = once(passages, "item_id", F.col("text").alias("passage"), words(F.col("text")).alias("w")).withColumn("w", F.slice("w", F.lit(2), F.greatest(F.size("w") - 2, F.lit(0))))
-    key = once(inner, "item_id", "passage", F.array_min(hashes(F.col("w"))).alias("g"))
-    short, own = key.where("g IS NULL").select("item_id", "passage"), key.where("g IS NOT NULL")
+    key = once(inner, "item_id", "passage", hashes(F.col("w")).alias("g"))
+    short, own = key.where(F.size("g") == 0).select("item_id", "passage"), key.select("item_id", "passage", F.explode("g").alias("g"))
+    wanted = own.select("g").distinct()
+    if wanted.count() <= BROADCAST_GRAMS:
+        wanted = F.broadcast(wanted)
     grams = once(once(texts, "doc_id", words(F.col("text")).alias("w")), "doc_id", hashes(F.col("w")).alias("g"))
-    near = grams.select("doc_id", F.explode("g").alias("g")).join(own, "g").select("item_id", "passage", "doc_id")
+    hits = grams.select("doc_id", F.explode("g").alias("g")).join(wanted, "g").repartition("g")  # one exchange for both uses
+    df = hits.groupBy("g").agg(F.count("*").alias("df"))
+    rarest = own.join(df, "g", "left").groupBy("item_id", "passage").agg(F.min_by("g", F.struct("df", "g")).alias("g"), F.count_if(F.col("df").isNull()).alias("absent"))
+    near = hits.join(rarest.where("absent = 0"), "g").select("item_id", "passage", "doc_id")
     found = near.join(texts.select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("passage"))).select("item_id", "doc_id")
-    if short.isEmpty():
-        return found
     return found.unionByName(texts.join(short, F.contains("text", F.col("passage"))).select("item_id", "doc_id"))
 
 
@@ -102,9 +110,10 @@ def coverage_gaps(uses: DataFrame, counts: Column | None = None) -> DataFrame:
 
     ``counts``: which uses cover their cell; all of them if left out. Methods and datasets are those of all uses.
     """
-    methods, datasets = uses.select("method").distinct(), uses.select("dataset").distinct()
-    covered = uses if counts is None else uses.where(counts)
-    return methods.crossJoin(datasets).join(covered.select("method", "dataset").distinct(), ["method", "dataset"], "left_anti")
+    # one pass over the uses gives the cells; methods, datasets and gaps all come from these few rows
+    cells = uses.groupBy("method", "dataset").agg(F.max(F.lit(True) if counts is None else F.coalesce(counts, F.lit(False))).alias("covered")).repartition("method", "dataset")
+    methods, datasets = cells.select("method").distinct(), cells.select("dataset").distinct()
+    return methods.crossJoin(datasets).join(cells.where("covered").select("method", "dataset"), ["method", "dataset"], "left_anti")
 
 
 def screening_counts(sources: DataFrame) -> DataFrame:
@@ -149,11 +158,25 @@ def deduplicated(found: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def content_hash(files: DataFrame, group: str, path: str, data: str) -> DataFrame:
-    """A digest of each group's files, by path: of the sorted list of the files' own digests."""
+    """A digest of each group's files, by path: of the sorted list of the files' own digests.
+
+    A group's digests meet in one row (about 100 bytes a file), as the digest of a list can only be taken in order; ``large_content_hash`` is for groups
+    of more files than a row holds.
+    """
     each = files.select(group, F.concat_ws(":", F.col(path), F.sha2(F.col(data), 256)).alias("d"))
     return each.groupBy(group).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("d")), "\n"), 256).alias("code_hash"))
 
 
+def large_content_hash(files: DataFrame, group: str, path: str, data: str, buckets: int = 1024) -> DataFrame:
+    """A digest of digests: files are dealt into buckets by the digest of their path, each bucket's list is taken as in ``content_hash``, and
+    the group's digest is that of its buckets' (bucket:digest). Another value than ``content_hash``'s, as stable, with rows of a
+    ``buckets``-th of the files."""
+    bucket = F.conv(F.substring(F.sha2(F.col(path), 256), 1, 8), 16, 10).cast("long") % buckets
+    each = files.select(group, bucket.alias("_b"), F.concat_ws(":", F.col(path), F.sha2(F.col(data), 256)).alias("d"))
+    parts = each.groupBy(group, "_b").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("d")), "\n"), 256).alias("h"))
+    return parts.groupBy(group).agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_b", "h"))), lambda x: F.concat_ws(":", x["_b"].cast("string"), x["h"])), "\n"), 256).alias("code_hash"))
+
+
 def by_alias(names: DataFrame, concepts: DataFrame) -> DataFrame:
     """Names (name) with the concept (concept, aliases) that they mean."""
     known = concepts.select("concept", F.explode(F.concat(F.array("concept"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("alias"))

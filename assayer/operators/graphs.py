@@ -18,14 +18,14 @@ from assayer.sources.written import Rounds
 def _star(links: DataFrame) -> DataFrame:
     """Links (x, y) with x > y, each vertex's larger neighbours moved to its smallest neighbour or itself."""
     both = links.select("x", "y").unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y")))
-    least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-    return look_up(both.where("y > x"), least, ["x"]).select(F.col("y").alias("x"), F.col("m").alias("y")).where("x <> y").distinct()
+    least = both.groupBy("x").agg(F.min("y").alias("m"), F.count("*").alias("n")).select("x", F.least("x", "m").alias("m"), "n")
+    return look_up(both.where("y > x"), least, ["x"], counts="n").select(F.col("y").alias("x"), F.col("m").alias("y")).where("x <> y").distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """Links (x, y) with x > y, each vertex and its smaller neighbours moved to the smallest of them."""
-    least = links.groupBy("x").agg(F.min("y").alias("m"))
-    moved = look_up(links, least, ["x"]).where("y <> m").select(F.col("y").alias("x"), F.col("m").alias("y"))
+    least = links.groupBy("x").agg(F.min("y").alias("m"), F.count("*").alias("n"))
+    moved = look_up(links, least, ["x"], counts="n").where("y <> m").select(F.col("y").alias("x"), F.col("m").alias("y"))
     return moved.unionByName(least.select("x", F.col("m").alias("y"))).distinct()
 
 

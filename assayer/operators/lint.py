@@ -9,11 +9,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.functions import parsing
 from assayer.functions.text import let, once, strip, unquote, without_md
+from assayer.operators.skew import look_up
 from assayer.operators.specs import digest, recorded, rule_drift
 from assayer.sources.notes import edges
 
@@ -263,9 +264,22 @@ def condensed(notes: DataFrame) -> DataFrame:
     return once(notes, "vault", "rel", "dir", "stem", "type", "links", F.when(screening, F.col("fm_raw")).otherwise("").alias("fm_raw"), F.when(screening, F.col("body")).otherwise("").alias("body"), kept.alias("fm"), _hits(*SINGLE).alias("hits"))
 
 
-def stem_collisions(notes: DataFrame) -> DataFrame:
-    """Names that several notes of a vault share, so that a link by name can mean any of them: vault, stem, n, paths."""
-    return notes.groupBy("vault", "stem").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("rel")).alias("paths")).where("n > 1")
+#: Paths that a row of ``stem_collisions`` lists; ``colliding_notes`` gives all of them as rows.
+LISTED = 100
+
+
+def stem_collisions(notes: DataFrame, listed: int = LISTED) -> DataFrame:
+    """Names that several notes of a vault share, so that a link by name can mean any of them: vault, stem, n (all of them) and paths, the
+    first ``listed`` by name. Names that thousands share (index, README) make no larger row."""
+    first = F.row_number().over(Window.partitionBy("vault", "stem").orderBy("rel"))
+    heads = notes.select("vault", "stem", "rel", first.alias("k")).where(F.col("k") <= listed).groupBy("vault", "stem").agg(F.sort_array(F.collect_list("rel")).alias("paths"))
+    return notes.groupBy("vault", "stem").agg(F.count("*").alias("n")).where("n > 1").join(heads, ["vault", "stem"]).select("vault", "stem", "n", "paths")
+
+
+def colliding_notes(notes: DataFrame) -> DataFrame:
+    """All notes whose name another note of the vault has, as rows (vault, stem, rel)."""
+    shared = notes.groupBy("vault", "stem").agg(F.count("*").alias("n")).where("n > 1").select("vault", "stem")
+    return look_up(notes.select("vault", "stem", "rel"), shared, ["vault", "stem"])
 
 
 def _rule_drift() -> Column:
