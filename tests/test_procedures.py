@@ -92,3 +92,55 @@ def test_grains(spark):
         for q, v in zip((0.1, 0.5), x["quantiles"], strict=True):
             assert v in values and abs(values.index(v) + 1 - q * len(values)) <= len(values) / 200 + 1
     assert {x["grain"] for x in got} == {"arm,status", "arm", "status", ""}
+
+
+def test_specs_are_read_strictly(spark, tmp_path, capsys):
+    from assayer import cli
+
+    good, bad = tmp_path / "good.md", tmp_path / "_bad.md"
+    good.write_bytes("---\ntype: spec\nid: é\n---\n".encode())
+    bad.write_bytes(b"---\ntype: spec\nid: \xe9\n---\n")
+    assert cli._file(spark, str(good)) == "---\ntype: spec\nid: é\n---\n"
+    with pytest.raises(ValueError, match="not UTF-8"):
+        cli._file(spark, str(bad))
+    with pytest.raises(ValueError, match="no such spec"):
+        cli._file(spark, str(tmp_path))
+
+
+def test_report_is_in_order(spark):
+    from assayer.operators import experiments
+
+    rows = [(i, arm, seed, status, {"m": float(seed)}) for i, (arm, seed, status) in enumerate([("b", 1, "ok"), ("c", 1, "oom"), ("a", 1, "ok"), ("c", 2, "ok"), ("a", 2, "nan"), ("b", 2, "ok")])]
+    found = experiments.report(spark.createDataFrame(rows, "ord long, arm string, seed long, status string, metrics map<string,double>"), "m", "b")
+    assert [x["arm"] for x in found["arms"].collect()] == ["a", "b", "c"] and [x["arm"] for x in found["comparisons"].collect()] == ["a", "c"]
+    assert [x["status"] for x in found["failures"].collect()] == ["nan", "oom"]
+
+
+def test_a_common_phrase_makes_no_candidates(spark):
+    from assayer.operators import coverage
+
+    phrase = "all rights reserved by the authors of this work"
+    texts = spark.createDataFrame([(i, f"start {phrase} and tail {i} of text number {i} ends") for i in range(60)], "doc_id long, text string")
+    passages = spark.createDataFrame([(1, f"x {phrase} and tail 7 of text number 7 y"), (2, f"t {phrase} an"), (3, "tail 9"), (4, "nowhere in any of these texts at all"), (5, f"rt {phrase} and tail 11 of text number 11 e")], "item_id long, text string")
+    got = {(x["item_id"], x["doc_id"]) for x in coverage.containments(passages, texts).collect()}
+    assert got == {(2, i) for i in range(60)} | {(3, 9), (5, 11)}
+
+
+def test_collisions_list_a_part_and_count_all(spark):
+    from assayer.operators import lint
+
+    notes = notes_from_texts(spark.createDataFrame([("v", f"d{i:03}/README.md", "") for i in range(30)] + [("v", "a.md", ""), ("w", "README.md", "")], "vault string, rel string, text string"))
+    (row,) = lint.stem_collisions(notes, 3).collect()
+    assert (row["stem"], row["n"], row["paths"]) == ("README", 30, ["d000/README.md", "d001/README.md", "d002/README.md"])
+    assert lint.colliding_notes(notes).count() == 30
+
+
+def test_digests_of_large_groups(spark):
+    from assayer.operators import coverage
+
+    files = spark.createDataFrame([("g", f"f{i}", f"text {i}") for i in range(50)] + [("h", "f1", "text 1")], "grp string, path string, data string")
+    digest = lambda f: {x["grp"]: x["code_hash"] for x in coverage.large_content_hash(f, "grp", "path", "data", 8).collect()}
+    first = digest(files)
+    assert digest(files.repartition(7)) == first and len(set(first.values())) == 2
+    changed = digest(files.withColumn("data", F.when(F.col("path") == "f33", "other").otherwise(F.col("data"))))
+    assert changed["g"] != first["g"] and changed["h"] == first["h"]
