@@ -15,7 +15,7 @@ ones' tokens are cut again with what follows, so no window ends early because a
 are made where the documents are read, and a task leaves one padded window at most at its end.
 
 Edge cases: a null text is an empty one (one end token); repeated rows are packed once each; of equal costs the longest
-last window is taken; a text of any length is read whole, a slice of ``LONG`` characters after another; an empty table gives
+last window is taken; a text of any length is read whole, a slice of ``LONG`` bytes after another; an empty table gives
 an empty result; null doc_ids stay null; other columns of the input are ignored, whatever their names.
 """
 
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.llm._common import in_arrow, prepare, table
-from assayer.llm.packing import WordIds, encoded, word_ids
+from assayer.llm.packing import END_ID, WordIds, word_ids
 
 CAPACITY = 2048
 #: What a cut inside a document costs, in tokens of padding: at a sentence's end, elsewhere.
@@ -40,8 +40,8 @@ SENTENCE, FREE = 8, 64
 GAP = 256
 #: Tokens that are solved together, and windows at their end that are solved again with the next ones.
 RUN, HELD = 1 << 20, 8
-#: Characters of a text that are split into words at once.
-LONG = 1 << 20
+#: Bytes of a text that are split into words at once, and of texts whose words are looked up together.
+LONG, TOGETHER = 1 << 20, 1 << 20
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _SCHEMA = pa.schema([(x.split()[0], pa.int64()) for x in PIECES.split(", ")])
@@ -61,17 +61,18 @@ def sentence_ends(ids: WordIds) -> np.ndarray:
 def places(ids: np.ndarray, doc_ends: np.ndarray, closing: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
     """Where windows may be cut, and what each cut costs. The first place is 0, the last the stream's end."""
     gap = min(GAP, capacity)
-    cost = np.full(len(ids) + 1, -1, np.int32)
-    cost[1:][closing[ids]] = SENTENCE
-    cost[doc_ends] = 0
-    cost[0] = 0
-    at = np.flatnonzero(cost >= 0)
-    wide = np.flatnonzero(np.diff(at) > gap)
     step = max(1, gap // 2)
-    for x, y in zip(at[wide].tolist(), at[wide + 1].tolist(), strict=True):
-        cost[x + step : y : step] = FREE
-    at = np.flatnonzero(cost >= 0)
-    return at, cost[at]
+    inner = np.setdiff1d(np.flatnonzero(closing.take(ids)) + 1, doc_ends, assume_unique=True)
+    at = np.concatenate([[0], doc_ends, inner])
+    cost = np.repeat(np.array([0, SENTENCE], np.int32), [len(doc_ends) + 1, len(inner)])
+    order = np.argsort(at, kind="stable")
+    at, cost = at[order], cost[order]
+    wide = np.flatnonzero(np.diff(at) > gap)
+    if len(wide):
+        more = np.concatenate([np.arange(x + step, y, step) for x, y in zip(at[wide].tolist(), at[wide + 1].tolist(), strict=True)])
+        order = np.argsort(np.concatenate([at, more]), kind="stable")
+        at, cost = np.concatenate([at, more])[order], np.concatenate([cost, np.full(len(more), FREE, np.int32)])[order]
+    return at, cost
 
 
 def cut(at: np.ndarray, cost: np.ndarray, capacity: int = CAPACITY) -> list[int]:
@@ -170,30 +171,43 @@ class Stream:
         return out
 
 
-def slices(text: str, size: int = LONG) -> Iterator[str]:
+def slices(text: bytes, size: int = LONG) -> Iterator[bytes]:
     """A text in parts that end at a space or line end."""
     at = 0
     while at < len(text):
         end = min(at + size, len(text))
-        while end < len(text) and text[end] not in " \n\t\r":
+        while end < len(text) and text[end] not in b" \n\t\r":
             end += 1
         yield text[at:end]
         at = end
 
 
-def ids_of(texts: list[str | None], ids: WordIds) -> Iterator[bytes]:
-    """Ids of each text with the end id; of a long one slice by slice."""
-    held: list[str | None] = []
+def encoded(texts: list[bytes], ids: WordIds) -> Iterator[bytes]:
+    """Ids of each text with the end id, as little-endian bytes; the words of all texts are looked up together."""
+    block = [t.split() for t in texts]
+    ids.add(set().union(*block))
+    get, end = ids.ids.__getitem__, np.array([END_ID], "<u4").tobytes()
+    for own in block:
+        yield b"".join(map(get, own)) + end
+
+
+def ids_of(texts: list[bytes], ids: WordIds) -> Iterator[bytes]:
+    """Ids of each text with the end id, of as many texts at once as have ``TOGETHER`` bytes; of a long one slice by slice."""
+    held: list[bytes] = []
+    size = 0
     for text in texts:
-        if text is None or len(text) <= LONG:
+        n = len(text)
+        if held and size + n > TOGETHER or n > LONG:
+            yield from encoded(held, ids)
+            held, size = [], 0
+        if n <= LONG:
             held.append(text)
+            size += n
             continue
-        yield from encoded(held, ids)
-        held = []
         whole = bytearray()
         for part in slices(text):
-            whole += next(iter(encoded([part], ids)))[:-4]
-        yield bytes(whole) + next(iter(encoded([""], ids)))
+            whole += next(encoded([part], ids))[:-4]
+        yield bytes(whole) + next(encoded([b""], ids))
     yield from encoded(held, ids)
 
 
@@ -203,7 +217,8 @@ def _windows(path: str, capacity: int):
         stream = Stream(sentence_ends(ids), capacity, TaskContext.get().partitionId() << 36)
         try:
             for batch in batches:
-                for doc_id, buf in zip(batch.column(0).to_pylist(), ids_of(batch.column(1).to_pylist(), ids), strict=True):
+                texts = batch.column(1).cast(pa.binary()).fill_null(b"")
+                for doc_id, buf in zip(batch.column(0).to_pylist(), ids_of(texts.to_pylist(), ids), strict=True):
                     stream.add(doc_id, buf)
                     if stream.tokens >= RUN:
                         yield stream.windows()
