@@ -5,6 +5,8 @@ NOTE rows: vault, rel, dir, stem, fm_raw, body, fm (map), type, links (array).
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,22 +24,28 @@ def notes_from_texts(texts: DataFrame) -> DataFrame:
 
 
 def _hidden(spark: SparkSession, path: str, recursive: bool) -> tuple[list[str], list[str]]:
-    """What Spark's scans skip: folders whose own names begin with _ or a dot, and Markdown files whose names do."""
+    """What Spark's scans skip: folders whose own names begin with _ or a dot, and Markdown files whose names do.
+
+    The file system matches names level by level, so that only what is skipped comes to the driver's Python, and a level's number of entries.
+    """
     jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     top = jvm.org.apache.hadoop.fs.Path(path)
     fs = top.getFileSystem(conf)
-    folders, files, todo = [], [], [top]
-    while todo:
-        for status in fs.listStatus(todo.pop()):
+    level = re.sub(r"([\\*?\[\]{}])", r"\\\1", fs.getFileStatus(top).getPath().toString().rstrip("/"))
+    matching = lambda pattern: fs.globStatus(jvm.org.apache.hadoop.fs.Path(pattern)) or []
+    folders, files = [], []
+    while True:
+        for status in matching(f"{level}/{{_*,.*}}"):
             name = status.getPath().getName()
-            skipped = name.startswith(".") or name.startswith("_") and "=" not in name
+            if name.startswith("_") and "=" in name:
+                continue
             if status.isDirectory() and recursive:
-                todo.append(status.getPath())
-                if skipped:
-                    folders.append(status.getPath().toString())
-            elif skipped and status.isFile() and name.endswith(".md"):
+                folders.append(status.getPath().toString())
+            elif status.isFile() and name.endswith(".md"):
                 files.append(status.getPath().toString())
-    return folders, files
+        level += "/*"
+        if not recursive or not len(matching(level)):
+            return folders, files
 
 
 def content(spark: SparkSession, file: str) -> bytearray:
