@@ -94,3 +94,17 @@ def test_pieces_equal_a_recursive_query(spark):
     w AS (SELECT DISTINCT claim, stance, src AS x, src AS y FROM e UNION SELECT w.claim, w.stance, w.x, l.y FROM w JOIN l ON l.claim = w.claim AND l.stance = w.stance AND l.x = w.y)
     SELECT claim, stance, x, min(y) FROM w GROUP BY ALL""").fetchall()
     assert sorted(tuple(x) for x in E.pieces(spark.createDataFrame(rows, EDGES)).collect()) == sorted(expected)
+
+
+def test_small_sides_take_no_rounds_and_large_ones_give_the_same(spark, monkeypatch):
+    r = random.Random(5)
+    rows = [(f"c{r.randrange(9)}", f"s{r.randrange(40)}", r.choice([None, f"g{r.randrange(30)}"]), r.choice([None, f"d{r.randrange(50)}"]), r.choice(["support", "contradict"])) for _ in range(300)]
+    edges, listed = spark.createDataFrame(rows, EDGES), []
+    monkeypatch.setattr(E, "components", lambda links: listed.append(links.count()) or components(links))
+    figures = lambda: (sorted(map(tuple, E.pieces(edges).collect())), sorted(map(tuple, E.independent_claims(edges).collect())))
+    folded = figures()
+    assert listed == []
+    for most in (15, 0):
+        monkeypatch.setattr(E, "FOLDED", most)
+        assert figures() == folded
+    assert len(listed) == 4
