@@ -2,11 +2,14 @@
 
 Rare words weigh more, and a set's prefix is the shortest part, rarest words first, without which too little would be left to be similar. Two
 similar sets share a word of both prefixes, so only prefixes are joined: a frequent word is a key only for titles that have nothing rarer.
-Equal sets are one row before the join; their works are linked to the first of them.
+A key that many sets have is made longer by the next word that a pair shares, each in turn, until few sets have it or it is all that they share; so the
+pairs that are compared grow with the sets, not with their square. Equal sets are one row before the join; their works are linked to the first of them.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,10 +17,13 @@ from assayer.functions.text import let, once
 from assayer.operators.graphs import components
 from assayer.operators.names import plain
 from assayer.operators.skew import look_up
+from assayer.sources.written import Rounds
 
 #: Words that are in half of all sets or more weigh this; others grow with the logarithm of their rarity, in thousandths.
 LEAST_WEIGHT = 1
 PERCENT = 80
+#: A key of more sets than this gets a further word.
+CROWD = 32
 
 
 def weighted_sets(works: DataFrame) -> DataFrame:
@@ -47,19 +53,62 @@ def prefix(items: Column, weight: Column, percent: int) -> Column:
     return F.transform(F.filter(left, lambda x: 100 * x["left"] >= percent * weight), lambda x: x["word"])
 
 
+def _longer(items: Column, weight: Column, at: Column, left_out: Column, percent: int) -> Column:
+    """The ways to go on from a key whose last word is at place ``at`` (0: none yet): structs of the next shared word, its place and the weight of the
+    words that are left out before it. The word null stands for no other shared word."""
+    start = F.struct(left_out.alias("out"), F.array().cast("array<struct<word:string,at:int,out:bigint>>").alias("ways"))
+    fits = lambda out: 100 * (weight - out) >= percent * weight
+
+    def step(acc: Column, x: Column) -> Column:
+        way = F.struct(x["word"].alias("word"), x["at"].alias("at"), acc["out"].alias("out"))
+        return F.struct((acc["out"] + x["w"]).alias("out"), F.when(fits(acc["out"]), F.concat(acc["ways"], F.array(way))).otherwise(acc["ways"]).alias("ways"))
+
+    rest = F.filter(F.transform(items, lambda x, i: F.struct(x["w"].alias("w"), x["word"].alias("word"), (i + 1).cast("int").alias("at"))), lambda x: x["at"] > at)
+    end = lambda acc: F.when(fits(acc["out"]) & (at > 0), F.array(F.struct(F.lit(None).cast("string").alias("word"), F.size(items).alias("at"), acc["out"].alias("out"))))
+    return F.aggregate(rest, start, step, lambda acc: F.concat(acc["ways"], F.coalesce(end(acc), F.array().cast("array<struct<word:string,at:int,out:bigint>>"))))
+
+
+def _extended(rows: DataFrame, percent: int) -> DataFrame:
+    """Rows (id, items, weight, key, at, out) with each key made longer by one shared word; ``done`` marks keys that are all that a pair shares."""
+    ways = _longer(F.col("items"), F.col("weight"), F.col("at"), F.col("out"), percent)
+    rows = rows.select("id", "items", "weight", "key", F.explode(ways).alias("way"))
+    longer = F.when(F.col("way.word").isNull(), F.col("key")).otherwise(F.concat("key", F.array("way.word")))
+    return rows.select("id", "items", "weight", longer.alias("key"), F.col("way.at").alias("at"), F.col("way.out").alias("out"), F.col("way.word").isNull().alias("done"))
+
+
+def candidate_keys(sets: DataFrame, percent: int) -> DataFrame:
+    """(id, items, weight, key, done) of ``sets`` (first, items, weight): two similar sets meet under the key that is the head of the words that they
+    share, rarest first, or all of them if ``done``. At most ``CROWD`` sets have a key, but for done ones. Runs its rounds when called."""
+    store = Rounds(sets.sparkSession)
+    start = sets.select(F.col("first").alias("id"), "items", "weight", F.array().cast("array<string>").alias("key"), F.lit(0).alias("at"), F.lit(0).cast("long").alias("out"))
+    found, now = [], start
+    while True:
+        rows = store.keep(_extended(now, percent))
+        crowded = rows.where("NOT done").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).withColumn("crowded", F.lit(True))
+        marked = store.keep(look_up(rows, crowded, ["key"], "left", counts="n"))
+        store.drop(rows)
+        found.append(marked.where("done OR crowded IS NULL").select("id", "items", "weight", "key", "done"))
+        now = marked.where("NOT done AND crowded").select("id", "items", "weight", "key", "at", "out")
+        if now.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+
+
 def similar_titles(works: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Links a < b of works, with the shared and the united weight of their titles' words: 100 * shared >= percent * united.
 
     A set of words is stood for by its first work; each other work with the same set is linked to it, with shared = united.
     """
-    sets = weighted_sets(works)
-    keyed = sets.select("first", "items", "weight", F.explode(prefix(F.col("items"), F.col("weight"), percent)).alias("word"))
+    store = Rounds(works.sparkSession)
+    sets = store.keep(weighted_sets(works))
+    keyed = candidate_keys(sets, percent)
     a, b = keyed.alias("x"), keyed.alias("y")
     close = (100 * F.col("x.weight") >= percent * F.col("y.weight")) & (100 * F.col("y.weight") >= percent * F.col("x.weight"))
-    shared = let(F.transform(F.col("y.items"), lambda x: x["word"]), lambda other: _sum(F.filter(F.col("x.items"), lambda x: F.array_contains(other, x["word"]))))
-    met = a.join(b, (F.col("x.word") == F.col("y.word")) & (F.col("x.first") < F.col("y.first")) & close)
-    pairs = met.select(F.col("x.first").alias("a"), F.col("y.first").alias("b"), shared.alias("shared"), (F.col("x.weight") + F.col("y.weight")).alias("both"))
-    pairs = pairs.select("a", "b", "shared", (F.col("both") - F.col("shared")).alias("united")).where(100 * F.col("shared") >= percent * F.col("united")).distinct()
+    met = a.join(b, (F.col("x.key") == F.col("y.key")) & (F.col("x.done") == F.col("y.done")) & (F.col("x.id") < F.col("y.id")) & close)
+    both = let(F.transform(F.col("y.items"), lambda x: x["word"]), lambda other: F.filter(F.col("x.items"), lambda x: F.array_contains(other, x["word"])))
+    pairs = once(met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.key").alias("key"), F.col("x.done").alias("done"), both.alias("both"), (F.col("x.weight") + F.col("y.weight")).alias("sum")), "a", "b", "key", "done", "sum", F.transform("both", lambda x: x["word"]).alias("words"), _sum(F.col("both")).alias("shared"))
+    # of the keys that a pair has in common, one is the head of what it shares and not taken further
+    head = (F.col("key") == F.slice("words", F.lit(1), F.size("key"))) & (~F.col("done") | (F.size("words") == F.size("key")))
+    pairs = pairs.where(head).select("a", "b", "shared", (F.col("sum") - F.col("shared")).alias("united")).where(100 * F.col("shared") >= percent * F.col("united"))
     named = works.where("key IS NOT NULL").select("key", F.array_join(F.array_sort(F.array_distinct(F.split(plain(F.col("title")), " "))), " ").alias("words")).distinct()
     equal = look_up(named, sets.select("words", "first", "weight"), ["words"]).where("first < key").select(F.col("first").alias("a"), F.col("key").alias("b"), F.col("weight").alias("shared"), F.col("weight").alias("united"))
     return pairs.unionByName(equal)

@@ -49,3 +49,15 @@ def test_groups_and_hot_words(spark):
     sets = T.weighted_sets(spark.range(400).select(F.col("id").alias("key"), F.format_string("a survey of topic%d", "id").alias("title")))
     used = sets.select(F.explode(T.prefix(F.col("items"), F.col("weight"), 80)).alias("w")).distinct()
     assert used.where("w IN ('a', 'survey', 'of')").count() == 0 and used.count() == 400
+
+
+@pytest.mark.parametrize("crowd", [0, 3])
+def test_crowded_keys_get_further_words(spark, monkeypatch, crowd):
+    r = random.Random(crowd)
+    rows = [(i, " ".join(["the", "of", *(f"{k}{r.randrange(n)}" for k, n in (("a", 12), ("b", 9), ("c", 4), ("d", 3)))])) for i in range(160)]
+    monkeypatch.setattr(T, "CROWD", crowd)
+    works = spark.createDataFrame(rows, "key long, title string")
+    got = T.similar_titles(works, 60)
+    assert {tuple(x) for x in got.collect()} == all_pairs(rows, 60) and got.count() == len(all_pairs(rows, 60))
+    keys = T.candidate_keys(T.weighted_sets(works), 60)
+    assert keys.where("NOT done").groupBy("key").count().where(F.col("count") > crowd).isEmpty()
