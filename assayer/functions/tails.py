@@ -70,16 +70,27 @@ def exact_two_by_two(k: Column, row: Column, column: Column, n: Column) -> Colum
     return F.least(F.lit(1.0), total)
 
 
+#: Steps of the beta fraction that are enough when a parameter is a half at most, however large the other: the upper tail of a normal square. 40 give
+#: all digits for 1 to 10^7 degrees of freedom.
+_HALF_STEPS = 60
+
+
+def beta_steps(a: Column, b: Column) -> Column:
+    """Steps of the fraction of ``lower_beta``: they grow with the root of the larger parameter, unless the other is a half at most."""
+    steps = 30 + 2 * F.sqrt(F.greatest(a, b))
+    return F.when(F.least(a, b) <= 0.5, F.least(steps, F.lit(float(_HALF_STEPS)))).otherwise(steps).cast("int")
+
+
 def lower_beta(x: Column, a: Column, b: Column) -> Column:
     """The regularised incomplete beta function I_x(a, b), a and b > 0: its continued fraction on the side on which it converges fast.
 
-    The number of steps grows with the root of the larger parameter.
+    The number of steps is that of ``beta_steps``.
     """
 
     def near(v: Column) -> Column:
         """I_x(a, b) of a struct (x, y = 1 - x, a, b); the fraction's coefficients come in pairs, evaluated from the last pair up."""
         x, y, a, b = (v[c] for c in "xyab")
-        steps = (F.lit(30) + 2 * F.sqrt(F.greatest(a, b))).cast("int")
+        steps = beta_steps(a, b)
         even = lambda m: m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
         odd = lambda m: -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
         tail = F.aggregate(F.sequence(F.lit(0), steps - 1), F.lit(0.0), lambda acc, i: let((steps - i).cast("double"), lambda m: even(m) / (1 + odd(m) / (1 + acc))))
@@ -95,7 +106,7 @@ def lower_beta(x: Column, a: Column, b: Column) -> Column:
 
 
 def student_two_sided(t: Column, df: Column) -> Column:
-    """P(|T| >= |t|) of Student's t for any number of degrees of freedom, in steps that grow with their root; NaN for NaN."""
+    """P(|T| >= |t|) of Student's t for any number of degrees of freedom, in a bounded number of steps; NaN for NaN."""
     n = df.cast("double")
     # 1 - x loses digits for small t, so the other tail is taken there
     square = t * t

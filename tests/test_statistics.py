@@ -2,7 +2,7 @@
 
 import math
 import random
-from statistics import mean, stdev
+from statistics import NormalDist, mean, stdev
 
 import pytest
 from pyspark.sql import functions as F
@@ -156,3 +156,15 @@ def test_verdict_after_each_seed(spark, monkeypatch):
         supported = [n for n, _, v in own if v == "supported"]
         assert (s["n_pairs"], s["verdict"], s["holds_from"], s["holds_from_seed"], s["first_supported"]) == (own[-1][0], own[-1][2], own[k][0], own[k][1], min(supported, default=None))
         assert s["changes"] == sum(a[2] != b[2] for a, b in zip(own, own[1:], strict=False)) and s["flipped"] == ({"supported", "refuted"} <= {v for *_, v in own})
+
+
+def test_tails_of_many_degrees_of_freedom_take_bounded_steps(spark):
+    normal = NormalDist()
+    cases = [(t / 8, n) for t in range(1, 45) for n in (10**5, 10**6)]
+    half, b = F.lit(0.5), F.col("df") / 2
+    rows = spark.createDataFrame(cases, "t double, df long").select("t", "df", tails.student_two_sided(F.col("t"), F.col("df")).alias("p"), F.greatest(tails.beta_steps(half, b), tails.beta_steps(b, half)).alias("steps")).collect()
+    for r in rows:
+        # two terms of the expansion about the normal tail
+        t, n = r["t"], r["df"]
+        near = 2 * (1 - normal.cdf(t)) + 2 * normal.pdf(t) * (t**3 + t) / (4 * n)
+        assert abs(r["p"] - near) < 1e-8 and r["steps"] <= 60
