@@ -34,12 +34,11 @@ def _blocks(w: Column) -> Column:
 def _stretches(q: Column, t: Column, k: Column) -> Column:
     """Places from which stretches of the text are aligned: for each 2 k + 1 diagonals in which a block of the quote meets the text, the first one less k."""
     wide = 2 * k + 1
+    # the blocks' hashes are listed once a text, not once a place
+    seeds = lambda hashes: F.filter(F.transform(F.sequence(F.lit(0), F.size(t) - SEED), lambda i: F.struct(i.alias("i"), F.xxhash64(*(F.get(t, i + j) for j in range(SEED))).alias("g"))), lambda x: F.array_contains(hashes, x["g"]))
     meets = lambda blocks: F.flatten(
         F.transform(
-            F.filter(
-                F.transform(F.sequence(F.lit(0), F.size(t) - SEED), lambda i: F.struct(i.alias("i"), F.xxhash64(*(F.get(t, i + j) for j in range(SEED))).alias("g"))),
-                lambda x: F.array_contains(F.transform(blocks, lambda b: b["g"]), x["g"]),
-            ),
+            let(F.transform(blocks, lambda b: b["g"]), seeds),
             lambda x: F.transform(F.filter(blocks, lambda b: b["g"] == x["g"]), lambda b: F.floor((x["i"] - b["at"]) / wide).cast("int")),
         )
     )
@@ -78,8 +77,9 @@ def near_quotes(quotes: DataFrame, dossiers: DataFrame) -> DataFrame:
     the rest null. A dossier's text meets each of its quotes once, in a join whose large partitions Spark splits.
     """
     q = once(quotes.select("quote_id", "raw", "quote"), "quote_id", "raw", "quote", words(F.coalesce("quote", F.lit(""))).alias("q"))
-    t = once(dossiers.select("raw", F.col("text").alias("text")), "raw", "text", words(F.coalesce("text", F.lit(""))).alias("t"))
-    rows = q.join(t, "raw", "left").withColumn("t", F.coalesce("t", F.array().cast("array<string>")))
+    # a dossier's words are made after the join, so that only its text is shuffled
+    rows = q.join(dossiers.select("raw", "text"), "raw", "left")
+    rows = once(rows, "quote_id", "raw", "quote", "q", "text", words(F.coalesce("text", F.lit(""))).alias("t"))
     k = (F.floor(F.size("q") / SEED) - 1).cast("int")
     rows = once(rows, "quote_id", "raw", "quote", "q", "t", F.coalesce(F.contains("text", F.col("quote")), F.lit(False)).alias("verbatim"), k.alias("k"), _stretches(F.col("q"), F.col("t"), k).alias("from"))
     length = F.size("q") + 4 * F.col("k") + 1

@@ -54,3 +54,12 @@ def test_best_passages_equal_the_whole_table(spark):
         near += expected[0] is not None and expected[0] > 0
     assert near > 5
     assert Q.near_quotes(quotes.limit(0), dossiers).count() == 0
+
+
+def test_words_of_dossiers_are_not_shuffled(spark):
+    """Below the join only the quotes' words are made."""
+    quotes = spark.createDataFrame([(1, "r", "one two three four")], "quote_id long, raw string, quote string")
+    found = Q.near_quotes(quotes, spark.createDataFrame([("r", "Zero, one two three four.")], "raw string, text string"))
+    below = found._jdf.queryExecution().optimizedPlan().toString().split("Join LeftOuter")[1]
+    assert below.count("Generate") == 1
+    assert found.select("verbatim", "distance", "first_word", "n_words").first() == (True, 0, 1, 4)
