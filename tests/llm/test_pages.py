@@ -1,3 +1,4 @@
+import json
 import random
 
 import pytest
@@ -101,6 +102,20 @@ def test_any_partitions_give_the_same(spark):
     assert results[0] == results[1]
 
 
+@pytest.mark.parametrize("in_one_round", [wrappers.SHAPES, 4])
+def test_all_shapes_of_a_host_are_aligned(spark, monkeypatch, in_one_round):
+    monkeypatch.setattr(wrappers, "SHAPES", in_one_round)
+    block = lambda i: "".join(f"<div class={c}>{c} {i}</div>" for k, c in enumerate("abcdefghi") if i >> k & 1)
+    rows = [(i, "http://many.example/x", f"<section>{block(i)}</section>") for i in range(1, 301)] + [(999, "http://few.example/x", "<p>one")]
+    found = []
+    for n in (1, 7):
+        pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(n)
+        found.append({r["host"]: wrappers.load(json.loads(r["wrapper"])) for r in wrappers.wrappers_of(pages).collect()})
+    assert found[0]["many.example"].pages == 300 and found[0]["few.example"].pages == 1
+    assert {c.key for c in found[0]["many.example"].children[0].children} == {f"div.{c}" for c in "abcdefghi"}
+    assert {h: w.dump() for h, w in found[0].items()} == {h: w.dump() for h, w in found[1].items()}
+
+
 def test_large_hosts_join_alike(spark, monkeypatch):
     pages = spark.createDataFrame([(i, "http://hot.example/x", html) for i, (html, _) in enumerate(scrambled(random.Random(6), 30))], "page_id long, url string, html string")
     expected = sorted(wrappers.extract_articles(pages).collect())
