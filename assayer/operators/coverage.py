@@ -76,10 +76,15 @@ def containments(passages: DataFrame, texts: DataFrame, n: int = 5) -> DataFrame
 
 
 def one_sided_links(links: DataFrame, listed: DataFrame) -> DataFrame:
-    """Links (a, b) whose target does not list them back, and listings without their link; ``side`` tells which."""
-    back = listed.select(F.col("b").alias("a"), F.col("a").alias("b"))
-    one = links.select("a", "b").distinct().join(back, ["a", "b"], "left_anti").withColumn("side", F.lit("not listed"))
-    return one.unionByName(back.distinct().join(links, ["a", "b"], "left_anti").withColumn("side", F.lit("not linked")))
+    """Links (a, b) whose target does not list them back, and listings without their link; ``side`` tells which.
+
+    One aggregation over both, with partial sums and without a sort. A null end equals nothing, so neither side has the other then.
+    """
+    both = links.select("a", "b", F.lit(True).alias("_link")).unionByName(listed.select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(False).alias("_link")))
+    pairs = both.groupBy("a", "b").agg(F.bool_or("_link").alias("_linked"), F.bool_or(~F.col("_link")).alias("_listed"))
+    alone = F.col("a").isNull() | F.col("b").isNull()
+    sides = F.array(F.when(F.col("_linked") & (alone | ~F.col("_listed")), "not listed"), F.when(F.col("_listed") & (alone | ~F.col("_linked")), "not linked"))
+    return pairs.select("a", "b", F.explode(sides).alias("side")).where("side IS NOT NULL")
 
 
 def foreign_runs(runs: DataFrame, specs: DataFrame) -> DataFrame:

@@ -144,3 +144,15 @@ def test_digests_of_large_groups(spark):
     assert digest(files.repartition(7)) == first and len(set(first.values())) == 2
     changed = digest(files.withColumn("data", F.when(F.col("path") == "f33", "other").otherwise(F.col("data"))))
     assert changed["g"] != first["g"] and changed["h"] == first["h"]
+
+
+def test_one_sided_links_take_one_aggregation(spark):
+    from assayer.operators import coverage
+
+    pairs = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    links, listed = pairs([(1, 2), (1, 2), (3, 4), (None, 5), (7, 8)]), pairs([(2, 1), (5, None), (9, 6), (9, 6), (8, 7)])
+    found = coverage.one_sided_links(links, listed)
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, [(3, 4, "not listed"), (None, 5, "not listed"), (None, 5, "not linked"), (6, 9, "not linked")]))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Sort" not in plan
+    assert coverage.one_sided_links(links.limit(0), listed.limit(0)).count() == 0
