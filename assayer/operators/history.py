@@ -76,6 +76,7 @@ def runs_in_force(runs: DataFrame, versions: DataFrame, bucket_seconds: int = 30
     runs = runs.select("id", "spec", "started", "digest")
     found = as_of(runs, "spec", "started", versions.select("spec", "registered", "digest"), "registered", bucket_seconds, salts)
     first = versions.where("spec IS NOT NULL AND digest IS NOT NULL AND registered IS NOT NULL").groupBy("spec", "digest").agg(F.min("registered").alias("_first"))
+    first = first.hint("shuffle_hash")  # a row for each spec and digest, hashed so that the runs need no sort
     rows = look_up(found.select("id", "spec", "started", "digest", F.col("version.registered").alias("registered"), F.col("version.digest").alias("in_force")), first, ["spec", "digest"], "left")
     finding = (
         F.when(F.col("started").isNull(), UNDATED)

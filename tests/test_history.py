@@ -59,3 +59,15 @@ def test_staleness(spark):
     got = H.stale_sources(s, spark.createDataFrame(surveys, "topic string, surveyed string"), 24)
     assert {x["id"]: (x["until"], x["surveyed"], x["age"]) for x in got.collect()} == {"year": (date(2020, 12, 31), date(2024, 7, 1), 42), "month": (date(2022, 6, 30), date(2024, 7, 1), 24)}
     assert {x["id"] for x in H.undated_sources(s).collect()} == {"bad", "none", "feb"}
+
+
+def test_runs_meet_digests_without_a_sort(spark):
+    runs = spark.createDataFrame([("a", "s", None, "h")], "id string, spec string, started timestamp, digest string")
+    versions = spark.createDataFrame([("s", None, "h")], "spec string, registered timestamp, digest string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for large tables
+    try:
+        plan = H.runs_in_force(runs, versions)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "ShuffledHashJoin [spec" in plan and "SortMergeJoin [spec" not in plan
