@@ -21,10 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a table that one task renders, parses and keeps as notes (about 50 MB of them in the cache).
+SPREAD_ROWS = 200_000
+
+
 def spread(rows: DataFrame) -> DataFrame:
-    """Rows of a table with fewer splits than cores, dealt out to all of them: rendering and parsing cost more than the shuffle
-    of a few columns. A table of many splits stays as it is."""
-    n = rows.sparkSession.sparkContext.defaultParallelism
+    """Rows of a table with too few splits, dealt out to all cores, and to more tasks than cores so that none gets more than
+    about ``SPREAD_ROWS``: rendering and parsing cost more than the shuffle of a few columns, and notes are many times larger than
+    their compressed rows. A table of enough splits stays as it is. The count is read from the files' footers."""
+    n = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // SPREAD_ROWS))
     return rows.repartition(n) if rows.rdd.getNumPartitions() < n else rows
 
 

@@ -334,3 +334,12 @@ def test_stream_of_runs(spark, tmp_path):
         keep_runs(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck"), lambda df: seen.append(df.count())).awaitTermination(120)
         written(tmp_path, {"in/2.md": "---\narm: far\nseed: 5\n---\n"})
     assert seen == [1, 2]
+
+
+def test_large_tables_are_dealt_out_by_their_rows(spark):
+    from pyspark.sql import functions as F
+
+    from assayer.plans import adapters
+
+    parts = adapters.spread(spark.range(0, 1_000_000, 1, 2)).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert sum(r["count"] for r in parts) == 1_000_000 and max(r["count"] for r in parts) <= 210_000
