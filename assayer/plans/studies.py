@@ -304,7 +304,7 @@ SELECT a, b, shared, united FROM l WHERE 100 * shared >= 60 * united UNION ALL S
 def similar_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts' descriptions as titles that share three fifths of their words' weight."""
     title = F.concat("p_name", F.lit(", "), F.lower("p_type"), F.lit(" part of "), "p_brand", F.lit(" in Size-"), F.col("p_size").cast("string"))
-    return titles.similar_titles(A.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), title.alias("title")), 60)
+    return titles.similar_titles(A.spread(A.table(spark, sf_dir, "part")).select(F.col("p_partkey").alias("key"), title.alias("title")), 60)
 
 
 # -- near quotes --------------------------------------------------------------------------------------

@@ -61,3 +61,14 @@ def test_crowded_keys_get_further_words(spark, monkeypatch, crowd):
     assert {tuple(x) for x in got.collect()} == all_pairs(rows, 60) and got.count() == len(all_pairs(rows, 60))
     keys = T.candidate_keys(T.weighted_sets(works), 60)
     assert keys.where("NOT done").groupBy("key").count().where(F.col("count") > crowd).isEmpty()
+
+
+def test_words_of_nearly_all_titles_are_not_combined(spark, monkeypatch):
+    monkeypatch.setattr(T, "CROWD", 3)
+    monkeypatch.setattr(T, "PLACE", 2)
+    rows = [(i, f"the tale of a{i % 12} and b{i // 12 % 9} in c{i // 108 % 4} for {'all' if i else 'us'}") for i in range(432)]
+    works = spark.createDataFrame(rows, "key long, title string")
+    got = T.similar_titles(works, 60).collect()
+    assert {tuple(x) for x in got} == all_pairs(rows, 60) and len(got) == len(all_pairs(rows, 60)) > 400
+    # sets that share six frequent words do not meet under each choice of them
+    assert T.candidate_keys(T.weighted_sets(works), 60).count() < 4 * len(rows)
