@@ -142,6 +142,45 @@ def test_wrappers_are_bounded():
     assert widest(w) <= wrappers.ROW
 
 
+def wide(rng, n):
+    """Pages of one block a class, n of them, and a constant one; the pages' own blocks."""
+    names = ["".join("abcdefghij"[int(d)] for d in f"{i:04}") for i in range(n)]
+    rows = []
+    for k in range(12):
+        own = [f"{rng.choice(['alpha', 'beta'])} {k} {rng.randint(0, 99)} {c}" for c in names]
+        rows.append(("<div class=wrap>" + "".join(f"<p class={c}>{x}</p>" for c, x in zip(names, own, strict=True)) + "<h5 class=legal>All rights</h5><p class=made>By us</p></div>", own))
+    return rows
+
+
+@pytest.mark.parametrize("n", [150, 450])
+def test_levels_of_any_width_are_kept(spark, monkeypatch, n):
+    rows = wide(random.Random(n), n)
+    w = wrapper_of([html for html, _ in rows])
+    assert len(wrappers.level(w.children[0])) == n + 2 and wrappers.nodes(w) >= n + 4 and w.children[0].size == 0
+    assert wrappers.load(w.dump()).dump() == w.dump()
+    expected = ["\n".join([*own, "All rights"]) for _, own in rows]  # a heading stays, constant or not
+    assert host_texts([html for html, _ in rows]) == expected
+    pages = spark.createDataFrame([(i, "http://w.example/x", html) for i, (html, _) in enumerate(rows)], "page_id long, url string, html string").repartition(3)
+    for held, passed in ((wrappers.HELD_NODES, wrappers.PASSED), (1, 1)):
+        monkeypatch.setattr(wrappers, "HELD_NODES", held)
+        monkeypatch.setattr(wrappers, "PASSED", passed)
+        assert [r["text"] for r in wrappers.extract_articles(pages).orderBy("page_id").collect()] == expected
+
+
+@pytest.mark.parametrize("kinds", [2, 30, 5000])
+def test_long_streams_are_aligned_as_short_ones(monkeypatch, kinds):
+    monkeypatch.setattr(wrappers, "CELLS", 9)
+    rng = random.Random(kinds)
+    for n, m in ((0, 5), (5, 0), (1, 70), (70, 1), (60, 90), (90, 60), (80, 80)):
+        x, y = ([f"k{rng.randrange(kinds)}" for _ in range(k)] for k in (n, m))
+        y[: n // 3] = x[: n // 3][: len(y)]
+        found = wrappers._by_halves(x, y)
+        assert [i for i, _ in found if i is not None] == list(range(len(x))) and [j for _, j in found if j is not None] == list(range(len(y)))
+        both = [(i, j) for i, j in found if i is not None and j is not None]
+        assert all(x[i] == y[j] for i, j in both)
+        assert len(both) == sum(i is not None and j is not None for i, j in wrappers._by_table(x, y))
+
+
 @pytest.mark.parametrize("unit", ["<a ", '<a "', '<a b="', "</", "<!", "<x/", "<a b='\"", "<!--", "&#", "<div>", "<p>x", "<foo>", "<a-b><c-d>", "<p><foo>"])
 def test_pages_are_read_in_linear_time(unit):
     import time
