@@ -161,7 +161,8 @@ def test_levels_of_any_width_are_kept(spark, monkeypatch, n):
     expected = ["\n".join([*own, "All rights"]) for _, own in rows]  # a heading stays, constant or not
     assert host_texts([html for html, _ in rows]) == expected
     pages = spark.createDataFrame([(i, "http://w.example/x", html) for i, (html, _) in enumerate(rows)], "page_id long, url string, html string").repartition(3)
-    for held, passed in ((wrappers.HELD_NODES, wrappers.PASSED), (1, 1)):
+    for held, passed, part in ((wrappers.HELD_NODES, wrappers.PASSED, 1 << 30), (1, 1, 0)):
+        monkeypatch.setattr(wrappers, "PART_BYTES", part)
         monkeypatch.setattr(wrappers, "HELD_NODES", held)
         monkeypatch.setattr(wrappers, "PASSED", passed)
         assert [r["text"] for r in wrappers.extract_articles(pages).orderBy("page_id").collect()] == expected
